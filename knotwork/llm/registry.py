@@ -1,8 +1,8 @@
 """All queries of the subpackage and their SQL."""
 
-from . import formatting
+from . import formatting, pairs
 
-_MODULES = (formatting,)
+_MODULES = (formatting, pairs)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
