@@ -1,8 +1,8 @@
 """All queries of the subpackage and their SQL."""
 
-from . import formatting, pairs
+from . import formatting, leaks, pairs
 
-_MODULES = (formatting, pairs)
+_MODULES = (formatting, pairs, leaks)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
