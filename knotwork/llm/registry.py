@@ -1,8 +1,8 @@
 """All queries of the subpackage and their SQL."""
 
-from . import formatting, leaks, pairs, spam
+from . import cutoff, formatting, leaks, pairs, spam
 
-_MODULES = (formatting, pairs, leaks, spam)
+_MODULES = (formatting, pairs, cutoff, leaks, spam)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
