@@ -56,10 +56,10 @@ _NUMBER = re.compile(
 _LEAD_LABEL = re.compile(r"^[A-Z]{3,5}[ -](?=\d)")
 
 _TITLE = r"(?:Dr|Mr|Mrs|Ms|Miss|Prof|Frau|Herr|Sr|Sra|Srta|Mme|Mlle|M|Don|Doña|Señora?|Monsieur|Madame|Sir|Ing)"
-_PART = rf"(?:[{_U}][a-zà-öø-ÿ]+(?:[-'’][{_U}]?[a-zà-öø-ÿ]+)*|[{_U}]['’][{_U}][a-zà-öø-ÿ]+(?:-[{_U}][a-zà-öø-ÿ]+)*|[{_U}]{{2,}}(?:[-'’][{_U}]+)*)"
+_PART = rf"(?:[{_U}][a-zà-öø-ÿ]+(?:[-'’][{_U}]?[a-zà-öø-ÿ]+)*|[{_U}]['’][{_U}][a-zà-öø-ÿ]+(?:-[{_U}][a-zà-öø-ÿ]+)*|[{_U}]['’][{_U}]{{2,}}|[{_U}]{{2,}}(?:[-'’][{_U}]+)*)"
 _INITIAL = rf"[{_U}]\."
 _PARTICLE = r"(?:van|von|de|del|der|den|da|di|la|le|du|zu|ter|ten|bin|el|y)"
-_NAME = re.compile(rf"(?<![\w@#/.\-\[])(?:{_TITLE}\.? )?(?:{_PART}|{_INITIAL})(?:,? (?:{_PARTICLE} ){{0,3}}(?:{_PART}|{_INITIAL}(?= ))){{0,4}}(?![\w/_(=]|\.\w)")
+_NAME = re.compile(rf"(?<![\w@#/.\-\[])(?:{_TITLE}\.? (?:{_PARTICLE} ){{0,3}})?(?:{_PART}|{_INITIAL})(?:,? (?:{_TITLE}\.? )?(?:{_PARTICLE} ){{0,3}}(?:{_PART}|{_INITIAL}(?= ))){{0,5}}(?![\w/_(=]|\.\w)")
 _PIECE = re.compile(rf"{_TITLE}\.?(?= )|{_PART}|{_INITIAL}|{_PARTICLE}|,")
 _SEED_NAME = re.compile(rf"^(?:{_TITLE}\.? (?:{_INITIAL} )?(?:{_PARTICLE} )*{_PART}|{_INITIAL} (?:{_PARTICLE} )*{_PART}|{_PART} {_INITIAL} (?:{_PARTICLE} )*{_PART})")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[.!?;:(),\[\]]")
@@ -142,9 +142,9 @@ def candidates(text: str) -> list[tuple[str, int, int, str, str, list[str]]]:
         commas = [i for i, p in enumerate(pieces) if p.group() == ","]
         bounds = [-1, *commas, len(pieces)]
         for i, j in zip(bounds[:-1], bounds[1:]):
-            runs |= {(a, j) for a in range(i + 1, min(i + 3, j - 1))} | {(i + 1, b) for b in range(max(i + 3, j - 1), j)}
+            runs |= {(a, j) for a in range(i + 1, min(i + 4, j - 1))} | {(i + 1, b) for b in range(max(i + 3, j - 1), j)}
         for c in commas:
-            runs |= {(a, b) for a in range(max(0, c - 2), c) for b in range(c + 2, min(c + 4, len(pieces)) + 1)}
+            runs |= {(a, b) for a in range(max(0, c - 4), c) for b in range(c + 2, min(c + 4, len(pieces)) + 1)}
         for i, j in sorted(runs):
             own = [p.group() for p in pieces[i:j]]
             start, end = pieces[i].start(), pieces[j - 1].end()
@@ -228,6 +228,42 @@ def _settled(rows: pd.Series) -> pd.Series:
     return rows.map(settle)
 
 
+def _small_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Candidates for names in lower case: words that are first parts of at least two of the `names` found so far, with the one to three words that follow."""
+    row = ["tbl", "row_key", "field"]
+    first = F.regexp_extract("instance", rf"^(?:(?i:{_TITLE})\.? )?(\p{{L}}{{3,}})[ ]", 1)
+    parts = names.select(first.alias("part"), "instance").where("part <> ''").groupBy("part").agg(F.count_distinct("instance").alias("n")).where("n >= 2").select("part")
+    words = texts.where(F.length("text") > 0).select(*row, F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("part")).where(F.length("part") >= 3)
+    hits = words.join(parts, "part").groupBy(*row).agg(F.collect_set("part").alias("parts"))
+    schema = pa.schema([("tbl", pa.string()), ("row_key", pa.int64()), ("field", pa.string()), ("grp", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.string()), ("seed", pa.string()), ("patterns", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t, k, f, x, own in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                for m in re.finditer(r"(?<![\w@.+/-])(?i:" + "|".join(map(re.escape, own)) + rf")((?: {_PARTICLE}){{0,2}} [^\W\d_A-Z][\w'’-]*)(?![\w@])", x):
+                    rows.append((t, k, f, "name", m.start(), m.end(), m.group().lower(), "", _sides(x, *m.span())))
+            columns = list(zip(*rows)) if rows else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=schema.field(i).type) for i, c in enumerate(columns)], schema=schema)
+
+    return texts.join(hits, row).select(*row, "text", "parts").mapInArrow(run, _CANDIDATE)
+
+
+def _weighed(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Kind, score for it and score against any for each number or name in `found`, by its seed or else the best patterns beside it."""
+    row = ["tbl", "row_key", "field"]
+    lettered = F.regexp_replace(F.lower("instance"), r"^tel:|(?:ext|x|extension|durchwahl|poste|int)\.? ?\d+$", "").rlike("[a-z]")
+    own = found.where("grp IN ('number', 'name')").select(*row, "grp", "start", "stop", "seed", lettered.alias("lettered"), F.explode_outer("patterns").alias("pattern"))
+    scored = own.join(patterns, ["grp", "pattern"], "left").groupBy(*row, "grp", "start", "stop", "seed", "lettered").agg(*(_either_side(k) for k in _SCORED))
+    by_seed = lambda k: F.when(F.col("seed") == k, 1.0).when(F.col("seed") == "none", 0.0).otherwise(F.coalesce(k, F.lit(0.0)))
+    phone = F.when(F.col("lettered"), 0.0).otherwise(by_seed("phone"))  # no telephone number has letters but in its extension
+    number = F.when(phone >= by_seed("id_number"), "phone").otherwise("id_number")
+    kind = F.when(F.col("grp") == "name", "name").otherwise(number)
+    score = F.when(F.col("grp") == "name", by_seed("name")).otherwise(F.greatest(phone, by_seed("id_number")))
+    against = F.when((F.col("grp") == "number") & (F.col("seed") == ""), F.coalesce("none", F.lit(0.0))).otherwise(0.0)
+    return scored.select(*row, "start", "stop", kind.alias("kind"), score.alias("score"), against.alias("against"))
+
+
 def details(texts: DataFrame) -> DataFrame:
     """(tbl, row_key, field, kind, nth, start, stop) of every personal detail in `texts` (tbl, row_key, field, text).
 
@@ -240,16 +276,9 @@ def details(texts: DataFrame) -> DataFrame:
     found = cut(candidates_of(texts))
     patterns = pattern_scores(found)
     row = ["tbl", "row_key", "field"]
-    lettered = F.regexp_replace(F.lower("instance"), r"^tel:|(?:ext|x|extension|durchwahl|poste|int)\.? ?\d+$", "").rlike("[a-z]")
-    own = found.where("grp IN ('number', 'name')").select(*row, "grp", "start", "stop", "seed", lettered.alias("lettered"), F.explode_outer("patterns").alias("pattern"))
-    scored = own.join(patterns, ["grp", "pattern"], "left").groupBy(*row, "grp", "start", "stop", "seed", "lettered").agg(*(_either_side(k) for k in _SCORED))
-    by_seed = lambda k: F.when(F.col("seed") == k, 1.0).when(F.col("seed") == "none", 0.0).otherwise(F.coalesce(k, F.lit(0.0)))
-    phone = F.when(F.col("lettered"), 0.0).otherwise(by_seed("phone"))  # no telephone number has letters but in its extension
-    number = F.when(phone >= by_seed("id_number"), "phone").otherwise("id_number")
-    kind = F.when(F.col("grp") == "name", "name").otherwise(number)
-    score = F.when(F.col("grp") == "name", by_seed("name")).otherwise(F.greatest(phone, by_seed("id_number")))
-    against = F.when((F.col("grp") == "number") & (F.col("seed") == ""), F.coalesce("none", F.lit(0.0))).otherwise(0.0)
-    weighed = scored.select(*row, "start", "stop", kind.alias("kind"), score.alias("score"), against.alias("against"))
+    strict = _weighed(found, patterns)
+    names = found.join(strict.where(F.col("kind") == "name").where(F.col("score") >= ACCEPT).select(*row, "start", "stop"), [*row, "start", "stop"], "left_semi").where("grp = 'name'")
+    weighed = strict.unionByName(_weighed(_small_names(texts, names), patterns))
     plain = found.where("grp IN ('email', 'address')").select(*row, "start", "stop", F.col("grp").alias("kind"), F.lit(2.0).alias("score"))
     accepted = weighed.where((F.col("score") >= ACCEPT) & (F.col("score") > F.col("against"))).drop("against").unionByName(plain)
     spans = accepted.groupBy(*row).agg(F.collect_list(F.struct("kind", "score", "start", "stop")).alias("spans"))
