@@ -1,8 +1,8 @@
 """All core queries and their SQL."""
 
-from . import references
+from . import graphs, references
 
-_MODULES = (references,)
+_MODULES = (references, graphs)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
