@@ -1,8 +1,8 @@
 """All core queries and their SQL."""
 
-from . import graphs, references
+from . import aggregates, graphs, joins, references
 
-_MODULES = (references, graphs)
+_MODULES = (references, graphs, joins, aggregates)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
