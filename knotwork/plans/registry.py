@@ -1,8 +1,8 @@
 """All core queries and their SQL."""
 
-from . import aggregates, graphs, joins, references
+from . import aggregates, graphs, joins, references, windows
 
-_MODULES = (references, graphs, joins, aggregates)
+_MODULES = (references, graphs, joins, aggregates, windows)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
