@@ -1,0 +1,102 @@
+"""Rule classifiers of text as expressions. Patterns avoid \\b, whose meaning differs between engines: words are bounded by spaces in spaced()."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# What an intent speaks of, by the first rule that fits.
+INTENTS = {
+    "pr": ["pull request", "open a pr", "opening a pr", "write a pr", "write the pr", "writing a pr", "draft a pr", "draft the pr", "pr description", "ship", "release note", "release notes"],
+    "debug": ["debug", "debugging", "fix a bug", "fix the bug", "fixing a bug", "fixing the bug", "crash", "crashes", "crashing", "error", "failure", "not working", "investigate", "regression"],
+    "review": ["code review", "review", "reviewing", "audit"],
+    "refactor": ["refactor", "refactoring", "rename", "renaming", "extract", "clean", "restructure", "restructuring"],
+    "edit": ["change", "changing", "add", "adding", "update", "updating", "implement", "implementing"],
+}
+# Topics that need approval and the words that show them, anywhere in a text.
+RISK_TOPICS = {
+    "auth": ["auth", "authentication", "authorization", "login", "logout", "permission", "token", "session", "rbac", "oauth", "jwt", "credential"],
+    "payments": ["payment", "charge", "refund", "invoice", "credit card", "stripe", "checkout", "payout"],
+    "billing": ["billing", "subscription", "plan tier", "quota", "metering", "usage limit"],
+    "security": ["security", "secret", "encrypt", "decrypt", "vulnerab", "csrf", "xss", "sql injection", "sanitiz", "ssrf"],
+    "migrations": ["migration", "migrate", "schema change", "alter table", "ddl", "backfill"],
+    "compliance": ["compliance", "gdpr", "hipaa", "pii", "data retention", "legal", "privacy", "audit log"],
+    "destructive_actions": ["delete", "drop table", "truncate", "destroy", "wipe", "purge", "rm -rf", "force push", "hard reset"],
+}
+# Kinds of correction.
+CORRECTIONS = {
+    "test_coverage": " (?:write|add|more|missing) (?:unit |integration )?tests? ",
+    "generated_files": " (?:dont|do not|never|avoid) touch(?:ing)? generated | generated files? ",
+    "existing_helper": " (?:existing|current) helper | use the existing ",
+    "wrong_abstraction": " wrong abstraction | too much abstraction | dont abstract ",
+    "wrong_package": " wrong package | belongs in package | package [^ ]+ ",
+}
+# Cues of a lasting rule, and signs that it is about this moment only.
+DURABLE = " (?:from now on|going forward|from here on|as a rule|always|never|(?:i|we) (?:prefer|want|like|expect|require)|remember (?:to|that)|we only|in this (?:repo|repository|codebase|project|module|package)|by default|defaults? to|no exceptions|we learned|we decided|turns out|learned that) "
+TRANSIENT = " (?:yet|for now|right now|at the moment|just for this|this time|today|already|hold off|wait|hang on|this session|this chat|this conversation|this turn|this task|this prompt|im|i am|not sure|no idea|confused|wondering) "
+# Shapes of secrets, in the order they are replaced; the first groups of the labelled ones stay.
+SECRETS = [
+    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", ""),
+    (r"sk-ant-[A-Za-z0-9_-]{20,}", ""),
+    (r"(?:sk|rk)[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}", ""),
+    (r"gh[pousr]_[A-Za-z0-9]{20,}", ""),
+    (r"github_pat_[A-Za-z0-9_]{20,}", ""),
+    (r"xox[baprs]-[A-Za-z0-9-]{10,}", ""),
+    (r"AKIA[0-9A-Z]{16}", ""),
+    (r"AIza[0-9A-Za-z_-]{35}", ""),
+    (r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{10,})?", ""),
+    (r"Bearer\s+[A-Za-z0-9._-]{12,}", ""),
+    (r"(?i)(Authorization|token|api[_-]?key)(\s*[:=]\s*)['\"]?[A-Za-z0-9._-]{12,}['\"]?", "$1$2"),
+    (r"([A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|PASSWD|APIKEY|API_KEY|ACCESS_KEY|PRIVATE_KEY)[A-Z0-9_]*)(\s*[:=]\s*)['\"]?[^\s'\"]{6,}['\"]?", "$1$2"),
+]
+
+
+def spaced(c: Column) -> Column:
+    """Words of `c` in lower case between single spaces, apostrophes taken out."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("'"), F.lit("")), "[^a-z0-9]+", " "), F.lit(" "))
+
+
+def intent_of(c: Column) -> Column:
+    words = spaced(c)
+    out = F.lit("unknown")
+    for kind, phrases in reversed(INTENTS.items()):
+        out = F.when(words.rlike(" (?:" + "|".join(phrases) + ") "), kind).otherwise(out)
+    return out
+
+
+def risk_topics(c: Column) -> Column:
+    hay = F.lower(F.coalesce(c, F.lit("")))
+    return F.array_compact(F.array(*(F.when(hay.rlike("|".join(words)), F.lit(topic)) for topic, words in RISK_TOPICS.items())))
+
+
+def corrections(c: Column) -> Column:
+    words = spaced(c)
+    return F.array_compact(F.array(*(F.when(words.rlike(p), F.lit(k)) for k, p in CORRECTIONS.items())))
+
+
+def redacted(c: Column) -> tuple[Column, Column]:
+    """(text with secrets replaced, number replaced): patterns in turn, each on what the former left."""
+    hits = F.lit(0)
+    for pattern, keep in SECRETS:
+        hits = hits + F.regexp_count(c, F.lit(pattern))
+        c = F.regexp_replace(c, pattern, keep + "[REDACTED]")
+    return c, hits
+
+
+SQL_SPACED = "(' ' || regexp_replace(replace(lower(coalesce({c}, '')), '''', ''), '[^a-z0-9]+', ' ', 'g') || ' ')"
+
+
+def sql_spaced(c: str) -> str:
+    return SQL_SPACED.replace("{c}", c)
+
+
+def sql_intent(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({sql_spaced(c)}, ' (?:{'|'.join(p)}) ') THEN '{k}'" for k, p in INTENTS.items()) + " ELSE 'unknown' END"
+
+
+def sql_topics(c: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce({c}, '')), '{'|'.join(w)}') THEN '{k}' END" for k, w in RISK_TOPICS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+def sql_corrections(c: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({sql_spaced(c)}, '{p}') THEN '{k}' END" for k, p in CORRECTIONS.items()) + "], lambda x: x IS NOT NULL)"
