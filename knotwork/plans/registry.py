@@ -1,8 +1,8 @@
 """All core queries and their SQL."""
 
-from . import aggregates, graphs, joins, references, texts, windows
+from . import aggregates, graphs, joins, references, streams, texts, windows
 
-_MODULES = (references, graphs, joins, aggregates, windows, texts)
+_MODULES = (references, graphs, joins, aggregates, windows, texts, streams)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
