@@ -100,3 +100,12 @@ def sql_topics(c: str) -> str:
 
 def sql_corrections(c: str) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({sql_spaced(c)}, '{p}') THEN '{k}' END" for k, p in CORRECTIONS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+def sql_redacted(table: str, key: str, text: str) -> str:
+    steps = [f"s0 AS (SELECT {key}, {text} AS t, 0 AS n FROM {table} WHERE {text} IS NOT NULL)"]
+    for i, (pattern, keep) in enumerate(SECRETS, 1):
+        p = pattern.replace("'", "''")
+        to = keep.replace("$", "\\") + "[REDACTED]"
+        steps.append(f"s{i} AS (SELECT {key}, regexp_replace(t, '{p}', '{to}', 'g') AS t, n + len(regexp_extract_all(t, '{p}')) AS n FROM s{i - 1})")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT {key}, t AS redacted, n::BIGINT AS found FROM s{len(SECRETS)}"

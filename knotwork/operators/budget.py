@@ -6,6 +6,8 @@ import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def tokens(text: str) -> int:
@@ -36,17 +38,22 @@ def pack(sections: list[tuple[str, list[str]]], budget: int) -> list[tuple[str,
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("section", T.StringType()), T.StructField("kept", T.IntegerType()), T.StructField("dropped", T.IntegerType())])))
+def _packed(items: pd.Series, budget: pd.Series) -> pd.Series:
+    def one(rows, limit) -> list[tuple[str, int, int]]:
+        sections: dict[tuple[int, str], list[str]] = {}
+        for r in sorted(rows, key=lambda r: (r["section_order"], r["position"])):
+            sections.setdefault((r["section_order"], r["section"]), []).append(r["item"])
+        return pack([(name, list_) for (_, name), list_ in sections.items()], int(limit))
+
+    return pd.Series([one(r, b) for r, b in zip(items, budget)])
+
+
 def pack_groups(df: DataFrame, key: str, budget: int) -> DataFrame:
     """(key, section, kept, dropped) of `pack` for each packet: rows (key, section, section_order, position, item).
 
-    What is kept depends on all that came before, across sections, so a packet is one Python call; packets are small by their making
-    (each section is capped), and many go through a task.
+    What is kept depends on all that came before, across sections, so a packet is worked out in Python, many packets a batch. The rows of
+    one packet are gathered: give at most a fixed number of rows for each section, as the top of a ranking.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["section_order", "position"])
-        sections = [(s, list(part["item"])) for s, part in g.groupby("section", sort=False)]
-        rows = [(g[key].iloc[0], *r) for r in pack(sections, budget)]
-        return pd.DataFrame(rows, columns=[key, "section", "kept", "dropped"])
-
-    return df.groupBy(key).applyInPandas(run, f"{key} string, section string, kept int, dropped int")
+    packets = df.groupBy(key).agg(F.collect_list(F.struct("section_order", "position", "section", "item")).alias("rows"))
+    return packets.select(key, F.explode(_packed("rows", F.lit(budget))).alias("p")).select(key, "p.section", "p.kept", "p.dropped")

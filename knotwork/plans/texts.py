@@ -105,7 +105,8 @@ def x9_rejected(spark: SparkSession, sf: str) -> DataFrame:
 def x10_star_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of three or more similar notes of a symbol, around their first (also k8)."""
     n = W.note(spark, sf).where("symbol IS NOT NULL AND NOT coalesce(promoted, false)").select("symbol", "note_key", F.array_sort(X.lexical_tokens(F.col("lesson"))).alias("tokens"))
-    g = n.groupBy("symbol", "tokens").agg(F.min("note_key").alias("key"), F.count(F.lit(1)).alias("n"))
+    many = n.groupBy("symbol").agg(F.count(F.lit(1)).alias("all")).where("all >= 3").select("symbol")
+    g = n.join(many, "symbol", "left_semi").groupBy("symbol", "tokens").agg(F.min("note_key").alias("key"), F.count(F.lit(1)).alias("n"))
     return star_clusters(g.select("symbol", F.col("key").alias("ord"), "key", "tokens", "n"), "symbol")
 
 
@@ -228,6 +229,7 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docum
 k AS (SELECT doc_id, regexp_replace(clause, '[.!?]+$', '') AS rule FROM c WHERE length(clause) BETWEEN 1 AND 239 AND regexp_matches({C.sql_spaced('clause')}, '{C.DURABLE}') AND NOT regexp_matches({C.sql_spaced('clause')}, '{C.TRANSIENT}') AND NOT suffix(clause, '?'))
 SELECT rule, count(DISTINCT doc_id) AS documents FROM k WHERE len(list_filter(string_split(rule, ' '), lambda w: length(w) > 2)) >= 3 AND length(rule) <= 200 GROUP BY rule""",
     "x22_risk_topics": W.sql(f"SELECT topic, count(*) AS items FROM (SELECT unnest({C.sql_topics('text')}) AS topic FROM inb) GROUP BY topic"),
+    "x23_redaction": C.sql_redacted("redact_results", "result_key", "text"),
     "x24_commit_mining": "SELECT m[2] AS type, m[3] AS area, count(DISTINCT m[1]) AS commits FROM (SELECT regexp_extract_all(line, '^([0-9a-f]{7,12}) (feat|fix|chore|docs|refactor|test)\\(([a-z-]+)\\): (.+)$', 0)[1] AS l, [regexp_extract(line, '^([0-9a-f]{7,12}) ', 1), regexp_extract(line, '^[0-9a-f]{7,12} (feat|fix|chore|docs|refactor|test)\\(', 1), regexp_extract(line, '\\(([a-z-]+)\\): ', 1)] AS m FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(line, '^([0-9a-f]{7,12}) (feat|fix|chore|docs|refactor|test)\\(([a-z-]+)\\): (.+)$')) GROUP BY 1, 2",
     "x25_failed_tests": W.sql("SELECT seq, regexp_extract(message, '([0-9]+) failed, ([0-9]+) passed', 1)::INT AS failed, regexp_extract(message, '([0-9]+) failed, ([0-9]+) passed', 2)::INT AS passed FROM runs WHERE regexp_matches(message, '([0-9]+) failed, ([0-9]+) passed')"),
     "x26_pr_numbers": W.sql(r"SELECT regexp_extract(evidence, '(?:PR |\()#([0-9]+)', 1)::INT AS pr, count(*) AS notes FROM note WHERE regexp_matches(evidence, '(?:PR |\()#([0-9]+)') GROUP BY 1"),
