@@ -150,4 +150,46 @@ def p4_defects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_defects": p4_defects}
-SQL: dict[str, str] = {}
+_S = "'"
+
+
+def _sql_letters(c: str) -> str:
+    return f"replace(lower(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}\\p{{M}}]|[\\x{{FE00}}-\\x{{FE0F}}]', '', 'g')), 'ß', 'ss')"
+
+
+def _sql_words(c: str) -> str:
+    return f"(' ' || regexp_replace(regexp_replace(lower({c}), '[''’‘´`]', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ')"
+
+
+def _sql_prose(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '(?s)```.*?(?:```|$)', ' ', 'g'), '`[^`\\n]*`', ' ', 'g')"
+
+
+def _sql_scores(c: str) -> str:
+    words = f"string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
+    return "[" + ", ".join(f"len(list_intersect({words}, [{', '.join(repr(w) for w in ws)}]))" for ws in FUNCTION_WORDS.values()) + "]"
+
+
+def _sql_best(scores: str, least: int) -> str:
+    return f"CASE WHEN list_max({scores}) >= {least} AND len(list_filter({scores}, lambda x: x = list_max({scores}))) = 1 THEN list_position({scores}, list_max({scores})) END"
+
+
+_ASKED = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(pw, ' (?:in|into|auf|ins|en|al|au|to|vers) (?:{'|'.join(n)}) ') THEN {i} END" for i, n in enumerate(LANGUAGE_NAMES.values(), 1)) + "], lambda x: x IS NOT NULL)"
+_WITH = f"""
+WITH r0 AS (SELECT run_key, coalesce(prompt, '') AS p, coalesce(output, '') AS o FROM bench_runs),
+r1 AS (SELECT *, {_sql_letters('p')} AS lp, {_sql_letters('o')} AS lo, {_sql_letters("regexp_replace(regexp_replace(o, '```[A-Za-z]*', ' ', 'g'), '</?[A-Za-z][^<>]*>', ' ', 'g')")} AS bare,
+ regexp_replace(o, '^[\\s\\x{{A0}}\\x{{200B}}\\x{{FEFF}}]+|[\\s\\x{{A0}}\\x{{200B}}\\x{{FEFF}}]+$', '', 'g') AS tail, {_sql_words('o')} AS words, {_sql_words('p')} AS pw, {_sql_prose('p')} AS pp, {_sql_prose('o')} AS pr FROM r0),
+r2 AS (SELECT *, strpos(lo, lp) - 1 AS label, CASE WHEN lp = '' THEN length(lo) ELSE length(replace(lo, lp, '')) END AS beside, list_last(string_split(tail, chr(10))) AS last, array_to_string(string_split(words, ' ')[1:{OPENING_WORDS}], ' ') || ' ' AS opening, len(string_split(tail, '```')) - 1 AS fences,
+ {_sql_scores("regexp_replace(pr, '“[^”]*”|«[^»]*»|\"[^\"]*\"', ' ', 'g')")} AS inn, {_sql_scores('pr')} AS outr, {_sql_scores('pp')} AS sp, {_ASKED} AS asked FROM r1),
+r3 AS (SELECT *, CASE WHEN list_max(inn) >= 3 THEN inn ELSE outr END AS sc, {_sql_best('sp', 2)} AS lang_p FROM r2),
+r4 AS (SELECT *, {_sql_best('sc', 3)} AS lang FROM r3),
+r5 AS (SELECT run_key, bare IN ({", ".join(repr(x) for x in ["", *PLACEHOLDERS])}) AS d_empty, lp <> '' AND label >= 0 AND label <= 24 AND beside = label AND suffix(lo, lp) AS d_copy,
+ NOT contains(o, '```') AND len(string_split(words, ' ')) <= {OTHER_WORDS} AND regexp_matches(opening, '{_REFUSAL}') AS d_refusal,
+ fences % 2 = 1 OR (NOT (regexp_matches(tail, '{_TERMINAL.replace(_S, _S + _S)}') AND NOT (regexp_matches(tail, '{_CUT_MARK}') AND length(tail) > 3)) AND NOT regexp_matches(last, '^\\s*(?:[-*+•]|\\d+[.)])\\s+\\S') AND regexp_matches(tail, '\\s')) AS d_truncated,
+ coalesce(NOT list_contains(asked, lang) AND lang <> lang_p AND list_max(sc) >= 1.5 * sc[lang_p], false) OR (regexp_matches(p, '\\p{{Latin}}') AND length(regexp_replace(pr, '[^\\p{{L}}]|\\p{{Latin}}', '', 'g')) * 2 > length(regexp_replace(pr, '[^\\p{{L}}]', '', 'g'))) AS d_wrong FROM r4)
+"""
+_CASES = (("empty", "d_empty"), ("copy", "d_copy"), ("refusal", "d_refusal"), ("truncated", "d_truncated"), ("wrong_language", "d_wrong"))
+SQL = {
+    "p4_found": _WITH + "SELECT run_key, CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, c in _CASES) + " END AS defect FROM r5 WHERE d_empty OR d_copy OR d_refusal OR d_truncated OR d_wrong",
+    "p4_defects": _WITH + " UNION ALL ".join(f"SELECT run_key, '{k}' AS defect FROM r5 WHERE {c}" + ("" if k == "empty" else " AND NOT d_empty") for k, c in _CASES),
+}
