@@ -43,15 +43,15 @@ def orphans_by_mask(child: DataFrame, parent: DataFrame, on: list[tuple[str, str
             parts.append(own)
         else:
             used = [(c, p) for (c, p), n in zip(on, nulls) if not n]
-            there = parent.select(*(F.col(p).alias(f"_key_{i}") for i, (_, p) in enumerate(used))).dropna().distinct()
-            parts.append(own.join(there, [F.col(c) == F.col(f"_key_{i}") for i, (c, _) in enumerate(used)], "left_anti"))
+            there = parent.select(*(F.col(p).alias(f"k{i}") for i, (_, p) in enumerate(used))).dropna().distinct()
+            parts.append(own.alias("c").join(there.alias("p"), [F.col(f"c.{c}") == F.col(f"p.k{i}") for i, (c, _) in enumerate(used)], "left_anti"))
     return _union(parts).withColumn("null_mask", mask)
 
 
 def orphans_at(refs: DataFrame, targets: DataFrame) -> DataFrame:
     """Rows of `refs` that meet no row of `targets` at their time, with `status` missing, late or deleted.
 
-    refs has `space`, `ref` and `at` besides what it carries along; targets has `space`, `ref`, `start`, `stop` (null stop: still there).
+    refs has `space`, `ref` and `at` besides what it carries along, at least one column, under any name but status; targets has `space`, `ref`, `start`, `stop` (null stop: still there).
     The composite key is (space, ref, at), grouped by its null mask: without `ref` it is no reference; without `at` only `missing`
     can be told, by an anti-join on (space, ref); with both the key also has to meet a target that is there:
     start <= at and (stop null or stop > at). missing: no target has the key; late: all of them start after `at`; deleted: none
@@ -64,52 +64,50 @@ def orphans_at(refs: DataFrame, targets: DataFrame) -> DataFrame:
     a group of one key, however hot, is spread by day, and the sums have at most one row a key and day.
     """
     k1, k2 = fingerprint("space", "ref")
-    carried = [c for c in refs.columns if c not in ("space", "ref", "at")]
-    child = refs.where(F.col("ref").isNotNull()).select(*carried, "at", k1.alias("_k1"), k2.alias("_k2"))
-    parent = targets.where(F.col("ref").isNotNull()).select(k1.alias("_k1"), k2.alias("_k2"), "start", "stop")
-    key = ["_k1", "_k2"]
+    carried = [c for c in refs.columns if c not in ("space", "ref", "at", "status")]
+    k1, k2 = fingerprint("space", "ref")
+    child = refs.where(F.col("ref").isNotNull()).select(F.struct(*carried).alias("row"), "at", k1.alias("k1"), k2.alias("k2"))
+    parent = targets.where(F.col("ref").isNotNull()).select(k1.alias("k1"), k2.alias("k2"), "start", "stop")
+    key = ["k1", "k2"]
 
     # mask (ref, no time)
     timeless = child.where(F.col("at").isNull()).join(parent.select(*key).distinct(), key, "left_anti")
-    timeless = timeless.select(*carried, F.lit("missing").alias("status"))
+    timeless = timeless.select("row", F.lit("missing").alias("status"))
 
     # mask (ref, time)
     lives = F.col("stop").isNull()
-    state = parent.groupBy(*key).agg(F.min("start").alias("_first"), F.min(F.when(lives, F.col("start"))).alias("_stays"), F.lit(True).alias("_met"))
+    state = parent.groupBy(*key).agg(F.min("start").alias("first"), F.min(F.when(lives, F.col("start"))).alias("stays"), F.lit(True).alias("met"))
     timed = child.where(F.col("at").isNotNull()).join(state, key, "left")
     status = (
-        F.when(F.col("_met").isNull(), "missing")
-        .when(F.col("_first").isNull() | (F.col("_first") > F.col("at")), "late")
-        .when(F.col("_stays") <= F.col("at"), None)
+        F.when(F.col("met").isNull(), "missing")
+        .when(F.col("first").isNull() | (F.col("first") > F.col("at")), "late")
+        .when(F.col("stays") <= F.col("at"), None)
         .otherwise("between")
     )
-    open_cases = cut(timed.select(*carried, "at", *key, status.alias("status")).where(F.col("status").isNotNull()))
-    clear = open_cases.where(F.col("status") != "between").select(*carried, "status")
+    open_cases = cut(timed.select("row", "at", *key, status.alias("status")).where(F.col("status").isNotNull()))
+    clear = open_cases.where(F.col("status") != "between").select("row", "status")
 
     between = open_cases.where(F.col("status") == "between")
     wanted = between.select(*key).distinct()
     stays = parent.where(~lives & (F.col("stop") > F.col("start"))).distinct().join(wanted, key, "left_semi")
-    day = F.to_date("t")
-    steps = stays.select(*key, F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("step")), F.struct(F.col("stop").alias("t"), F.lit(-1).alias("step")))).alias("e")).select(*key, "e.t", "e.step")
+    ends = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("step")), F.struct(F.col("stop").alias("t"), F.lit(-1).alias("step"))))
+    steps = stays.select(*key, ends.alias("e")).select(*key, "e.t", "e.step")
     asked = between.select(*key, F.col("at").alias("t"), F.lit(0).alias("step"))
+    day = F.to_date("t")
     daily = steps.unionByName(asked).groupBy(*key, day.alias("day")).agg(F.sum("step").alias("step"))
     before = Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     carry = daily.select(*key, "day", F.coalesce(F.sum("step").over(before), F.lit(0)).alias("step")).where("step <> 0")
-    blank = [F.lit(None).cast(between.schema[c].dataType).alias(c) for c in carried]
+    blank = F.lit(None).cast(between.schema["row"].dataType).alias("row")
     rows = _union(
         [
-            between.select(*carried, *key, day_of("at").alias("day"), F.col("at").alias("t"), F.lit(0).cast("bigint").alias("step"), F.lit(2).alias("order")),
-            steps.select(*blank, *key, day.alias("day"), "t", F.col("step").cast("bigint").alias("step"), F.lit(1).alias("order")),
-            carry.select(*blank, *key, "day", F.col("day").cast(between.schema["at"].dataType).alias("t"), "step", F.lit(0).alias("order")),
+            between.select("row", *key, F.to_date("at").alias("day"), F.col("at").alias("t"), F.lit(0).cast("bigint").alias("step"), F.lit(2).alias("order")),
+            steps.select(blank, *key, day.alias("day"), "t", F.col("step").cast("bigint").alias("step"), F.lit(1).alias("order")),
+            carry.select(blank, *key, "day", F.col("day").cast(between.schema["at"].dataType).alias("t"), "step", F.lit(0).alias("order")),
         ]
     )
     so_far = Window.partitionBy(*key, "day").orderBy("t", "order").rowsBetween(Window.unboundedPreceding, 0)
-    deleted = rows.withColumn("_there", F.sum("step").over(so_far)).where("order = 2 AND _there = 0").select(*carried, F.lit("deleted").alias("status"))
-    return _union([timeless, clear, deleted])
-
-
-def day_of(c: str):
-    return F.to_date(F.col(c))
+    deleted = rows.withColumn("there", F.sum("step").over(so_far)).where("order = 2 AND there = 0").select("row", F.lit("deleted").alias("status"))
+    return _union([timeless, clear, deleted]).select("row.*", "status")
 
 
 def orphan_counts(orphans: DataFrame, period: str = "month", by: tuple[str, ...] = ("tbl", "field", "status"), at: str = "at") -> DataFrame:

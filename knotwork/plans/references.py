@@ -33,9 +33,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_orphans_by_month(spark: SparkSession, sf: str) -> DataFrame:
     """Orphans per table, field, status and calendar month."""
-    refs = _refs(spark, sf).withColumn("month", F.date_trunc("month", "at").cast("date"))
-    found = orphans_at(refs, _targets(spark, sf))
-    return found.groupBy("tbl", "field", "status", "month").agg(F.count(F.lit(1)).alias("orphans"))
+    refs = _refs(spark, sf).withColumn("since", F.col("at"))
+    return orphan_counts(orphans_at(refs, _targets(spark, sf)), at="since").withColumn("month", F.col("period").cast("date")).drop("period")
 
 
 def p3_composite_keys(spark: SparkSession, sf: str) -> DataFrame:
