@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -92,19 +93,22 @@ def _sides(text: str, start: int, end: int) -> list[str]:
 def candidates(text: str) -> list[tuple[str, int, int, str, str, list[str]]]:
     """(group, start, end, instance, seed, patterns) of all spans of `text` that may be a detail. seed is a kind, 'none', or '' where not known."""
     out: list[tuple[str, int, int, str, str, list[str]]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+        return 1 not in taken[a:b]
+
+    def take(a: int, b: int) -> None:
+        taken[a:b] = b"\x01" * (b - a)
 
     for m in _EMAIL.finditer(text):
         if not _HOST_ONLY.search(m.group()):
             out.append(("email", m.start(), m.end(), m.group().lower(), "email", []))
-            taken.append(m.span())
+            take(*m.span())
     for m in _ADDRESS.finditer(text):
         if free(*m.span()):
             out.append(("address", m.start(), m.end(), m.group().lower(), "address", _sides(text, *m.span())))
-            taken.append(m.span())
+            take(*m.span())
     for m in _NUMBER.finditer(text):
         start, end = m.span()
         label = _LEAD_LABEL.match(m.group())
@@ -132,7 +136,7 @@ def candidates(text: str) -> list[tuple[str, int, int, str, str, list[str]]]:
         else:
             seed = ""
         out.append(("number", start, end, shown, seed, _sides(text, before, end)))
-        taken.append((start, end))
+        take(start, end)
     for m in _NAME.finditer(text):
         pieces = list(_PIECE.finditer(text, m.start(), m.end()))
         if len(pieces) < 2:
@@ -214,13 +218,14 @@ def _settled(rows: pd.Series) -> pd.Series:
     """The spans of one text that do not overlap, best scores first, then longer ones, numbered by kind in the order of the text."""
 
     def settle(spans) -> list[tuple[str, int, int, int]]:
-        kept: list[tuple[int, int, str]] = []
+        kept: list[tuple[int, int, str]] = []  # in order of the text, none overlaps another
         for s in sorted(spans, key=lambda s: (-round(s["score"], 3), s["start"] - s["stop"], s["start"])):
-            if all(s["stop"] <= a or s["start"] >= b for a, b, _ in kept):
-                kept.append((s["start"], s["stop"], s["kind"]))
+            i = bisect.bisect_left(kept, (s["start"],))
+            if (i == 0 or kept[i - 1][1] <= s["start"]) and (i == len(kept) or kept[i][0] >= s["stop"]):
+                kept.insert(i, (s["start"], s["stop"], s["kind"]))
         count: dict[str, int] = {}
         out = []
-        for a, b, kind in sorted(kept):
+        for a, b, kind in kept:
             count[kind] = count.get(kind, 0) + 1
             out.append((kind, count[kind], a, b))
         return out
@@ -273,6 +278,7 @@ def details(texts: DataFrame) -> DataFrame:
     no such sign, and tell phone from id numbers, and both from order numbers, dates and the like. nth counts
     the details of a kind in a text. Null and empty texts have none; equal texts have equal ones; a row key is expected once per table and field.
     """
+    texts = texts.select("tbl", F.col("row_key").cast("bigint").alias("row_key"), "field", "text")
     found = cut(candidates_of(texts))
     patterns = pattern_scores(found)
     row = ["tbl", "row_key", "field"]
@@ -300,6 +306,7 @@ def _replaced(text: pd.Series, spans: pd.Series) -> pd.Series:
 def redacted(texts: DataFrame) -> DataFrame:
     """`texts` with each detail replaced by a placeholder of its type, as [PHONE]; all else stays as it is, null stays null."""
     row = ["tbl", "row_key", "field"]
+    texts = texts.select("tbl", F.col("row_key").cast("bigint").alias("row_key"), "field", "text")
     spans = details(texts).groupBy(*row).agg(F.collect_list(F.struct("kind", "start", "stop")).alias("spans"))
     return texts.join(spans, row, "left").select(*row, _replaced("text", "spans").alias("text"))
 

@@ -130,7 +130,7 @@ class ProseModel:
         self.surprise = -np.log2(p3).ravel()
         n = max(counts.sum(), 1)
         self.mean = float((counts * self.surprise).sum() / n)
-        self.deviation = math.sqrt(max(float((counts * (self.surprise - self.mean) ** 2).sum() / n), 1e-9))
+        self.deviation = math.sqrt(max(float((counts * (self.surprise - self.mean) ** 2).sum() / n), 1e-9)) if counts.any() else math.inf
 
     def _odd(self, mean, n):
         error = self.deviation / np.sqrt(n)
