@@ -94,7 +94,7 @@ SQL = {
     "r1_bursts": """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS b FROM g)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS stop, count(*) AS n FROM s GROUP BY user_id, b HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 10 MINUTE""",
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS stop, count(*) AS n FROM s GROUP BY user_id, b HAVING max(ts) + INTERVAL 1 HOUR < (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 10 MINUTE""",
     "r2_tail": W.sql("SELECT seq, source FROM runs WHERE seq > 100 ORDER BY seq DESC LIMIT 100"),
     "r3_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY 1, 2 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     "r4_failure_buffer": "SELECT user_id, least(count(*), 50)::INT AS held, arg_max(event_id, (ts, event_id)) AS last_seq FROM events WHERE event_type = 'error' GROUP BY user_id",

@@ -18,7 +18,7 @@ _CALL = r"([A-Za-z_$][A-Za-z0-9_$.]*)\("
 def scan_files(spark: SparkSession, root: str, glob: str = "*.{ts,tsx,js,jsx,py,go,rs,java}") -> DataFrame:
     """(path, modified, content) of the source files under `root`: by name, in all folders, without EXCLUDED ones and dot files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return files.where(~F.col("path").rlike(EXCLUDED)).select("path", F.col("modificationTime").alias("modified"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return files.where(~F.col("path").rlike(EXCLUDED)).select("path", F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("content"))
 
 
 def code_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

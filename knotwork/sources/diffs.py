@@ -27,9 +27,10 @@ def diff_lines(diffs: DataFrame, key: str, text: str = "diff") -> DataFrame:
             "hunk": F.sum(is_hunk.cast("int")).over(w),
             "start": F.last(F.when(is_hunk, F.regexp_extract("line", _HUNK, 1).cast("int")), ignorenulls=True).over(w),
             "head": head,
+            "in_hunk": F.last(F.when(head, is_hunk), ignorenulls=True).over(w),
         }
     )
-    body = rows.where(~F.col("head") & ((F.col("hunk") > 0) | (F.col("segment") == 0)) & (F.col("line") != ""))
+    body = rows.where(~F.col("head") & F.coalesce("in_hunk", F.lit(True)) & (F.col("line") != ""))
     tag = F.when(F.col("line").startswith("+"), "add").when(F.col("line").startswith("-"), "del").otherwise("ctx")
     body = body.withColumn("tag", tag)
     within = Window.partitionBy(key, "segment", "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
