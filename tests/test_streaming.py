@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ def test_counts_equal_the_batch(spark, rows, events):
 def test_bursts_equal_the_batch(rows, events):
     df, stream = events
     limit = df.agg(F.max("ts")).first()[0] - dt.timedelta(minutes=10)
-    assert rows(S.drain(S.bursts(stream, "user_id", "5 minutes"))) == rows(S.bursts(df, "user_id", "5 minutes").where(F.col("stop") < F.lit(limit)))
+    # filtered here: Spark would push the filter below the merging of sessions
+    want = [r for r in rows(S.bursts(df, "user_id", "5 minutes")) if r[2] < limit]
+    assert rows(S.drain(S.bursts(stream, "user_id", "5 minutes"))) == want
 
 
 def test_folded_weights(rows, events):
@@ -55,7 +58,7 @@ def test_failure_buffer_keeps_the_last(rows, events):
 
 
 def test_late_events_are_dropped_and_restart_goes_on(spark, tmp_path):
-    src, base = str(tmp_path / "in"), f"{ensure_checkpoint_dir(spark)}/late-{tmp_path.name}"
+    src, base = str(tmp_path / "in"), f"{ensure_checkpoint_dir(spark)}/late-{uuid.uuid4().hex}"
     schema = "ts timestamp, k string"
 
     def run():
