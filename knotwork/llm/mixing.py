@@ -79,7 +79,7 @@ def plan(sizes: dict[str, list[tuple[int, int]]], targets: list[tuple[str, float
         total = min((most[s] * whole / share for s, (share, _) in there.items()), default=0.0)
     out = {}
     for s, (share, cap) in there.items():
-        wanted = min(total * share / whole, most[s])
+        wanted = float(min(total * share / whole, most[s]))
         out[s] = {"share": share / whole, "wanted": wanted, "cap": cap, "level": _level(sizes[s], cap, wanted)}
     return out
 

@@ -18,7 +18,7 @@ from ..sources.tables import table
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 # Rounds of scoring, the score from which a detail counts, and how a pattern's instances without a verdict, and its lack of instances, weigh.
-ROUNDS, ACCEPT, UNKNOWN, DOUBT = 3, 0.5, 0.2, 0.5
+ROUNDS, ACCEPT, UNKNOWN, DOUBT = 3, 0.5, 0.2, 1.5
 
 # Words before a number that say what it is. They make seeds; what stands around the seeds makes the patterns.
 _ID_LABEL = (
@@ -60,7 +60,7 @@ _TITLE = r"(?:Dr|Mr|Mrs|Ms|Miss|Prof|Frau|Herr|Sr|Sra|Srta|Mme|Mlle|M|Don|Doña|
 _PART = rf"(?:[{_U}][a-zà-öø-ÿ]+(?:[-'’][{_U}]?[a-zà-öø-ÿ]+)*|[{_U}]['’][{_U}][a-zà-öø-ÿ]+(?:-[{_U}][a-zà-öø-ÿ]+)*|[{_U}]['’][{_U}]{{2,}}|[{_U}]{{2,}}(?:[-'’][{_U}]+)*)"
 _INITIAL = rf"[{_U}]\."
 _PARTICLE = r"(?:van|von|de|del|der|den|da|di|la|le|du|zu|ter|ten|bin|el|y)"
-_NAME = re.compile(rf"(?<![\w@#/.\-\[])(?:{_TITLE}\.? (?:{_PARTICLE} ){{0,3}})?(?:{_PART}|{_INITIAL})(?:,? (?:{_TITLE}\.? )?(?:{_PARTICLE} ){{0,3}}(?:{_PART}|{_INITIAL}(?= ))){{0,5}}(?![\w/_(=]|\.\w)")
+_NAME = re.compile(rf"(?<![\w@#/.\-\[])(?:{_TITLE}\.? (?:{_PARTICLE} ){{0,3}})?(?:{_PART}|{_INITIAL})(?:,? (?:{_PARTICLE} ){{0,3}}(?:{_TITLE}\.? )?(?:{_PARTICLE} ){{0,3}}(?:{_PART}|{_INITIAL}(?= ))){{0,5}}(?![\w/_(=]|\.\w)")
 _PIECE = re.compile(rf"{_TITLE}\.?(?= )|{_PART}|{_INITIAL}|{_PARTICLE}|,")
 _SEED_NAME = re.compile(rf"^(?:{_TITLE}\.? (?:{_INITIAL} )?(?:{_PARTICLE} )*{_PART}|{_INITIAL} (?:{_PARTICLE} )*{_PART}|{_PART} {_INITIAL} (?:{_PARTICLE} )*{_PART})")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[.!?;:(),\[\]]")
@@ -246,8 +246,9 @@ def _small_names(texts: DataFrame, names: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for t, k, f, x, own in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                for m in re.finditer(r"(?<![\w@.+/-])(?i:" + "|".join(map(re.escape, own)) + rf")((?: {_PARTICLE}){{0,2}} [^\W\d_A-Z][\w'’-]*)(?![\w@])", x):
-                    rows.append((t, k, f, "name", m.start(), m.end(), m.group().lower(), "", _sides(x, *m.span())))
+                # found at every word, as a word before the name may be taken for its first part
+                for m in re.finditer(r"(?<![\w@.+/-])(?=((?i:" + "|".join(map(re.escape, own)) + rf")(?: {_PARTICLE}){{0,2}} [^\W\d_A-Z][\w'’-]*)(?![\w@]))", x):
+                    rows.append((t, k, f, "name", m.start(1), m.end(1), m.group(1).lower(), "", _sides(x, *m.span(1))))
             columns = list(zip(*rows)) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=schema.field(i).type) for i, c in enumerate(columns)], schema=schema)
 
