@@ -9,6 +9,7 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,8 +18,10 @@ from ..session import cut
 from ..sources.tables import table
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-# Rounds of scoring, the score from which a detail counts, and how a pattern's instances without a verdict, and its lack of instances, weigh.
-ROUNDS, ACCEPT, UNKNOWN, DOUBT = 3, 0.5, 0.2, 1.5
+# How an instance without a verdict counts against its patterns, by round: little while verdicts spread, in full at the end.
+UNKNOWN = (0.2, 0.5, 1.0)
+# The scores from which an instance has a verdict in the rounds and a detail counts at the end, and how a pattern's lack of instances weighs.
+ACCEPT, FINAL, DOUBT = 0.5, 0.7, 1.5
 
 # Words before a number that say what it is. They make seeds; what stands around the seeds makes the patterns.
 _ID_LABEL = (
@@ -33,7 +36,7 @@ _PLAIN_NUMBER = re.compile(r"^(?:\d{4}-\d{2}-\d{2}|\d{1,3}(?:\.\d{1,3}){3}|\d+\.
 _PHONE_SEED = re.compile(r"^(?:tel:|\+\d|00[1-9]\d{0,2} \d|00[1-9]\d{10,}|\(\d{3}\) ?\d{3}-\d{4})")
 
 _EMAIL = re.compile(
-    r"(?<![\w.+-])[\w][\w.+-]*(?:@|\s?[\[({<]\s?(?:at|chez|arroba|ät|a)\s?[\])}>]\s?|\s(?:at|AT|arroba|chez)\s(?=[\w-]+\s?(?:[\[({<]\s?(?:dot|punto|point|punkt)|\s(?:dot|DOT|punto|point|punkt)\s)))[\w-]+(?:(?:\.|\s?[\[({<]\s?(?:dot|punto|point|punkt)\s?[\])}>]\s?|\s(?:dot|DOT|punto|point|punkt)\s)[\w-]+)+",
+    r"(?<![\w.+-])[\w][\w.+-]*(?:@|\s@\s(?=[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2})|\s?[\[({<]\s?(?:at|chez|arroba|ät|a)\s?[\])}>]\s?|\s(?:at|AT|arroba|chez)\s(?=[\w-]+\s?(?:[\[({<]\s?(?:dot|punto|point|punkt)|\s(?:dot|DOT|punto|point|punkt)\s)))[\w-]+(?:(?:\.|\s?[\[({<]\s?(?:dot|punto|point|punkt)\s?[\])}>]\s?|\s(?:dot|DOT|punto|point|punkt)\s)[\w-]+)+",
 )
 _HOST_ONLY = re.compile(r"^(?:git|svn|hg|root|deploy)@|@\d+\.", re.IGNORECASE)
 
@@ -67,8 +70,15 @@ _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[.!?;:(),\[\]]")
 _END = set(".!?;:(),[]")
 
 
-def _sides(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: one to three words before it, one to three after, within the sentence; digits as 0."""
+def _hash(words: str) -> int:
+    return xxhash.xxh3_64_intdigest(words) - 2**63
+
+
+def _sides(text: str, start: int, end: int, least: int = 1) -> list[int]:
+    """Lexical patterns around a span: `least` to three words before it, two or three after, within the sentence; digits as 0.
+
+    A pattern is shuffled as a 64-bit hash of its words, even for those before and odd for those after.
+    """
     before = [w.lower() for w in _WORD.findall(text[max(0, start - 60) : start])]
     after = [w.lower() for w in _WORD.findall(text[end : end + 60])]
     left: list[str] = []
@@ -83,16 +93,16 @@ def _sides(text: str, start: int, end: int) -> list[str]:
         right.append(re.sub(r"\d+", "0", w))
     out = []
     for n in (1, 2, 3):
-        if len(left) >= n and (n > 1 or len(left[-1]) > 2):
-            out.append("L" + str(n) + " " + " ".join(left[-n:]))
+        if n >= least and len(left) >= n and (n > 1 or len(left[-1]) > 2):
+            out.append((_hash("<" + " ".join(left[-n:])) >> 1) << 1)
         if n > 1 and len(right) >= n:
-            out.append("R" + str(n) + " " + " ".join(right[:n]))
+            out.append(_hash(">" + " ".join(right[:n])) | 1)
     return out
 
 
-def candidates(text: str) -> list[tuple[str, int, int, str, str, list[str]]]:
+def candidates(text: str) -> list[tuple[str, int, int, str, str, list[int]]]:
     """(group, start, end, instance, seed, patterns) of all spans of `text` that may be a detail. seed is a kind, 'none', or '' where not known."""
-    out: list[tuple[str, int, int, str, str, list[str]]] = []
+    out: list[tuple[str, int, int, str, str, list[int]]] = []
     taken = bytearray(len(text))
 
     def free(a: int, b: int) -> bool:
@@ -160,13 +170,13 @@ def candidates(text: str) -> list[tuple[str, int, int, str, str, list[str]]]:
     return out
 
 
-_CANDIDATE = "tbl string, row_key bigint, field string, grp string, start int, stop int, instance string, seed string, patterns array<string>"
+_CANDIDATE = "tbl string, row_key bigint, field string, grp string, start int, stop int, instance string, seed string, patterns array<bigint>"
 
 
 def candidates_of(texts: DataFrame) -> DataFrame:
     """`candidates` of every row of `texts` (tbl, row_key, field, text)."""
     names = ["tbl", "row_key", "field", "grp", "start", "stop", "instance", "seed", "patterns"]
-    schema = pa.schema([("tbl", pa.string()), ("row_key", pa.int64()), ("field", pa.string()), ("grp", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.string()), ("seed", pa.string()), ("patterns", pa.list_(pa.string()))])
+    schema = pa.schema([("tbl", pa.string()), ("row_key", pa.int64()), ("field", pa.string()), ("grp", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.string()), ("seed", pa.string()), ("patterns", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,22 +194,23 @@ def pattern_scores(found: DataFrame) -> DataFrame:
     """(grp, pattern, phone, id_number, address, name, none): how far each pattern points to each kind, by rounds over the pattern-instance graph.
 
     Seeds have their kind from the start. A pattern's score for a kind is the sum of its distinct instances' scores over the
-    number of those with a verdict, plus UNKNOWN for each without and DOUBT; an instance's score joins its best pattern on either side,
+    number of those with a verdict, plus UNKNOWN of the round for each without and DOUBT; an instance's score joins its best pattern on either side,
     as the chance that not both are wrong. In each round patterns that surround good instances make their other instances good.
     """
-    edges = cut(found.where("grp IN ('number', 'name')").select("grp", "instance", "seed", F.explode("patterns").alias("pattern")).distinct())
+    hashed = F.xxhash64("instance").alias("instance")
+    edges = cut(found.where("grp IN ('number', 'name')").select("grp", hashed, "seed", F.explode("patterns").alias("pattern")).distinct())
     seeds = edges.groupBy("grp", "instance").agg(F.max("seed").alias("seed"))
     verdict = seeds.where("seed <> ''").select("grp", "instance", *(F.when(F.col("seed") == k, 1.0).otherwise(0.0).alias(k) for k in _SCORED))
     # Of an instance and a pattern only one edge counts, whatever its seed says there
     links = edges.select("grp", "instance", "pattern").distinct()
     patterns = None
-    for turn in range(ROUNDS):
+    for turn, unknown in enumerate(UNKNOWN):
         known = links.join(verdict, ["grp", "instance"], "left")
         weight = sum((F.coalesce(F.col(k), F.lit(0.0)) for k in _SCORED), F.lit(0.0))
-        total = F.sum(F.greatest(weight, F.lit(UNKNOWN))) + DOUBT
+        total = F.sum(F.greatest(weight, F.lit(unknown))) + DOUBT
         patterns = known.groupBy("grp", "pattern").agg(*((F.sum(F.coalesce(F.col(k), F.lit(0.0))) / total).alias(k) for k in _SCORED))
         patterns = cut(patterns.where(reduce(lambda a, b: a | b, (F.col(k) >= 0.05 for k in _SCORED))))
-        if turn < ROUNDS - 1:
+        if turn < len(UNKNOWN) - 1:
             scored = links.join(patterns, ["grp", "pattern"]).groupBy("grp", "instance").agg(*(_either_side(k) for k in _SCORED))
             sure = reduce(lambda a, b: a | b, (F.col(k) >= ACCEPT for k in _SCORED))
             learned = scored.where(sure).join(seeds.where("seed <> ''"), ["grp", "instance"], "left_anti")
@@ -208,8 +219,8 @@ def pattern_scores(found: DataFrame) -> DataFrame:
 
 
 def _either_side(k: str):
-    left = F.max(F.when(F.col("pattern").startswith("L"), F.col(k)).otherwise(0.0))
-    right = F.max(F.when(F.col("pattern").startswith("R"), F.col(k)).otherwise(0.0))
+    before = F.col("pattern").bitwiseAND(F.lit(1).cast("bigint")) == 0
+    left, right = F.max(F.when(before, F.col(k)).otherwise(0.0)), F.max(F.when(~before, F.col(k)).otherwise(0.0))
     return (1 - (1 - left) * (1 - right)).alias(k)
 
 
@@ -234,13 +245,20 @@ def _settled(rows: pd.Series) -> pd.Series:
 
 
 def _small_names(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """Candidates for names in lower case: words that are first parts of at least two of the `names` found so far, with the one to three words that follow."""
+    """Candidates for names in lower case: words that are first parts of at least two of the `names` found so far, with the one to three words that follow.
+
+    A word that stands in lower case in more than five times as many texts as there are names with it is an ordinary word and none of these.
+    """
     row = ["tbl", "row_key", "field"]
     first = F.regexp_extract("instance", rf"^(?:(?i:{_TITLE})\.? )?(\p{{L}}{{3,}})[ ]", 1)
-    parts = names.select(first.alias("part"), "instance").where("part <> ''").groupBy("part").agg(F.count_distinct("instance").alias("n")).where("n >= 2").select("part")
-    words = texts.where(F.length("text") > 0).select(*row, F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("part")).where(F.length("part") >= 3)
+    parts = names.select(first.alias("part"), "instance").where("part <> ''").groupBy("part").agg(F.count_distinct("instance").alias("n")).where("n >= 2")
+    each = texts.where(F.length("text") > 0).select(*row, F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("word")).where(F.length("word") >= 3)
+    words = each.select(*row, F.lower("word").alias("part"), (F.col("word") == F.lower("word")).alias("small")).join(parts, "part", "left_semi")
+    words = cut(words)
+    ordinary = words.where("small").groupBy("part").agg(F.count(F.lit(1)).alias("uses"))
+    parts = parts.join(ordinary, "part", "left").where(F.coalesce("uses", F.lit(0)) <= 5 * F.col("n")).select("part")
     hits = words.join(parts, "part").groupBy(*row).agg(F.collect_set("part").alias("parts"))
-    schema = pa.schema([("tbl", pa.string()), ("row_key", pa.int64()), ("field", pa.string()), ("grp", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.string()), ("seed", pa.string()), ("patterns", pa.list_(pa.string()))])
+    schema = pa.schema([("tbl", pa.string()), ("row_key", pa.int64()), ("field", pa.string()), ("grp", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.string()), ("seed", pa.string()), ("patterns", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +266,7 @@ def _small_names(texts: DataFrame, names: DataFrame) -> DataFrame:
             for t, k, f, x, own in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 # found at every word, as a word before the name may be taken for its first part
                 for m in re.finditer(r"(?<![\w@.+/-])(?=((?i:" + "|".join(map(re.escape, own)) + rf")(?: {_PARTICLE}){{0,2}} [^\W\d_A-Z][\w'’-]*)(?![\w@]))", x):
-                    rows.append((t, k, f, "name", m.start(1), m.end(1), m.group(1).lower(), "", _sides(x, *m.span(1))))
+                    rows.append((t, k, f, "name", m.start(1), m.end(1), m.group(1).lower(), "", _sides(x, *m.span(1), 2)))
             columns = list(zip(*rows)) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=schema.field(i).type) for i, c in enumerate(columns)], schema=schema)
 
@@ -259,15 +277,19 @@ def _weighed(found: DataFrame, patterns: DataFrame) -> DataFrame:
     """Kind, score for it and score against any for each number or name in `found`, by its seed or else the best patterns beside it."""
     row = ["tbl", "row_key", "field"]
     lettered = F.regexp_replace(F.lower("instance"), r"^tel:|(?:ext|x|extension|durchwahl|poste|int)\.? ?\d+$", "").rlike("[a-z]")
-    own = found.where("grp IN ('number', 'name')").select(*row, "grp", "start", "stop", "seed", lettered.alias("lettered"), F.explode_outer("patterns").alias("pattern"))
-    scored = own.join(patterns, ["grp", "pattern"], "left").groupBy(*row, "grp", "start", "stop", "seed", "lettered").agg(*(_either_side(k) for k in _SCORED))
+    own = found.where("grp IN ('number', 'name')").select(*row, "grp", "start", "stop", "seed", F.xxhash64("instance").alias("instance"), lettered.alias("lettered"), F.explode_outer("patterns").alias("pattern"))
+    scored = own.join(patterns, ["grp", "pattern"], "left").groupBy(*row, "grp", "start", "stop", "seed", "instance", "lettered").agg(*(_either_side(k) for k in _SCORED))
     by_seed = lambda k: F.when(F.col("seed") == k, 1.0).when(F.col("seed") == "none", 0.0).otherwise(F.coalesce(k, F.lit(0.0)))
     phone = F.when(F.col("lettered"), 0.0).otherwise(by_seed("phone"))  # no telephone number has letters but in its extension
     number = F.when(phone >= by_seed("id_number"), "phone").otherwise("id_number")
     kind = F.when(F.col("grp") == "name", "name").otherwise(number)
     score = F.when(F.col("grp") == "name", by_seed("name")).otherwise(F.greatest(phone, by_seed("id_number")))
     against = F.when((F.col("grp") == "number") & (F.col("seed") == ""), F.coalesce("none", F.lit(0.0))).otherwise(0.0)
-    return scored.select(*row, "start", "stop", kind.alias("kind"), score.alias("score"), against.alias("against"))
+    weighed = cut(scored.select(*row, "start", "stop", "instance", kind.alias("kind"), score.alias("score"), against.alias("against")))
+    # A product may stand in a place for names now and then; a name does so nearly always
+    steady = weighed.where("kind = 'name'").groupBy("instance").agg(F.avg((F.col("score") >= FINAL).cast("double")).alias("share")).where("share >= 0.5").select("instance")
+    names = weighed.where("kind = 'name'").join(steady, "instance", "left_semi")
+    return weighed.where("kind <> 'name'").unionByName(names).drop("instance")
 
 
 def details(texts: DataFrame) -> DataFrame:
@@ -284,10 +306,10 @@ def details(texts: DataFrame) -> DataFrame:
     patterns = pattern_scores(found)
     row = ["tbl", "row_key", "field"]
     strict = _weighed(found, patterns)
-    names = found.join(strict.where(F.col("kind") == "name").where(F.col("score") >= ACCEPT).select(*row, "start", "stop"), [*row, "start", "stop"], "left_semi").where("grp = 'name'")
+    names = found.join(strict.where((F.col("kind") == "name") & (F.col("score") >= FINAL)).select(*row, "start", "stop"), [*row, "start", "stop"], "left_semi").where("grp = 'name'")
     weighed = strict.unionByName(_weighed(_small_names(texts, names), patterns))
     plain = found.where("grp IN ('email', 'address')").select(*row, "start", "stop", F.col("grp").alias("kind"), F.lit(2.0).alias("score"))
-    accepted = weighed.where((F.col("score") >= ACCEPT) & (F.col("score") > F.col("against"))).drop("against").unionByName(plain)
+    accepted = weighed.where((F.col("score") >= FINAL) & (F.col("score") > F.col("against"))).drop("against").unionByName(plain)
     spans = accepted.groupBy(*row).agg(F.collect_list(F.struct("kind", "score", "start", "stop")).alias("spans"))
     return spans.select(*row, F.explode(_settled("spans")).alias("d")).select(*row, "d.kind", "d.nth", "d.start", "d.stop")
 
