@@ -5,7 +5,7 @@ import pytest
 from knotwork.llm import pii as P
 
 KNOWN = [
-    ("Contact nils.ossel+ci@team.example or nils [at] team [dot] example, or nils at team dot example.", {"email": 3}),
+    ("Contact nils.ossel+ci@team.example or nils [at] team [dot] example, or nils at team dot example, nils(at)team.example, nils @ team.example.", {"email": 5}),
     ("Sent to <mail@corp.test> by mistake, uses @harbor/ledger@10.2.3 and the @Injectable decorator.", {"email": 1}),
     ("Pager +1-555-555-0156 ext. 65 and tel:+15555550135.", {"phone": 2}),
     ("Office at Flat 3, 12 Sedge Road, Norhaven, before that Mossgate House, 223 Mossgate Square, Montaubry.", {"address": 2}),
