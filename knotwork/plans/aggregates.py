@@ -142,10 +142,10 @@ def a19_bench_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a19_paired_delta(spark: SparkSession, sf: str) -> DataFrame:
-    """Completion rate per task in either arm and their difference, for tasks that ran in both."""
-    b = table(spark, sf, "bench_runs", "task_id", "arm", "timed_out").where("arm IN ('baseline', 'gps')")
-    p = b.groupBy("task_id").pivot("arm", ["baseline", "gps"]).agg(F.avg((~F.coalesce("timed_out", F.lit(False))).cast("double")))
-    return p.where("baseline IS NOT NULL AND gps IS NOT NULL").select("task_id", F.round(F.col("gps") - F.col("baseline"), 6).alias("delta"))
+    """Completion rate per task in the arm under test less that in the baseline, for tasks that ran in both."""
+    b = table(spark, sf, "bench_runs", "task_id", "arm", "timed_out").where("arm IS NOT NULL").withColumn("side", F.when(F.col("arm") == "baseline", "base").otherwise("test"))
+    p = b.groupBy("task_id").pivot("side", ["base", "test"]).agg(F.avg((~F.coalesce("timed_out", F.lit(False))).cast("double")))
+    return p.where("base IS NOT NULL AND test IS NOT NULL").select("task_id", F.round(F.col("test") - F.col("base"), 6).alias("delta"))
 
 
 def a20_kappa(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,7 +229,7 @@ SELECT *, round(confirmed::DOUBLE / greatest(found, 1), 6) AS precision, round(f
 SELECT arm, round(max(duration_sec) FILTER (WHERE i = least(n - 1, floor(50.0 * n / 100))), 6) AS p50, round(max(duration_sec) FILTER (WHERE i = least(n - 1, floor(95.0 * n / 100))), 6) AS p95
 FROM (SELECT arm, duration_sec, row_number() OVER (PARTITION BY arm ORDER BY duration_sec, run_key) - 1 AS i, count(*) OVER (PARTITION BY arm) AS n FROM bench_runs WHERE duration_sec IS NOT NULL) GROUP BY arm""",
     "a19_bench_rollup": f"SELECT agent_label, arm, count(*) AS runs, round({_OK}, 6) AS completed, round(avg(duration_sec), 4) AS mean_duration, grouping(agent_label, arm)::INT AS level FROM bench_runs GROUP BY ROLLUP (agent_label, arm)",
-    "a19_paired_delta": f"SELECT task_id, round(g - b, 6) AS delta FROM (SELECT task_id, {_OK} FILTER (WHERE arm = 'gps') AS g, {_OK} FILTER (WHERE arm = 'baseline') AS b FROM bench_runs GROUP BY task_id) WHERE g IS NOT NULL AND b IS NOT NULL",
+    "a19_paired_delta": f"SELECT task_id, round(g - b, 6) AS delta FROM (SELECT task_id, {_OK} FILTER (WHERE arm <> 'baseline') AS g, {_OK} FILTER (WHERE arm = 'baseline') AS b FROM bench_runs GROUP BY task_id) WHERE g IS NOT NULL AND b IS NOT NULL",
     "a20_kappa": """
 SELECT n, round(CASE WHEN pa * pb + (1 - pa) * (1 - pb) = 1 THEN 1.0::DOUBLE ELSE (agree - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))) END, 6) AS kappa
 FROM (SELECT count(*) AS n, avg((a = b)::INT) AS agree, avg(a::INT) AS pa, avg(b::INT) AS pb FROM (SELECT coalesce(timed_out, false) AS a, coalesce(length(output), 0) < 40 AS b FROM bench_runs))""",

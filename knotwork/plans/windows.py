@@ -226,9 +226,16 @@ def p_test_files(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("file", F.col("file").rlike(r"(?i)(?:^|/)(?:tests?|__tests__|spec)/|\.(?:test|spec)\.[cm]?[jt]sx?$").alias("is_test"))
 
 
+def p_alias_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Inbox items that name a feature as a word of its own, bounded by anything but letters, figures and hyphens."""
+    labels = W.runs(spark, sf).select(F.lower("feature").alias("label")).dropna().distinct()
+    words = W.inb(spark, sf).select("item_key", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9-]+"))).alias("label"))
+    return words.join(labels, "label", "left_semi").select("item_key", "label")
+
+
 _NS = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 _IS = "CASE severity WHEN 'block' THEN 3 WHEN 'warn' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
-_FUNCS = (w1_note_ranking, w2_latest_decision, w3_preference_ranking, w5_first_wins, w6_ewma, w7_running_context, w8_budget_packing, w9_budget_trim, w10_sequence, w11_per_file_cap, w12_order_preserving, w13_nearest_above, t1_section_caps, t4_suggest_queue, t5_review_queue, t6_stale_order, t7_recommendations, t8_verification_queue, t10_sample, u2_memory_union, u3_file_union, u4_todo_union, u5_out_of_scope, u6_prepared_not_edited, u7_replica_merge, u9_vanished_todos, s6_keyed_read, p_expiry_filter, p_since_filter, p_test_files)
+_FUNCS = (w1_note_ranking, w2_latest_decision, w3_preference_ranking, w5_first_wins, w6_ewma, w7_running_context, w8_budget_packing, w9_budget_trim, w10_sequence, w11_per_file_cap, w12_order_preserving, w13_nearest_above, t1_section_caps, t4_suggest_queue, t5_review_queue, t6_stale_order, t7_recommendations, t8_verification_queue, t10_sample, u2_memory_union, u3_file_union, u4_todo_union, u5_out_of_scope, u6_prepared_not_edited, u7_replica_merge, u9_vanished_todos, s6_keyed_read, p_expiry_filter, p_since_filter, p_test_files, p_alias_match)
 QUERIES = {f.__name__: f for f in _FUNCS}
 SQL = {
     "w1_note_ranking": W.sql(f"SELECT * FROM (SELECT symbol, note_key, row_number() OVER (PARTITION BY symbol ORDER BY {_NS} DESC, recorded_at DESC NULLS LAST, note_key) AS position FROM note WHERE symbol IS NOT NULL AND NOT coalesce(promoted, false)) WHERE position <= 10"),
@@ -270,5 +277,6 @@ SELECT * FROM (SELECT CASE kind WHEN 'promotion_candidate' THEN 1 ELSE 3 END AS
     "s6_keyed_read": "SELECT note_key, nullif(trim(symbol), '') AS symbol FROM notes WHERE scope = 'symbol' AND severity = 'high'",
     "p_expiry_filter": "SELECT note_key FROM notes WHERE coalesce(try_cast(expires_at AS TIMESTAMP) >= TIMESTAMP '2026-07-01', true)",
     "p_since_filter": "SELECT note_key FROM notes WHERE recorded_at >= TIMESTAMP '2026-05-01'",
+    "p_alias_match": W.sql("SELECT item_key, label FROM (SELECT item_key, unnest(list_distinct(string_split_regex(lower(text), '[^a-z0-9-]+'))) AS label FROM inb) WHERE label IN (SELECT lower(feature) FROM runs WHERE feature IS NOT NULL)"),
     "p_test_files": r"SELECT DISTINCT file, regexp_matches(file, '(?i)(?:^|/)(?:tests?|__tests__|spec)/|\.(?:test|spec)\.[cm]?[jt]sx?$') AS is_test FROM symbols WHERE file IS NOT NULL",
 }
