@@ -14,7 +14,7 @@ from .languages import FUNCTION_WORDS, LANGUAGE_NAMES, best_language, language_s
 ORDER = ("empty", "copy", "refusal", "truncated", "wrong_language")
 
 # What stands for no answer, letters and digits only.
-PLACEHOLDERS = "empty emptyanswer emptyoutput emptyresponse nooutput noanswer noresponse nocontent nothing na null none nil nan undefined blank tbd placeholder answer output response leer keineantwort keineausgabe vide aucuneréponse aucunesortie vacío sinrespuesta sinsalida".split()
+PLACEHOLDERS = "empty emptyanswer emptyoutput emptyresponse nooutput noanswer noresponse nocontent na null none nil nan undefined blank tbd placeholder answer output response leer keineantwort keineausgabe vide aucuneréponse aucunesortie vacío sinrespuesta sinsalida".split()
 
 # Wordings of a declined request, matched on plain words (lower case, no punctuation, no apostrophes).
 REFUSALS = {
