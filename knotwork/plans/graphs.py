@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import trimmed
 from ..operators.graph import closure, degrees
-from ..operators.ranking import first_by, severity_rank, top_by
+from ..operators.ranking import severity_rank, top_by
 from ..sources.tables import table
 from . import warehouse as W
 
