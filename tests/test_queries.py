@@ -51,3 +51,18 @@ def test_core_query(spark, duck, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["tbl", "row_key", "field", "status"]
+
+
+@pytest.mark.parametrize("name, whole, key", [("j21_similar_notes", "j21_all_similar_notes", "note_key"), ("j22_inbox_duplicates", "j22_all_inbox_duplicates", "item_key")])
+def test_similarity_of_every_row(spark, duck, name, whole, key):
+    """The whole form equals the SQL without its filter on every twentieth row; a note without tokens counts 0."""
+    sql = registry.SQL[name].replace(f"q.{key} % 20 = 0", "true")
+    assert sql != registry.SQL[name]
+    df = registry.QUERIES[whole](spark, DATA)
+    got = {r[key]: tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()}
+    rel = duck.sql(sql)
+    at = [rel.columns.index(c) for c in sorted(df.columns)]
+    want = {r[rel.columns.index(key)]: tuple(plain(r[i]) for i in at) for r in rel.fetchall()}
+    assert any(k % 20 for k in want)
+    assert {k: v for k, v in got.items() if k in want} == want
+    assert all(dict(zip(sorted(df.columns), v)).get("similar") == "0" for k, v in got.items() if k not in want)
