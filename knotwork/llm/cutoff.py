@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,8 @@ from ..session import cut
 from ..sources.tables import table
 
 # Near-copies: five words a shingle, similarity of 0.8 or more. 6 bands of 2 find a pair of that similarity in all but 1 of 450 cases;
-# as a bucket is sorted and not paired, such wide bands cost little.
-SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 6, 2
+# all texts of a bucket are compared, BUCKET of them at once. With fewer words than COPY_WORDS, one differing shingle is too many.
+SHINGLE, SIMILARITY, BANDS, BAND_ROWS, BUCKET, COPY_WORDS = 5, 0.8, 6, 2, 500, 8
 # A text ends where at most so much of its closing words' other uses go on: without further evidence, and at a length where a source cuts.
 GOES_ON, GOES_ON_AT_LIMIT = 0.5, 0.05
 # A length is a limit of its source when at least this share of its texts has it, and so many times the mean of the lengths around it.
@@ -36,37 +38,109 @@ def bands_of(words: list[str]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(low[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), seed=b) for b in range(BANDS)]
 
 
+def openings(plain: str) -> set[bytes]:
+    """Hashes of the openings of `plain`, in whole or cut words, that have at least SIMILARITY of its shingles. No opening ends within a figure."""
+    words = plain.split(" ")
+    least = max(SHINGLE, math.ceil(SIMILARITY * (len(words) - SHINGLE + 1) - 1e-9) + SHINGLE - 1)
+    out = set()
+    if len(words) >= least:
+        head = xxhash.xxh3_128(" ".join(words[: least - 1]))
+        for i in range(least - 1, len(words)):
+            head.update(" " if i else "")
+            for n in range(1, len(words[i]) + (i < len(words) - 1)):
+                if not (n < len(words[i]) and words[i][n - 1].isdigit() and words[i][n].isdigit()):
+                    one = head.copy()
+                    one.update(words[i][:n])
+                    out.add(one.digest())
+            head.update(words[i])
+    return out
+
+
+def _shingles(words: list[str]) -> set[int]:
+    return {hash(tuple(words[i : i + SHINGLE])) for i in range(len(words) - SHINGLE + 1)}
+
+
+def goes_on_in(a: list[str], b: list[str]) -> bool:
+    """Whether the words `b`, nearly those of `a`, go on where `a` ends: the last word of `a` has its place in `b`, in whole with more words after it or as the start of a longer word."""
+    m = [x for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if x.size]
+    if not m:
+        return False
+    i, j = m[-1].a + m[-1].size, m[-1].b + m[-1].size
+    if i == len(a):
+        return j < len(b)
+    last = a[-1]
+    return i == len(a) - 1 and j < len(b) and b[j].startswith(last) and not (last[-1].isdigit() and b[j][len(last)].isdigit())
+
+
+def cut_in_bucket(rows: list[tuple[str, bool, int]], across: bool) -> set[str]:
+    """The open texts of `rows` (plain, open, block) that another goes on from, similar by SIMILARITY. With `across`, only texts of different blocks are compared."""
+    texts = sorted(((x.split(" "), x, op, at) for x, op, at in rows), key=lambda r: len(r[0]))
+    sets = [_shingles(r[0]) for r in texts]
+    out = set()
+    for i, (words, plain, op, at) in enumerate(texts):
+        if not op:
+            continue
+        own = _shingles(words[:-1])
+        for k in range(len(texts)):
+            n, m = len(sets[i]), len(sets[k])
+            if k == i or len(texts[k][0]) < len(words) or (across and texts[k][3] == at) or n + 1 < SIMILARITY * m:
+                continue
+            # the shingle of a cut last word counts as common, as its word is the other's
+            common = min(len(own & sets[k]) + 1, n, m)
+            if common >= SIMILARITY * (n + m - common) - 1e-9 and goes_on_in(words, texts[k][0]):
+                out.add(plain)
+                break
+    return out
+
+
 def near_copies_cut(texts: DataFrame, text: str = "text") -> DataFrame:
     """Those of the distinct `texts` that are a near-copy of a longer one and end before it, within a sentence.
 
-    Min-hash bands over five-word shingles put near-copies into common buckets, which the leading words split further. In a bucket
-    the texts are ordered: all continuations of a text follow it at once, so that each is aligned with its successor only and no
-    pairs are formed. The alignment is verified in words: equal up to the last, possibly cut, word of the shorter, which has at
-    least SIMILARITY of the longer one's shingles. A figure with more digits is another figure, not a longer copy. Null texts are left out.
+    An opening of another text, whose last word may be cut, is found exactly: every text offers its openings of sufficient length
+    as keys (`openings`). Copies that differ elsewhere too are found by min-hash bands over five-word shingles: all texts of a bucket
+    are compared, large buckets in blocks, the similarity is verified and the words are aligned (`goes_on_in`). A copy has at least
+    SIMILARITY of the longer one's shingles. A figure with more digits is another figure, not a longer copy. Null texts are left out.
     """
 
+    def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"key": pa.array([k for x in batch.column(0).to_pylist() for k in openings(x)], pa.binary())})
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"key": pa.array([xxhash.xxh3_128_digest(x) for x in batch.column(0).to_pylist()], pa.binary()), "plain": batch.column(0)})
+
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [])
-            for plain in batch.column(0).to_pylist():
-                words = plain.split(" ")
-                head = xxhash.xxh3_64_intdigest(" ".join(words[:SHINGLE]))
-                for b in bands_of(words):
-                    out[0].append((b ^ head) - 2**63)
+            out: tuple[list, ...] = ([], [], [])
+            for plain, op in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for b in bands_of(plain.split(" ")):
+                    out[0].append(b - 2**63)
                     out[1].append(plain)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(out[0], pa.int64()), "plain": pa.array(out[1], pa.string())})
+                    out[2].append(op)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(out[0], pa.int64()), "plain": pa.array(out[1], pa.string()), "open": pa.array(out[2], pa.bool_())})
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[str] = set()
+            for across, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found |= cut_in_bucket([(r["plain"], r["open"], r["at"]) for r in rows.as_py()], across)
+            yield pa.RecordBatch.from_pydict({"plain": pa.array(sorted(found), pa.string())})
 
     own = texts.select(F.col(text).alias("text"), F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ").alias("plain"))
-    words = lambda c: F.size(F.split(c, " "))
-    plain = own.where(words(F.col("plain")) >= SHINGLE).select("plain").distinct()
-    rows = plain.mapInArrow(banded, "bucket bigint, plain string")
-    # texts that differ in punctuation only have the same words and are one row here, so the next row is a longer text
-    longer = rows.withColumn("next", F.lead("plain").over(Window.partitionBy("bucket").orderBy("plain"))).where(F.col("next").startswith(F.col("plain")) & (F.col("next") != F.col("plain")))
-    figures = F.col("plain").rlike(r"\d$") & F.substr(F.col("next"), F.length("plain") + 1, F.lit(1)).rlike(r"\d")
-    alike = (words(F.col("plain")) - SHINGLE + 1) >= SIMILARITY * (words(F.col("next")) - SHINGLE + 1)
-    early = longer.where(alike & ~figures).select("plain").distinct()
     open_ = ~F.col("text").rlike(r"[.!?][\"'”’»)\]`]*\s*$") | F.col("text").rlike(_MARKS)
-    return own.where(open_).join(early, "plain", "left_semi").select(F.col("text").alias(text)).distinct()
+    n = F.size(F.split("plain", " "))
+    plain = own.where(n >= SHINGLE).groupBy("plain").agg(F.max(open_).alias("open"))
+    asked = plain.where("open").select("plain").mapInArrow(hashed, "key binary, plain string")
+    opening = asked.join(plain.select("plain").mapInArrow(offered, "key binary").distinct(), "key", "left_semi").select("plain")
+    rows = plain.where(n >= COPY_WORDS).mapInArrow(banded, "bucket bigint, plain string, open boolean")
+    each = Window.partitionBy("bucket")
+    rows = rows.withColumns({"n": F.count(F.lit(1)).over(each), "any": F.max("open").over(each)}).where("n > 1 AND any")
+    rows = rows.withColumn("k", F.ceil(F.col("n") / BUCKET).cast("int")).withColumn("at", F.pmod(F.xxhash64("plain"), F.col("k")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "plain", "open", "at")
+    blocks = rows.repartition("bucket", "lo", "hi").groupBy("bucket", "lo", "hi").agg(F.collect_list(F.struct("plain", "open", "at")).alias("rows"))
+    near = blocks.select((F.col("lo") != F.col("hi")).alias("across"), "rows").mapInArrow(compared, "plain string")
+    return own.where(open_).join(opening.unionByName(near).distinct(), "plain", "left_semi").select(F.col("text").alias(text)).distinct()
 
 
 def closing(texts: Column) -> Column:

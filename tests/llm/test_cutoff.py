@@ -52,6 +52,23 @@ def test_near_copies(spark):
     assert {r.text for r in C.near_copies_cut(df).collect()} == {whole[:-6], whole[:-12]}
 
 
+def test_near_copies_that_differ_within(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    whole = " ".join(words) + "."
+    other = " ".join([*words[:20], "odd", *words[21:57], words[57][:2]])  # an inner word differs, the last is cut
+    stamped = "12:04:55 " + " ".join(words[:56])
+    done = "never " + " ".join(words[1:]) + "."  # another, but whole
+    df = spark.createDataFrame([(t,) for t in (whole, other, stamped, done, " ".join(words[:20]))], "text string")
+    assert {r.text for r in C.near_copies_cut(df).collect()} == {other, stamped}
+
+
+def test_popular_opening_with_many_continuations(spark):
+    opening = "one two three four five six seven eight nine ten eleven twelve"
+    far = [f"{opening} a{i} " + " ".join(f"far{i}x{k}" for k in range(9)) + "." for i in range(20)]  # sorted first, but too long
+    df = spark.createDataFrame([(t,) for t in (opening, *far, opening + " zebra.")], "text string")
+    assert {r.text for r in C.near_copies_cut(df).collect()} == {opening}
+
+
 def test_bands_of_similar_texts():
     r = random.Random(2)
     hits = 0
