@@ -63,7 +63,9 @@ _TITLE = r"(?:Dr|Mr|Mrs|Ms|Miss|Prof|Frau|Herr|Sr|Sra|Srta|Mme|Mlle|M|Don|Doña|
 _PART = rf"(?:[{_U}][a-zà-öø-ÿ]+(?:[-'’][{_U}]?[a-zà-öø-ÿ]+)*|[{_U}]['’][{_U}][a-zà-öø-ÿ]+(?:-[{_U}][a-zà-öø-ÿ]+)*|[{_U}]['’][{_U}]{{2,}}|[{_U}]{{2,}}(?:[-'’][{_U}]+)*)"
 _INITIAL = rf"[{_U}]\."
 _PARTICLE = r"(?:van|von|de|del|der|den|da|di|la|le|du|zu|ter|ten|bin|el|y)"
-_NAME = re.compile(rf"(?<![\w@#/.\-\[])(?:{_TITLE}\.? (?:{_PARTICLE} ){{0,3}})?(?:{_PART}|{_INITIAL})(?:,? (?:{_PARTICLE} ){{0,3}}(?:{_TITLE}\.? )?(?:{_PARTICLE} ){{0,3}}(?:{_PART}|{_INITIAL}(?= ))){{0,5}}(?![\w/_(=]|\.\w)")
+_NAME = re.compile(rf"(?<![\w@#/.\-\[])(?:{_TITLE}\.? (?:{_PARTICLE} ){{0,3}})?(?:{_PART}|{_INITIAL})(?:,? (?:{_PARTICLE} ){{0,3}}(?:{_TITLE}\.? )?(?:{_PARTICLE} ){{0,3}}(?:{_PART}|{_INITIAL}(?= )))*(?![\w/_(=]|\.\w)")
+# Pieces of a name at most, without particles.
+SPAN = 6
 _PIECE = re.compile(rf"{_TITLE}\.?(?= )|{_PART}|{_INITIAL}|{_PARTICLE}|,")
 _SEED_NAME = re.compile(rf"^(?:{_TITLE}\.? (?:{_INITIAL} )?(?:{_PARTICLE} )*{_PART}|{_INITIAL} (?:{_PARTICLE} )*{_PART}|{_PART} {_INITIAL} (?:{_PARTICLE} )*{_PART})")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[.!?;:(),\[\]]")
@@ -151,21 +153,27 @@ def candidates(text: str) -> list[tuple[str, int, int, str, str, list[int]]]:
         pieces = list(_PIECE.finditer(text, m.start(), m.end()))
         if len(pieces) < 2:
             continue
-        # the run without its first or last pieces, and its parts between commas: one of them may be the name
-        runs = {(0, len(pieces))}
-        commas = [i for i, p in enumerate(pieces) if p.group() == ","]
-        bounds = [-1, *commas, len(pieces)]
-        for i, j in zip(bounds[:-1], bounds[1:]):
-            runs |= {(a, j) for a in range(i + 1, min(i + 4, j - 1))} | {(i + 1, b) for b in range(max(i + 3, j - 1), j)}
-        for c in commas:
-            runs |= {(a, b) for a in range(max(0, c - 4), c) for b in range(c + 2, min(c + 4, len(pieces)) + 1)}
-        for i, j in sorted(runs):
+        # any two to SPAN pieces of the run in a row, with one comma at most, may be the name
+        runs = []
+        for i in range(len(pieces)):
+            size = commas = 0
+            for j in range(i, len(pieces)):
+                own = pieces[j].group()
+                commas += own == ","
+                size += own != "," and not re.fullmatch(_PARTICLE, own)
+                if size > SPAN or commas > 1:
+                    break
+                if j > i:
+                    runs.append((i, j + 1))
+        for i, j in runs:
             own = [p.group() for p in pieces[i:j]]
             start, end = pieces[i].start(), pieces[j - 1].end()
             if own[0] == "," or own[-1] == "," or own.count(",") > 1 or len([o for o in own if o != "," and not re.fullmatch(_PARTICLE, o)]) < 2 or not free(start, end):
                 continue
             shown = text[start:end]
-            seed = "name" if _SEED_NAME.fullmatch(shown) else ""
+            # a title or initial with one part is no whole name where the run goes on
+            ends = j == len(pieces) or pieces[j].group() == ","
+            seed = "name" if (ends or j - i > 2) and _SEED_NAME.fullmatch(shown) else ""
             out.append(("name", start, end, shown.lower(), seed, _sides(text, start, end)))
     return out
 

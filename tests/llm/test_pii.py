@@ -63,6 +63,25 @@ def test_patterns_find_what_has_no_sign(spark):
     assert len(wrong) <= 0.03 * len(texts), wrong[:8]
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("Asked Ana Lopez Gil, Tom Reed, Kim Park and left.", ["ana lopez gil", "tom reed", "kim park"]),
+        ("See Maria Lopez Release Notes Team for it.", ["maria lopez"]),
+        ("Big Retry Policy Change Needs Maria Lopez Today.", ["maria lopez"]),
+    ],
+)
+def test_every_span_of_a_run_is_a_candidate(text, names):
+    found = [(c[3], text[c[1] : c[2]].lower()) for c in P.candidates(text) if c[0] == "name"]
+    assert all(instance == shown for instance, shown in found)
+    assert set(names) <= {instance for instance, _ in found}
+
+
+def test_candidates_of_a_long_run_are_linear():
+    few, many = (len(P.candidates("Ada Bly " * n)) for n in (50, 500))
+    assert many <= 11 * few
+
+
 def test_redacted_keeps_the_rest(spark):
     texts = ["Raised by Dr. Haselwick (mail ilse@corp.test), call tel:+15555550135.", None, "", "nothing here"]
     got = {r.row_key: r.text for r in P.redacted(table(spark, texts)).collect()}
