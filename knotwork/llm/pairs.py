@@ -56,9 +56,20 @@ REFUSALS = {
 }
 _REFUSAL = " (?:" + "|".join(p for ps in REFUSALS.values() for p in ps) + ") "
 
-# A refusal stands in the opening; words after which it no longer counts as one.
+# A short output without code that opens with a refusal is one, whatever follows; the SQL has this rule only.
 OPENING_WORDS, OTHER_WORDS = 40, 90
 
+# Words by which a sentence explains a refusal or offers something else, matched on plain words.
+EXPLAINING = (
+    "because|since|therefore|policy|policies|guidelines?|rules|safety|safely|harm|harmful|risks?|illegal|permissions?|allowed|permitted|authori[sz]ed|sorry|apologi[sz]e|understand|instead|happy to|glad to|"
+    "let me know|please|if you|you (?:asked|want|wanted|requested|may|might|could|can)|your (?:request|question|prompt|task)|the (?:request|prompt|task) (?:is|asks|asked|was)|this (?:request|task)|i (?:cannot|cant|can not|wont|will not|could|can|am not|would|hope)|"
+    "weil|richtlinien|regeln|stattdessen|bitte|gerne|wenn (?:du|sie)|(?:deine|ihre) (?:anfrage|frage|bitte)|"
+    "parce que|car|règles|directives|plutôt|veuillez|si vous|si tu|votre (?:demande|question)|"
+    "porque|normas|directrices|en su lugar|por favor|si (?:quieres|desea|usted)|(?:tu|su) (?:solicitud|petición|pregunta)"
+)
+# A solution has at least so many words besides the sentences that refuse, explain or restate the task.
+SOLUTION_WORDS = 12
+
 _FENCE = r"(?s)```.*?(?:```|$)"
 _TAG = r"</?[A-Za-z][^<>]*>"
 _TERMINAL = r"[.!?;:。！？…)\]}>\"'”’»*_`|~]$"
@@ -93,7 +104,7 @@ def _defects(prompt: Column, output: Column, most_label: int = 24) -> Column:
         unquoted = F.regexp_replace(c("prose"), r"“[^”]*”|«[^»]*»|\"[^\"]*\"", " ")
         return {
             "label": F.instr(c("lo"), c("lp")) - 1, "beside": F.length(F.replace(c("lo"), c("lp"), F.lit(""))), "last": F.substring_index(c("tail"), "\n", -1),
-            "opening": F.concat(F.substring_index(c("words"), " ", OPENING_WORDS), F.lit(" ")), "fences": F.size(F.split(c("tail"), "```")) - 1,
+            "opening": F.concat(F.substring_index(c("words"), " ", OPENING_WORDS), F.lit(" ")), "refused": c("words").rlike(_REFUSAL), "fences": F.size(F.split(c("tail"), "```")) - 1,
             "inner": language_scores(unquoted), "outer": language_scores(c("prose")), "of_prompt": language_scores(c("prose_p")),
         }
 
@@ -106,11 +117,12 @@ def _defects(prompt: Column, output: Column, most_label: int = 24) -> Column:
     def flags(c):
         whole = c("tail").rlike(_TERMINAL) & ~(c("tail").rlike(_CUT_MARK) & (F.length(c("tail")) > 3))
         item = c("last").rlike(r"^\s*(?:[-*+•]|\d+[.)])\s+\S")
+        short = ~c("o").contains("```") & (F.size(F.split(c("words"), " ")) <= OTHER_WORDS)
         foreign = ~F.array_contains(c("asked"), c("lang")) & (c("lang") != c("lang_p")) & (top(c("scores")) >= 1.5 * c("own"))
         return {
             "empty": c("bare").isin("", *PLACEHOLDERS),
             "copy": (c("lp") != "") & (c("label") >= 0) & (c("label") <= most_label) & (c("beside") == c("label")) & c("lo").endswith(c("lp")),
-            "refusal": ~c("o").contains("```") & (F.size(F.split(c("words"), " ")) <= OTHER_WORDS) & c("opening").rlike(_REFUSAL),
+            "refusal": c("refused") & (short & c("opening").rlike(_REFUSAL) | ~_solved(c("p"), c("o"))),
             "truncated": (c("fences") % 2 == 1) | (~whole & ~item & c("tail").rlike(r"\s")),
             "wrong_language": F.coalesce(foreign, F.lit(False)) | (c("p").rlike(r"\p{IsLatin}") & not_latin(c("prose"))),
         }
@@ -120,6 +132,16 @@ def _defects(prompt: Column, output: Column, most_label: int = 24) -> Column:
     return F.get(F.transform(F.array(out), of), F.lit(0))
 
 
+def _solved(prompt: Column, output: Column) -> Column:
+    """Whether `output` has a solution besides the sentences that refuse, explain or restate the prompt: code in a fence or SOLUTION_WORDS words."""
+    code = F.exists(F.regexp_extract_all(output, F.lit(r"(?s)```[^\n`]*\n?(.*?)(?:```|$)"), F.lit(1)), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    bare = F.regexp_replace(output, _FENCE, " ")
+    sentences = F.transform(F.split(bare, r"(?<=[.!?。！？])\s+|\n+"), lambda x: F.regexp_replace(plain_words(x), " +", " "))
+    asked = plain_words(prompt)
+    left = F.filter(sentences, lambda x: ~x.rlike(_REFUSAL) & ~x.rlike(f" (?:{EXPLAINING}) ") & ~asked.contains(x))
+    return code | (F.aggregate(left, F.lit(0), lambda n, x: n + F.size(F.filter(F.split(x, " "), lambda w: w != ""))) >= SOLUTION_WORDS)
+
+
 def _prose(output: Column) -> Column:
     """`output` without code."""
     return F.regexp_replace(F.regexp_replace(output, _FENCE, " "), r"`[^`\n]*`", " ")
@@ -129,7 +151,7 @@ def with_defects(df: DataFrame, prompt: str = "prompt", output: str = "output")
     """`df` with `defects`, an array of every defect type that the pair triggers, in the order of the rules (ORDER).
 
     empty: no letter or digit but in markup, or a placeholder. copy: the letters and digits of the prompt, once or repeated, after at
-    most a short label. refusal: a phrase of REFUSALS in the opening of a short output without code. truncated: an unclosed code
+    most a short label. refusal: a phrase of REFUSALS in the opening of a short output without code, or anywhere in an output without a solution besides (`_solved`). truncated: an unclosed code
     fence, or an end that closes no sentence, list item, code or one-word answer. wrong_language: the prose outside code and quotes
     has mainly function words of another language than the prompt's, and the prompt does not ask for that one; or another script.
     A null or empty output is `empty` only; with a null or empty prompt no copy and no language can be told. Texts of any length are

@@ -45,6 +45,15 @@ def test_rules(spark):
     assert not wrong
 
 
+def test_refusals_of_any_length(spark):
+    why = "This request is against the policy that I follow, because it may do harm to other people. " * 8
+    restated = (PROMPT + " ") * 4
+    solved = "I cannot help with the queue. The lock manager drops its retry counter when the last worker returns the lease, so the fix is to store it beside the lease. It is read again on start." + " Each worker then reads the counter from the lease table before it polls." * 8
+    outputs = ["I'm sorry, but I can't help with that request. " + why, "You asked this. " + restated + "I'm sorry, but I can't help with that request.", why + "I cannot help with this.", solved, "I cannot help with the queue.\n\n```py\nlock.keep(counter)\n```"]
+    df = spark.createDataFrame([(i, PROMPT, o) for i, o in enumerate(outputs)], "k int, prompt string, output string")
+    assert {r.k for r in with_defects(df).collect() if "refusal" in r.defects} == {0, 1, 2}
+
+
 def test_long_text_and_repeats(spark):
     long = "The lock manager drops the counter. " * 5000
     df = spark.createDataFrame([(PROMPT, long), (PROMPT, long + "And the"), (PROMPT, long)], "prompt string, output string")
