@@ -156,8 +156,8 @@ def a20_kappa(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("n", F.round(F.when(chance == 1, 1.0).otherwise((F.col("agree") - chance) / (1 - chance)), 6).alias("kappa"))
 
 
-def a20_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    """Interval of the mean duration per arm by 200 Poisson resamples whose weights are hashes of (resample, run), so that any engine or split gives the same."""
+def a20_bootstrap(spark: SparkSession, sf: str, resamples: int = 2000) -> DataFrame:
+    """Interval of the mean duration per arm by `resamples` Poisson resamples whose weights are hashes of (resample, run), so that any engine or split gives the same."""
     d = table(spark, sf, "bench_runs", "run_key", "arm", "duration_sec").where("duration_sec IS NOT NULL AND arm IS NOT NULL")
 
     def run(batches):
@@ -165,19 +165,19 @@ def a20_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
         sums: dict[str, object] = {}
         for batch in batches:
-            for arm, part in batch.groupby("arm"):
+            for arm, part in ((arm, own[i : i + 500]) for arm, own in batch.groupby("arm") for i in range(0, len(own), 500)):  # some MB at once
                 key = part["run_key"].to_numpy().astype(np.uint64)
                 with np.errstate(over="ignore"):
-                    h = (key[:, None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.arange(200, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03)
+                    h = (key[:, None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.arange(resamples, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03)
                     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                     h ^= h >> np.uint64(31)
                 u = (h >> np.uint64(11)).astype(float) / float(1 << 53)
                 w = np.searchsorted(np.array([0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582]), u)
-                s, n = sums.setdefault(arm, (np.zeros(200), np.zeros(200)))
+                s, n = sums.setdefault(arm, (np.zeros(resamples), np.zeros(resamples)))
                 s += w.T @ part["duration_sec"].to_numpy()
                 n += w.sum(axis=0)
-        yield pd.DataFrame([(arm, i, float(s[i]), float(n[i])) for arm, (s, n) in sums.items() for i in range(200)], columns=["arm", "i", "s", "n"])
+        yield pd.DataFrame([(arm, i, float(s[i]), float(n[i])) for arm, (s, n) in sums.items() for i in range(resamples)], columns=["arm", "i", "s", "n"])
 
     sums = d.mapInPandas(run, "arm string, i int, s double, n double").groupBy("arm", "i").agg((F.sum("s") / F.sum("n")).alias("mean"))
     return sums.groupBy("arm").agg(F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"))

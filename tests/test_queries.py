@@ -66,3 +66,9 @@ def test_similarity_of_every_row(spark, duck, name, whole, key):
     assert any(k % 20 for k in want)
     assert {k: v for k, v in got.items() if k in want} == want
     assert all(dict(zip(sorted(df.columns), v)).get("similar") == "0" for k, v in got.items() if k not in want)
+
+
+def test_bootstrap_has_2000_resamples(spark):
+    query = registry.QUERIES["a20_bootstrap"]
+    whole, given, few = (sorted(map(tuple, query(spark, DATA, *n).collect())) for n in ((), (2000,), (200,)))
+    assert whole == given != few
