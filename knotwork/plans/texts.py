@@ -137,7 +137,7 @@ def x18_corrections(spark: SparkSession, sf: str) -> DataFrame:
 def x19_preferences(spark: SparkSession, sf: str) -> DataFrame:
     """Clauses of user turns in transcripts that state a lasting rule (also x20, x21, s17)."""
     d = W.docs(spark, sf).where("text IS NOT NULL").select("doc_id", F.explode(F.split(F.col("text"), "\n")).alias("line")).where(F.col("line").startswith("user: "))
-    clauses = d.select("doc_id", F.explode(F.split(F.regexp_replace(F.substring("line", 7, 100000), r"([.;!?])\s+", "$1\n"), "\n")).alias("clause")).select("doc_id", F.trim("clause").alias("clause"))
+    clauses = d.select("doc_id", F.explode(F.split(F.regexp_replace(F.expr("substring(line, 7)"), r"([.;!?])\s+", "$1\n"), "\n")).alias("clause")).select("doc_id", F.trim("clause").alias("clause"))
     words = C.spaced(F.col("clause"))
     kept = clauses.where((F.length("clause").between(1, 239)) & words.rlike(C.DURABLE) & ~words.rlike(C.TRANSIENT) & ~F.col("clause").endswith("?"))
     text = F.regexp_replace("clause", r"[.!?]+$", "")

@@ -18,7 +18,7 @@ def diff_lines(diffs: DataFrame, key: str, text: str = "diff") -> DataFrame:
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     c = F.col("line")
     is_file, is_hunk = c.startswith("+++ "), c.rlike(_HUNK)
-    name = F.regexp_replace(F.substring("line", 5, 4096), "^b/", "")
+    name = F.regexp_replace(F.expr("substring(line, 5)"), "^b/", "")
     head = is_file | c.startswith("--- ") | c.startswith("diff --git") | is_hunk
     rows = rows.withColumns(
         {
@@ -35,14 +35,14 @@ def diff_lines(diffs: DataFrame, key: str, text: str = "diff") -> DataFrame:
     body = body.withColumn("tag", tag)
     within = Window.partitionBy(key, "segment", "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     new = F.sum((F.col("tag") != "del").cast("int")).over(within) - 1 + F.coalesce("start", F.lit(1))
-    return body.select(key, "pos", "file", "segment", "hunk", "tag", F.when(F.col("tag") != "del", new).cast("int").alias("new_line"), F.substring("line", 2, 4096).alias("content"))
+    return body.select(key, "pos", "file", "segment", "hunk", "tag", F.when(F.col("tag") != "del", new).cast("int").alias("new_line"), F.expr("substring(line, 2)").alias("content"))
 
 
 def diff_hunks(diffs: DataFrame, key: str, text: str = "diff") -> DataFrame:
     """(key, file, start, stop) of the hunks on the new side; hunks without new lines and deleted files are left out."""
     rows = diffs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.regexp_replace(F.substring("line", 5, 4096), "^b/", "")
+    name = F.regexp_replace(F.expr("substring(line, 5)"), "^b/", "")
     rows = rows.withColumn("file", F.last(F.when(F.col("line").startswith("+++ "), name), ignorenulls=True).over(w)).where(F.col("line").rlike(_HUNK) & (F.col("file") != "/dev/null"))
     start, n = F.regexp_extract("line", _HUNK, 1).cast("int"), F.coalesce(F.nullif(F.regexp_extract("line", _HUNK, 2), F.lit("")).cast("int"), F.lit(1))
     return rows.where(n > 0).select(key, "file", start.alias("start"), (start + n - 1).alias("stop"))

@@ -7,6 +7,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from knotwork.plans import registry
@@ -72,3 +73,10 @@ def test_bootstrap_has_2000_resamples(spark):
     query = registry.QUERIES["a20_bootstrap"]
     whole, given, few = (sorted(map(tuple, query(spark, DATA, *n).collect())) for n in ((), (2000,), (200,)))
     assert whole == given != few
+
+
+def test_late_clauses_of_a_long_turn_are_read(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(1)
+    turn = "user: " + "The build ran. " * 8000 + "Always use pnpm in this repo."
+    docs.withColumn("text", F.lit(turn)).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.asDict() for r in registry.QUERIES["x19_preferences"](spark, str(tmp_path)).collect()]

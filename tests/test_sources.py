@@ -87,3 +87,9 @@ def test_upsert_append_replace(spark, rows, tmp_path):
     assert spark.read.parquet(p).count() == 5
     records.replace(old, p, "k")
     assert spark.read.parquet(p).count() == 2
+
+
+def test_long_diff_lines_are_whole(spark):
+    name, line = "d/" * 2500 + "x.ts", "y" * 9000
+    df = spark.createDataFrame([("d", f"--- a/{name}\n+++ b/{name}\n@@ -1,0 +1,1 @@\n+{line}")], "key string, diff string")
+    assert [(r.file, r.content) for r in diffs.diff_lines(df, "key").collect()] == [(name, line)]
