@@ -52,20 +52,89 @@ def test_pages(spark):
             docs.append((len(docs), text, "clash"))
     docs += [(9000, None, None), (9001, "", None), (9002, " ".join(sentence(r) for _ in range(2000)), None)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, spam_share string").repartition(4)
-    model = S.ProseModel(S.prose_counts(df))
-    got = {x.doc_id: x.spam_share for x in S.with_spam_share(df, model).collect()}
+    classes = S.classed(df)
+    found = S.with_spam_share(classes, S.ProseModel(S.prose_counts(classes))).collect()
+    got = {x.doc_id: x.spam_share for x in found}
+    assert {x.page for x in found if x.doc_id in kinds and kinds[x.doc_id] in ("+keywords", "+links", "+tags")} == {"high"} or {x.page for x in found} >= {None, "high"}
     assert got[9000] is None and got[9001] is None and got[9002] < 0.5
     wrong = [(kinds[i], round(got[i], 2)) for i in kinds if (got[i] > 0.5) != kinds[i].startswith("+")]
     assert len(wrong) <= 0.02 * len(kinds), wrong
 
 
+def naive(text):
+    """(symbol, in code, start) of each token by one walk with a memory of the content words."""
+    begin = {m.start(): m.end() for m in S._BEGIN.finditer(text)}
+    out, seen, n, fenced, at = [], {}, 0, False, 0
+    while at < len(text):
+        if at in begin:
+            at = begin[at]
+            continue
+        m = S._TOKEN.match(text, at)
+        token = m.group().strip() or m.group()
+        start, at = at, m.end()
+        if token.startswith("```"):
+            fenced = not fenced
+        elif token.isspace():
+            if token.count("\n") > 1:
+                out.append(("L", fenced, start))
+        elif token[0].isalnum() and "/" not in token and not token.startswith("www.") and not all(c.isdigit() or c in ".,:" for c in token):
+            low = token.lower()
+            s = S._KIND.get(low)
+            if s is None:
+                n += 1
+                places = seen.setdefault(low, [])
+                near = [p for p in places[-2:] if n - p < S.LOOK_BACK]
+                places.append(n)
+                odd = "_" in token or (not token.islower() and not token[1:].islower() and not token.isupper() and len(token) > 1) or not token.replace("-", "").isalpha()
+                s = "I" if odd else {0: "W" if not (token[0].islower() or (token.isupper() and len(token) > 1)) else "w", 1: "r", 2: "R"}[len(near)]
+            out.append((s, fenced, start))
+        elif token[0].isdigit() and "/" not in token:
+            out.append(("N", fenced, start))
+        elif token[0] == "<" and len(token) > 1:
+            out.append(("T", fenced, start))
+        elif token[0] == "#" and len(token) > 1:
+            out.append(("H", fenced, start))
+        elif len(token) > 1:
+            out.append(("U", fenced, start))
+        elif token not in S._PASSED:
+            out.append(("S" if token in S._SENTENCE_END else token if token in S._MARKS and not token.isalpha() else "?", fenced, start))
+    return out
+
+
+def test_classes_against_a_walk():
+    r = random.Random(5)
+    texts = ["", "   ", "a", "The the a", "> quoted\n\n- item\n1. one\n# head # tag #x", "x" * 700 + " " * 600 + "end.", "``` a b ``` c `d`", "v1.2/x www.a.b/c http://x.y <b>t</b> 3.5 a_b camelCase don't"]
+    for _ in range(40):
+        texts += pages(r).values()
+    r.shuffle(texts)
+    codes = S._Codes()
+    symbols, fenced, width, n_each = S.classes_of(texts, codes)
+    at = 0
+    for text, n in zip(texts, n_each):
+        want = naive(text)
+        shown = ["?" if x == S._OTHER else S._MARKS[x] for x in symbols[at : at + n]]
+        assert shown == [w[0] for w in want], text
+        assert fenced[at : at + n].tolist() == [w[1] for w in want]
+        starts = [w[2] for w in want] + [len(text)]
+        assert width[at : at + n].tolist() == [b - a for a, b in zip(starts, starts[1:])]
+        at += n
+
+
+def test_scores_do_not_depend_on_the_batch(spark):
+    r = random.Random(6)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(t for _ in range(10) for t in pages(r).values())], "doc_id bigint, text string")
+    model = S.ProseModel(S.prose_counts(S.classed(df)))
+    one, many = (sorted(map(tuple, S.with_spam_share(S.classed(df.repartition(n)), model).collect())) for n in (1, 9))
+    assert one == many
+
+
 def test_counts_do_not_depend_on_partitions(spark):
-    df = spark.createDataFrame([(sentence(random.Random(i)),) for i in range(25)], "text string")
-    assert np.array_equal(S.prose_counts(df.repartition(1)), S.prose_counts(df.repartition(7)))
+    df = spark.createDataFrame([(i, sentence(random.Random(i))) for i in range(25)], "doc_id bigint, text string")
+    assert np.array_equal(S.prose_counts(S.classed(df.repartition(1))), S.prose_counts(S.classed(df.repartition(7))))
 
 
 def test_without_prose(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
-    model = S.ProseModel(S.prose_counts(df.limit(0)))
-    assert S.with_spam_share(df, model).first().spam_share == 0.0
-    assert S.with_spam_share(df.limit(0), model).collect() == []
+    model = S.ProseModel(S.prose_counts(S.classed(df.limit(0))))
+    assert S.with_spam_share(S.classed(df), model).first().spam_share == 0.0
+    assert S.with_spam_share(S.classed(df.limit(0)), model).collect() == []
