@@ -32,6 +32,20 @@ CASES = [
     (PROMPT + " Answer in German.", "The counter is dropped because the lock is lost when the queue drains.", []),
     (PROMPT, "Счётчик сбрасывается, потому что блокировка потеряна.", ["wrong_language"]),
     (PROMPT, "The counter is dropped because the lock is lost. “Der Zähler ist weg, weil die Sperre nicht hält und das war es.”", []),
+    (PROMPT, "The counter is dropped.\n\n- the lock is lost.\n- the queue drains.\n- the wor", ["truncated"]),
+    (PROMPT, "The counter is dropped.\n\n- the lock\n- the queue of the", ["truncated"]),
+    (PROMPT, "The counter is dropped (see the queue and its lock.", ["truncated"]),
+    (PROMPT, "The counter is dropped: “the lock is lost", ["truncated"]),
+    (PROMPT, "1) The counter is dropped. 2) The lock is lost :( for good.", []),
+    (PROMPT, "The counter is dropped (see the lock [and queue]).", []),
+    (PROMPT, "Here once more is the whole task that you have given to me in your message above:\n" + PROMPT, ["copy"]),
+    (PROMPT, "The lock is lost and the queue drains, then the counter goes. " + PROMPT, []),
+    (PROMPT, "```\nN/A", ["empty", "truncated"]),
+    ("Explain why it fails.", "Il ne faut jamais vider la file quand le verrou est perdu parce que les lignes ne sont pas valides.", ["wrong_language"]),
+    ("Объясни, почему lock сбрасывает счётчик.", "Потому что блокировка теряется, и счётчик начинается заново.", []),
+    ("Объясни, почему lock сбрасывает счётчик.", "The counter starts again because the lock is lost.", ["wrong_language"]),
+    ("Translate this into Russian: the lock is lost and the counter is dropped.", "Блокировка потеряна, и счётчик сброшен.", []),
+    ("ロックが失われる理由を lock manager について説明してください。", "キューが空になると、ロックは失われます。", []),
     (None, "A whole answer to nothing, and that is that.", []),
     ("", "", ["empty"]),
 ]
