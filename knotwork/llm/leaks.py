@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, ensure_checkpoint_dir
 from ..sources.tables import table
 
 # Shortest passage that counts, in words.
 MIN_WORDS = 13
-# Words of training text in one suffix array, and words of evaluation text searched at a time; both bound memory only.
-SHARD_WORDS, BLOCK_WORDS = 1_500_000, 200_000
+# Words of training text in one suffix array, words of evaluation text searched at a time, and places of passages followed at a time; they bound memory only.
+SHARD_WORDS, BLOCK_WORDS, OCCURRENCES = 1_500_000, 200_000, 2_000_000
 
 _MARKUP = re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>|&(?:[A-Za-z]{2,8}|#\d{1,6});")
 _WORD = re.compile(r"[^\W_]+")
@@ -95,72 +98,128 @@ class _Shard:
         self.docs.append(doc)
         self.size += len(words) + 1
 
+    def built(self, least: int) -> _Shard:
+        """The shard with its suffix array, to be searched for any number of blocks of items."""
+        self.starts = np.cumsum([0, *(len(p) + 1 for p in self.parts)])
+        self.tokens = np.zeros(self.size, np.int64)
+        for s, p in zip(self.starts, self.parts):
+            self.tokens[s : s + len(p)] = p
+        self.order = suffix_array(self.tokens, least)
+        return self
+
     def matches(self, items: list[tuple[int, list[str]]], least: int) -> Iterator[tuple[int, int, int]]:
         """(document, item, words of the longest verbatim match) for every pair that shares `least` or more consecutive words."""
-        starts = np.cumsum([0, *(len(p) + 1 for p in self.parts)])
-        tokens = np.zeros(self.size, np.int64)
-        for s, p in zip(starts, self.parts):
-            tokens[s : s + len(p)] = p
-        order = suffix_array(tokens, least)
+        known = [np.fromiter((self.ids.get(w, -2) for w in words), np.int64, len(words)) for _, words in items]
         rows, whence = [], []
-        sought: dict[int, np.ndarray] = {}
-        for n, (_, words) in enumerate(items):
-            known = np.fromiter((self.ids.get(w, -2) for w in words), np.int64, len(words))
-            sought[n] = known
-            if len(known) >= least:
-                windows = np.lib.stride_tricks.sliding_window_view(known, least)
+        first = np.cumsum([0, *(len(k) + 1 for k in known)])
+        for n, own in enumerate(known):
+            if len(own) >= least:
+                windows = np.lib.stride_tricks.sliding_window_view(own, least)
                 good = np.flatnonzero((windows >= 0).all(axis=1))
                 rows.append(windows[good])
-                whence.append(np.stack((np.full(len(good), n), good), axis=1))
+                whence.append(first[n] + 1 + good)
         if not rows:
             return
-        queries, whence_all = np.concatenate(rows), np.concatenate(whence)
-        lo, hi = _narrow(tokens, order, queries)
+        sought = np.full(first[-1] + 1, -3, np.int64)  # the items one after the other, parted by what is in no text
+        for n, own in enumerate(known):
+            sought[first[n] + 1 : first[n] + 1 + len(own)] = own
+        queries, offset = np.concatenate(rows), np.concatenate(whence)
+        lo, hi = _narrow(self.tokens, self.order, queries)
         longest: dict[tuple[int, int], int] = {}
-        for q in np.flatnonzero(lo < hi):
-            n, offset = whence_all[q]
-            rest = sought[n][offset:]
-            places = order[lo[q] : hi[q]]
-            for at, doc in zip(places.tolist(), (np.searchsorted(starts, places, side="right") - 1).tolist()):
-                pair = (doc, int(n))
-                if longest.get(pair, 0) >= len(rest):
-                    continue
-                there = tokens[at : at + len(rest)]
-                differ = np.flatnonzero(there != rest[: len(there)])
-                longest[pair] = max(longest.get(pair, 0), int(differ[0]) if len(differ) else len(there))
+        at_once = np.searchsorted(np.cumsum(hi - lo), np.arange(OCCURRENCES, int((hi - lo).sum()) + OCCURRENCES, OCCURRENCES), side="left") + 1
+        for a, b in zip([0, *at_once[:-1].tolist()], at_once.tolist()):
+            n_each = (hi - lo)[a:b]
+            q = np.repeat(np.arange(a, min(b, len(lo))), n_each)
+            place = self.order[lo[q] + np.arange(len(q)) - np.repeat(np.cumsum(n_each) - n_each, n_each)]
+            there = offset[q]
+            # a passage counts from its first word: the word before differs
+            fresh = (place == 0) | (self.tokens[np.maximum(place - 1, 0)] != sought[there - 1])
+            place, there = place[fresh], there[fresh]
+            length = np.full(len(place), least, np.int64)
+            open_ = np.arange(len(place))
+            while len(open_):
+                x, y = place[open_] + length[open_], there[open_] + length[open_]
+                inside = x < len(self.tokens)
+                same = inside & (self.tokens[np.minimum(x, len(self.tokens) - 1)] == sought[y])
+                open_ = open_[same]
+                length[open_] += 1
+            docs = np.searchsorted(self.starts, place, side="right") - 1
+            own = np.searchsorted(first, there, side="right") - 1
+            for pair, n in zip(zip(docs.tolist(), own.tolist()), length.tolist()):
+                if n > longest.get(pair, 0):
+                    longest[pair] = n
         for (doc, n), length in longest.items():
             yield self.docs[doc], items[n][0], length
 
 
-def leaked(documents: DataFrame, items: list[tuple[int, str]], doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, words): each document that shares `least` or more consecutive words with an item, and the longest shared run.
-
-    `items` is the evaluation set, (id, text); it goes to every task, so it has to fit there, and larger sets are given in blocks
-    (see `leaks`). Each task cuts its documents into shards of about SHARD_WORDS words, builds the suffix array of each and finds
-    every suffix of every item in it by binary search: the range of training suffixes that begin with the same `least` words gives
-    all places of the passage, and each is followed to its end. No shuffle; memory follows the shard, a longer document is
-    searched in overlapping pieces. Null and empty texts match nothing; equal documents each come out; an item under `least` words cannot leak.
+def _blocks(folder: str) -> Iterator[list[tuple[int, list[str]]]]:
+    """The items in `folder` (item_id, words), about BLOCK_WORDS words at a time."""
+    fs, path = pa.fs.FileSystem.from_uri(folder)
+    block: list[tuple[int, list[str]]] = []
+    size = 0
+    for batch in ds.dataset(path, filesystem=fs, format="parquet").to_batches(columns=["item_id", "words"], batch_size=256):
+        for item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if block and size + len(words) > BLOCK_WORDS:
+                yield block
+                block, size = [], 0
+            block.append((item, words))
+            size += len(words)
+    if block:
+        yield block
+
+
+def leaks(documents: DataFrame, evaluation: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, item_id, words): each document that shares `least` or more consecutive words with an item of `evaluation`, and the longest shared run.
+
+    The items are the stated query set. Their words are written once to the shared folder, and every task reads them from there in blocks of about
+    BLOCK_WORDS words, so that neither the driver nor a task holds all of a large set. The documents are read once: each task cuts its documents
+    into shards of about SHARD_WORDS words, builds the suffix array of each once and finds every suffix of every item in it by binary
+    search: the range of training suffixes that begin with the same `least` words gives all places of the passage, and each passage is
+    followed from its first word to its end. No shuffle; memory follows the shard and the block, a longer document is
+    searched in pieces that overlap by the longest item. Null and empty texts match nothing; equal documents each come out; an item under `least` words cannot leak.
     Separators keep a match from running over the end of a document. Other columns are not read.
     """
-    wanted = [(i, words_of(t)) for i, t in items]
-    wanted = [(i, w) for i, w in wanted if len(w) >= least]
+    spark = documents.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/items-{uuid.uuid4().hex}"
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, w) for i, w in zip(batch.column(0).to_pylist(), map(words_of, batch.column(1).to_pylist())) if len(w) >= least]
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array([i for i, _ in rows], pa.int64()), "words": pa.array([w for _, w in rows], pa.list_(pa.string()))})
+
+    evaluation.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL").mapInArrow(split, "item_id bigint, words array<string>").write.parquet(folder)
+    overlap = spark.read.schema("item_id bigint, words array<string>").parquet(folder).agg(F.max(F.size("words"))).first()[0] or 0  # one number
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        overlap = max((len(w) for _, w in wanted), default=0)
+        first = next(_blocks(folder), None)
+        if first is None:
+            return
+        alone = len(list(itertools.islice(_blocks(folder), 2))) == 1
+
+        def rows(shard: _Shard, again: bool = False) -> Iterator[pa.RecordBatch]:
+            shard = shard.built(least)
+            best: dict[tuple[int, int], int] = {}
+            for block in [first] if alone else _blocks(folder):
+                for d, i, n in shard.matches(block, least):
+                    best[d, i] = max(n, best.get((d, i), 0))
+                if best and not again:
+                    yield batch_of(best)
+                    best = {}
+            if again:
+                yield from best.items()
 
-        def rows(found: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
-            if found:
-                d, i, n = zip(*found)
-                yield pa.RecordBatch.from_pydict({doc_id: pa.array(d, pa.int64()), "item_id": pa.array(i, pa.int64()), "words": pa.array(n, pa.int32())})
+        def batch_of(best: dict[tuple[int, int], int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({doc_id: pa.array([d for d, _ in best], pa.int64()), "item_id": pa.array([i for _, i in best], pa.int64()), "words": pa.array(list(best.values()), pa.int32())})
 
-        def pieces(doc: int, words: list[str]) -> list[tuple[int, int, int]]:
+        def pieces(doc: int, words: list[str]) -> Iterator[pa.RecordBatch]:
             best: dict[tuple[int, int], int] = {}
             for at in range(0, len(words), SHARD_WORDS):
                 one = _Shard()
                 one.add(doc, words[at : at + SHARD_WORDS + overlap])
-                for d, i, n in one.matches(wanted, least):
-                    best[d, i] = max(n, best.get((d, i), 0))
-            return [(d, i, n) for (d, i), n in best.items()]
+                for pair, n in rows(one, True):
+                    best[pair] = max(n, best.get(pair, 0))
+            if best:
+                yield batch_of(best)
 
         shard = _Shard()
         for batch in batches:
@@ -169,35 +228,18 @@ def leaked(documents: DataFrame, items: list[tuple[int, str]], doc_id: str = "do
                 if len(words) < least:
                     continue
                 if len(words) > SHARD_WORDS:
-                    yield from rows(pieces(doc, words))
+                    yield from pieces(doc, words)
                     continue
                 if shard.size and shard.size + len(words) > SHARD_WORDS:
-                    yield from rows(list(shard.matches(wanted, least)))
+                    yield from rows(shard)
                     shard = _Shard()
                 shard.add(doc, words)
         if shard.size:
-            yield from rows(list(shard.matches(wanted, least)))
+            yield from rows(shard)
 
     return documents.select(F.col(doc_id).cast("bigint").alias(doc_id), text).where(F.col(text).isNotNull()).mapInArrow(run, f"{doc_id} bigint, item_id bigint, words int")
 
 
-def leaks(documents: DataFrame, evaluation: DataFrame, item_id: str = "item_id", item_text: str = "text", **kw) -> DataFrame:
-    """`leaked` with the evaluation set as a table, searched in blocks of about BLOCK_WORDS words."""
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in evaluation.select(item_id, item_text).orderBy(item_id).toLocalIterator():
-        n = len(row[1] or "") // 5
-        if size and size + n > BLOCK_WORDS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], row[1]))
-        size += n
-    out = leaked(documents, blocks[0], **kw)
-    for block in blocks[1:]:
-        out = out.unionByName(leaked(documents, block, **kw))
-    return out
-
-
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold thirteen or more consecutive words of an item."""
     return leaks(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
@@ -226,7 +268,14 @@ dg AS (SELECT DISTINCT id, list_aggregate(ws[i:i+12], 'string_agg', ' ') AS g FR
 eg AS (SELECT DISTINCT id, list_aggregate(ws[i:i+12], 'string_agg', ' ') AS g FROM e, unnest(range(1, len(ws) - 11)) t(i)),
 found AS (SELECT DISTINCT dg.id AS doc_id, eg.id AS item_id FROM dg JOIN eg USING (g))
 """
+# passages as runs of grams on a diagonal
+_RUNS = _GRAMS.replace("dg AS (SELECT DISTINCT id,", "dg AS (SELECT id, i AS p,").replace("eg AS (SELECT DISTINCT id,", "eg AS (SELECT id, i AS p,").replace(
+    "found AS (SELECT DISTINCT dg.id AS doc_id, eg.id AS item_id FROM dg JOIN eg USING (g))",
+    "met AS (SELECT dg.id AS doc_id, eg.id AS item_id, dg.p - eg.p AS diagonal, dg.p AS p FROM dg JOIN eg USING (g)), "
+    "runs AS (SELECT doc_id, item_id, count(*) + 12 AS words FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS run FROM met) GROUP BY doc_id, item_id, diagonal, run)",
+)
 SQL = {
+    "p6_leaked_items": _RUNS + "SELECT item_id, count(DISTINCT doc_id) AS documents, max(words)::INT AS longest FROM runs GROUP BY item_id",
     "p6_found": _GRAMS + "SELECT doc_id, item_id FROM found",
     "p6_clean_documents": _GRAMS + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)",
 }
