@@ -16,98 +16,95 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def orphans_by_mask(child: DataFrame, parent: DataFrame, on: list[tuple[str, str]], match: str = "simple") -> DataFrame:
-    """Rows of `child` whose composite key has no partner in `parent`, with `null_mask`, one 0/1 per key column (1: null).
+def orphans_by_mask(child: DataFrame, parent: DataFrame, on: list[tuple[str, str]], match: str = "simple", during: tuple[str, str, str] | None = None) -> DataFrame:
+    """Rows of `child` whose composite key has no partner in `parent`, with `null_mask`, one 0/1 per key column (1: null), and with `during` a `status`.
 
     `on` pairs child and parent columns. The references are grouped by which of their key columns are null; each group is
     anti-joined on the columns that are not. `match` is the declared meaning of a null in a key:
     simple: a key with any null refers to nothing and is never an orphan; partial: the columns that are not null must
     occur together in one parent row, an all-null key refers to nothing; full: a key is all null (no reference) or
     has no null, and one that is null in part is always an orphan.
+    `during` (time of the child, start and stop of the parent) makes time the last column of the key and of the mask: a parent matches that is there
+    at that time, start <= time and (stop null or stop > time). Where the time is null the key is anti-joined without it. status: missing: no
+    parent has the key; late: those with it start after the time, or have no start; deleted: none is there at the time and one started before.
     Parent rows with a null in a column of the group never match. An empty child gives no rows, an empty parent makes
-    every reference an orphan; repeated child rows each come out. Other columns of `child` pass through; clashing
+    every reference an orphan; repeated child rows each come out, repeated parents change nothing. Other columns of `child` pass through; clashing
     names in `parent` do no harm, as only its key columns are read.
-    The parent's keys are reduced to distinct ones before the join, and AQE splits a hot child key.
+
+    All groups go through one anti-join: a parent row offers a key for each mask, as a 128-bit fingerprint of the mask and the columns that it leaves,
+    and a child row asks with that of its own. Only fingerprints are shuffled; the parent's keys are reduced to distinct ones before the join, and AQE splits a hot child key.
     """
     if match not in ("simple", "partial", "full"):
         raise ValueError(match)
-    keys = [c for c, _ in on]
-    mask = F.concat(*(F.when(F.col(c).isNull(), "1").otherwise("0") for c in keys))
-    parts = []
-    for nulls in product((False, True), repeat=len(on)):
-        own = child.where(reduce(lambda a, b: a & b, (F.col(c).isNull() if n else F.col(c).isNotNull() for c, n in zip(keys, nulls))))
-        own = own.withColumn("null_mask", F.lit("".join("1" if n else "0" for n in nulls)))
-        if all(nulls) or (any(nulls) and match == "simple"):
-            parts.append(own.where(F.lit(False)))
-        elif any(nulls) and match == "full":
-            parts.append(own)
-        else:
-            used = [(c, p) for (c, p), n in zip(on, nulls) if not n]
-            there = parent.select(*(F.col(p).alias(f"k{i}") for i, (_, p) in enumerate(used))).dropna().distinct()
-            parts.append(own.alias("c").join(there.alias("p"), [F.col(f"c.{c}") == F.col(f"p.k{i}") for i, (c, _) in enumerate(used)], "left_anti"))
-    return _union(parts).withColumn("null_mask", mask)
+    none, every = "0" * len(on), "1" * len(on)
+    masks = ["".join(m) for m in product("01", repeat=len(on)) if "0" in m] if match == "partial" else [none]
+    own = F.concat(*(F.when(F.col(c).isNull(), "1").otherwise("0") for c, _ in on))
+    names = [f"k{i}" for i in range(len(on))]
+    k1, k2 = fingerprint("mask", *names)
+    at = F.col(during[0]) if during else F.lit(None)
+    asked = child.select(F.struct("*").alias("row"), own.alias("mask"), at.alias("at"), *(F.col(c).alias(k) for (c, _), k in zip(on, names))).select("row", "mask", "at", k1.alias("k1"), k2.alias("k2"))
+    offers = []
+    for m in masks:
+        used = reduce(lambda x, y: x & y, (F.col(p).isNotNull() for (_, p), bit in zip(on, m) if bit == "0"))
+        left = (F.col(p) if bit == "0" else F.lit(None).cast(parent.schema[p].dataType) for (_, p), bit in zip(on, m))
+        offers.append(F.when(used, F.struct(F.lit(m).alias("mask"), *(c.alias(k) for c, k in zip(left, names)))))
+    times = [F.col(c).alias(k) for c, k in zip(during[1:], ("start", "stop"))] if during else []
+    there = parent.select(F.explode(F.array_compact(F.array(*offers))).alias("o"), *times).select("o.*", *(k for k in ("start", "stop") if during)).select(k1.alias("k1"), k2.alias("k2"), *(k for k in ("start", "stop") if during))
+    key = ["k1", "k2"]
+    wanted = asked.where(F.col("mask").isin(masks))
+    if not during:
+        out = wanted.join(there.distinct(), key, "left_anti")
+        if match == "full":
+            out = out.select("row", "mask").unionByName(asked.where(~F.col("mask").isin(none, every)).select("row", "mask"))
+        return out.select("row.*", F.col("mask").alias("null_mask"))
+    timed = F.concat("mask", F.when(F.col("at").isNull(), "1").otherwise("0")).alias("null_mask")
+    state = there.groupBy(*key).agg(F.min("start").alias("first"), F.min(F.when(F.col("stop").isNull(), F.col("start"))).alias("stays"))
+    missing = wanted.join(state, key, "left_anti").select("row", timed, F.lit("missing").alias("status"))
+    if match == "full":
+        missing = missing.unionByName(asked.where(~F.col("mask").isin(none, every)).select("row", timed, F.lit("missing").alias("status")))
+    gone = _not_there(wanted.where("at IS NOT NULL"), there, state)
+    return missing.unionByName(gone.select("row", timed, "status")).select("row.*", "null_mask", "status")
+
+
+def _not_there(asked: DataFrame, there: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows of `asked` (row, mask, at, k1, k2) whose key is in `there` (k1, k2, start, stop), but not at that time: late or deleted.
+
+    Each key's stays shrink to two times (first start, first start of those never stopped; `state`), which settles nearly all references in one join.
+    What is left, references between the stays of a key, is settled once for each distinct (key, time), by counting starts and stops up to it
+    within one (key, hour), on top of a sum over the key's earlier hours: references of one key at one time are one row, those of a hot key are spread by hour.
+    """
+    key = ["k1", "k2"]
+    met = asked.join(state, key)
+    status = F.when(F.col("first").isNull() | (F.col("first") > F.col("at")), "late").when(F.col("stays") <= F.col("at"), None).otherwise("between")
+    open_cases = cut(met.select("row", "mask", "at", *key, status.alias("status")).where(F.col("status").isNotNull()))
+    late = open_cases.where("status = 'late'")
+    between = open_cases.where("status = 'between'").drop("status")
+    points = between.select(*key, F.col("at").alias("t")).distinct()
+    stays = there.where(F.col("stop").isNotNull() & (F.col("stop") > F.col("start"))).distinct().join(points.select(*key).distinct(), key, "left_semi")
+    ends = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("step")), F.struct(F.col("stop").alias("t"), F.lit(-1).alias("step"))))
+    steps = stays.select(*key, ends.alias("e")).select(*key, "e.t", F.col("e.step").cast("bigint").alias("step"), F.lit(1).alias("order"))
+    points = points.withColumns({"step": F.lit(0).cast("bigint"), "order": F.lit(2)})
+    hour = F.date_trunc("HOUR", F.col("t")).cast(asked.schema["at"].dataType)
+    hourly = steps.unionByName(points).groupBy(*key, hour.alias("hour")).agg(F.sum("step").alias("step"))
+    before = Window.partitionBy(*key).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    carry = hourly.select(*key, "hour", F.coalesce(F.sum("step").over(before), F.lit(0)).alias("step")).where("step <> 0")
+    rows = _union([points.withColumn("hour", hour), steps.withColumn("hour", hour), carry.select(*key, F.col("hour").alias("t"), "step", F.lit(0).alias("order"), "hour")])
+    so_far = Window.partitionBy(*key, "hour").orderBy("t", "order").rowsBetween(Window.unboundedPreceding, 0)
+    empty = rows.withColumn("there", F.sum("step").over(so_far)).where("order = 2 AND there = 0").select(*key, F.col("t").alias("at"))
+    deleted = between.join(empty, [*key, "at"], "left_semi").withColumn("status", F.lit("deleted"))
+    return late.unionByName(deleted)
 
 
 def orphans_at(refs: DataFrame, targets: DataFrame) -> DataFrame:
     """Rows of `refs` that meet no row of `targets` at their time, with `status` missing, late or deleted.
 
     refs has `space`, `ref` and `at` besides what it carries along, at least one column, under any name but status; targets has `space`, `ref`, `start`, `stop` (null stop: still there).
-    The composite key is (space, ref, at), grouped by its null mask: without `ref` it is no reference; without `at` only `missing`
-    can be told, by an anti-join on (space, ref); with both the key also has to meet a target that is there:
-    start <= at and (stop null or stop > at). missing: no target has the key; late: all of them start after `at`; deleted: none
-    is there at `at` and one started before. A target without a start counts as one that starts after any time.
-    Repeated refs each come out; repeated targets change nothing.
-
-    Only 128-bit fingerprints of the keys are shuffled. Each key's targets shrink to two times (first start, first start
-    of those never stopped), which settles nearly all references in one join. What is left, references between the stays of a key,
-    is settled by counting starts and stops up to `at` within one (key, day), on top of a sum over the key's earlier days:
-    a group of one key, however hot, is spread by day, and the sums have at most one row a key and day.
+    It is `orphans_by_mask` over the composite key (space, ref, at) with simple match: without `ref` it is no reference, without `at` only `missing` can be told.
     """
-    k1, k2 = fingerprint("space", "ref")
     carried = [c for c in refs.columns if c not in ("space", "ref", "at", "status")]
-    k1, k2 = fingerprint("space", "ref")
-    child = refs.where(F.col("ref").isNotNull()).select(F.struct(*carried).alias("row"), "at", k1.alias("k1"), k2.alias("k2"))
-    parent = targets.where(F.col("ref").isNotNull()).select(k1.alias("k1"), k2.alias("k2"), "start", "stop")
-    key = ["k1", "k2"]
-
-    # mask (ref, no time)
-    timeless = child.where(F.col("at").isNull()).join(parent.select(*key).distinct(), key, "left_anti")
-    timeless = timeless.select("row", F.lit("missing").alias("status"))
-
-    # mask (ref, time)
-    lives = F.col("stop").isNull()
-    state = parent.groupBy(*key).agg(F.min("start").alias("first"), F.min(F.when(lives, F.col("start"))).alias("stays"), F.lit(True).alias("met"))
-    timed = child.where(F.col("at").isNotNull()).join(state, key, "left")
-    status = (
-        F.when(F.col("met").isNull(), "missing")
-        .when(F.col("first").isNull() | (F.col("first") > F.col("at")), "late")
-        .when(F.col("stays") <= F.col("at"), None)
-        .otherwise("between")
-    )
-    open_cases = cut(timed.select("row", "at", *key, status.alias("status")).where(F.col("status").isNotNull()))
-    clear = open_cases.where(F.col("status") != "between").select("row", "status")
-
-    between = open_cases.where(F.col("status") == "between")
-    wanted = between.select(*key).distinct()
-    stays = parent.where(~lives & (F.col("stop") > F.col("start"))).distinct().join(wanted, key, "left_semi")
-    ends = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("step")), F.struct(F.col("stop").alias("t"), F.lit(-1).alias("step"))))
-    steps = stays.select(*key, ends.alias("e")).select(*key, "e.t", "e.step")
-    asked = between.select(*key, F.col("at").alias("t"), F.lit(0).alias("step"))
-    day = F.to_date("t")
-    daily = steps.unionByName(asked).groupBy(*key, day.alias("day")).agg(F.sum("step").alias("step"))
-    before = Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    carry = daily.select(*key, "day", F.coalesce(F.sum("step").over(before), F.lit(0)).alias("step")).where("step <> 0")
-    blank = F.lit(None).cast(between.schema["row"].dataType).alias("row")
-    rows = _union(
-        [
-            between.select("row", *key, F.to_date("at").alias("day"), F.col("at").alias("t"), F.lit(0).cast("bigint").alias("step"), F.lit(2).alias("order")),
-            steps.select(blank, *key, day.alias("day"), "t", F.col("step").cast("bigint").alias("step"), F.lit(1).alias("order")),
-            carry.select(blank, *key, "day", F.col("day").cast(between.schema["at"].dataType).alias("t"), "step", F.lit(0).alias("order")),
-        ]
-    )
-    so_far = Window.partitionBy(*key, "day").orderBy("t", "order").rowsBetween(Window.unboundedPreceding, 0)
-    deleted = rows.withColumn("there", F.sum("step").over(so_far)).where("order = 2 AND there = 0").select("row", F.lit("deleted").alias("status"))
-    return _union([timeless, clear, deleted]).select("row.*", "status")
+    named = refs.select(F.struct(*carried).alias("carried"), "space", "ref", "at")
+    found = orphans_by_mask(named, targets, [("space", "space"), ("ref", "ref")], "simple", ("at", "start", "stop"))
+    return found.select("carried.*", "status")
 
 
 def orphan_counts(orphans: DataFrame, period: str = "month", by: tuple[str, ...] = ("tbl", "field", "status"), at: str = "at") -> DataFrame:

@@ -38,7 +38,7 @@ def p3_orphans_by_month(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_composite_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Edge targets as (to_id, file of the edge) against (id, file) of symbols, partial match: each null is left out of the key."""
+    """Callers of edges as (from_id, file of the edge) against (id, file) of symbols, partial match: each null is left out of the key."""
     child = table(spark, sf, "edges", "edge_key", "from_id", "file").withColumns({"from_id": trimmed("from_id"), "file": trimmed("file")})
     parent = table(spark, sf, "symbols", "id", "file").withColumns({"id": trimmed("id"), "file": trimmed("file")})
     return orphans_by_mask(child, parent, [("from_id", "id"), ("file", "file")], "partial").select("edge_key", "null_mask")
