@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import fingerprint
+from ..session import cut
 from ..sources.tables import table
 
 
@@ -19,13 +20,18 @@ def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-def composed(c: Column) -> Column:
-    """`c` with letters and their combining marks put together (NFC). Only texts with such marks go through Python."""
-    return F.coalesce(_composed(F.when(c.rlike(r"\p{M}"), c)), c)
+# What makes a text differ from its composed form: combining marks, and Korean syllables in parts.
+_PARTS = r"[\p{M}\x{1100}-\x{11FF}]"
+
+
+def composed(df: DataFrame, column: str) -> DataFrame:
+    """`df` with letters and their combining marks put together (NFC) in `column`. Only rows with such marks go through Python."""
+    parts = F.coalesce(F.col(column).rlike(_PARTS), F.lit(False))
+    return df.where(~parts).unionByName(df.where(parts).withColumn(column, _composed(F.col(column))))
 
 
 def letters_and_digits(c: Column) -> Column:
-    """The letters and digits of `c` in order, in one case (ß counts as ss, its capital form); '' for null. Expects composed text."""
+    """The letters and digits of `c` in order, in one case (ß counts as ss, its capital form); '' for null. Marks stay, to be put together with their letters (`composed`)."""
     return F.replace(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}\p{M}]|[\x{FE00}-\x{FE0F}]", "")), F.lit("ß"), F.lit("ss"))
 
 
@@ -62,15 +68,16 @@ def collapse(df: DataFrame, key: str, text: str, same: tuple[str, ...] = (), can
     """
     rows = df.select(F.col(key).alias("_key"), *same, F.col(text).alias("_text"))
     raw = rows.groupBy(*same, "_text").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_first"))
-    survivors = raw.withColumn("_canon", canonical(composed(F.col("_text"))))
-    if not empty:
-        survivors = survivors.where(F.col("_canon") != "")
     r1, r2 = fingerprint(*same, "_text")
     c1, c2 = fingerprint(*same, "_canon")
+    # read by both of what follows; escapes are decoded by now, so that a mark written as one is put together with its letter
+    survivors = composed(cut(raw.select(*same, r1.alias("_r1"), r2.alias("_r2"), canonical(F.col("_text")).alias("_canon"), "_n", "_first")), "_canon")
+    if not empty:
+        survivors = survivors.where(F.col("_canon") != "")
     nulls = [F.concat_ws("", F.lit(""), *(F.col(s).isNull().cast("int").cast("string") for s in same)).alias("_nulls")]
     groups = survivors.groupBy(*same, "_canon").agg(F.sum("_n").alias("copies"), F.min("_first").alias("first_key"))
     groups = groups.select(c1.alias("_c1"), c2.alias("_c2"), *nulls, "first_key", "copies")
-    first = survivors.select(r1.alias("_r1"), r2.alias("_r2"), c1.alias("_c1"), c2.alias("_c2"), *nulls).join(groups, ["_c1", "_c2", "_nulls"]).select("_r1", "_r2", "_nulls", "first_key", "copies")
+    first = survivors.select("_r1", "_r2", c1.alias("_c1"), c2.alias("_c2"), *nulls).join(groups, ["_c1", "_c2", "_nulls"]).select("_r1", "_r2", "_nulls", "first_key", "copies")
     hashed = rows.select("_key", r1.alias("_r1"), r2.alias("_r2"), *nulls)
     members = hashed.join(first, ["_r1", "_r2", "_nulls"]).select(F.col("_key").alias(key), "first_key", "copies")
     return groups.select("first_key", "copies"), members

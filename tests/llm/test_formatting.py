@@ -27,6 +27,12 @@ def test_collapse_equals_brute_force(spark, rows):
     assert rows(records) == sorted((min(v), len(v)) for (_, c), v in groups.items() if c)
 
 
+def test_marks_written_as_escapes(spark, rows):
+    data = [(1, '{"text": "cafe\\u0301 closed"}'), (2, '{"text": "Café, closed"}'), (3, "text: cafe\u0301 closed"), (4, "text: cafe closed"), (5, '{"text": "\u1112\u1161\u11ab"}'), (6, '{"text": "한"}')]
+    _, members = M.collapse(spark.createDataFrame(data, "key bigint, record string"), "key", "record", canonical=M.field_text)
+    assert rows(members, "key", "first_key") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5)]
+
+
 def test_collapse_empty_table(spark, rows):
     records, members = M.collapse(spark.createDataFrame([], "key bigint, text string"), "key", "text")
     assert rows(records) == [] and rows(members) == []
