@@ -1,4 +1,8 @@
-"""Rule classifiers of text as expressions. Patterns avoid \\b, whose meaning differs between engines: words are bounded by spaces in spaced()."""
+"""Rule classifiers of text as expressions and, for the checks, as SQL.
+
+Patterns are written with \\b for the border between an ASCII word character and another or none, as the SQL engine reads it;
+the other engine counts accented letters as word characters there, so `java` spells the border out for it.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,15 @@ from pyspark.sql import functions as F
 
 # What an intent speaks of, by the first rule that fits.
 INTENTS = {
-    "pr": ["pull request", "open a pr", "opening a pr", "write a pr", "write the pr", "writing a pr", "draft a pr", "draft the pr", "pr description", "ship", "release note", "release notes"],
-    "debug": ["debug", "debugging", "fix a bug", "fix the bug", "fixing a bug", "fixing the bug", "crash", "crashes", "crashing", "error", "failure", "not working", "investigate", "regression"],
-    "review": ["code review", "review", "reviewing", "audit"],
-    "refactor": ["refactor", "refactoring", "rename", "renaming", "extract", "clean", "restructure", "restructuring"],
-    "edit": ["change", "changing", "add", "adding", "update", "updating", "implement", "implementing"],
+    "pr": [r"\bpull request\b", r"\bopen(?:ing)? a pr\b", r"\bwrit(?:e|ing) (?:a |the )?pr\b", r"\bdraft (?:a |the )?pr\b", r"\bpr description\b", r"\bship\b", r"\brelease notes?\b"],
+    "debug": [r"\bdebug(?:ging)?\b", r"\bfix(?:ing)? (?:a |the )?bug\b", r"\bcrash(?:ing|es)?\b", r"\berror\b", r"\bfailure\b", r"\bnot working\b", r"\binvestigate\b", r"\bregression\b"],
+    "review": [r"\bcode review\b", r"\breview(?:ing)?\b", r"\baudit\b"],
+    "refactor": [r"\brefactor(?:ing)?\b", r"\brenam(?:e|ing)\b", r"\bextract\b", r"\bclean(?: up| up the| up of)?\b", r"\brestructur(?:e|ing)\b"],
+    "edit": [r"\bchang(?:e|ing)\b", r"\badd(?:ing)?\b", r"\bupdat(?:e|ing)\b", r"\bimplement(?:ing)?\b"],
 }
+# Sections of a brief, and those that an intent leaves out.
+SECTIONS = "invariants decisions notes questions neighbors provenance tests".split()
+LEFT_OUT = {"pr": ["questions", "notes", "neighbors"], "debug": ["decisions"], "review": ["provenance", "notes", "neighbors"], "refactor": ["provenance"]}
 # Topics that need approval and the words that show them, anywhere in a text.
 RISK_TOPICS = {
     "auth": ["auth", "authentication", "authorization", "login", "logout", "permission", "token", "session", "rbac", "oauth", "jwt", "credential"],
@@ -23,44 +30,104 @@ RISK_TOPICS = {
     "compliance": ["compliance", "gdpr", "hipaa", "pii", "data retention", "legal", "privacy", "audit log"],
     "destructive_actions": ["delete", "drop table", "truncate", "destroy", "wipe", "purge", "rm -rf", "force push", "hard reset"],
 }
-# Kinds of correction.
+# Kinds of correction, and those of high severity.
 CORRECTIONS = {
-    "test_coverage": " (?:write|add|more|missing) (?:unit |integration )?tests? ",
-    "generated_files": " (?:dont|do not|never|avoid) touch(?:ing)? generated | generated files? ",
-    "existing_helper": " (?:existing|current) helper | use the existing ",
-    "wrong_abstraction": " wrong abstraction | too much abstraction | dont abstract ",
-    "wrong_package": " wrong package | belongs in package | package [^ ]+ ",
+    "test_coverage": r"\b(?:write|add|more|missing)\s+(?:unit\s+|integration\s+)?tests?\b",
+    "generated_files": r"\b(?:don'?t|do not|never|avoid)\s+touch(?:ing)?\s+generated\b|\bgenerated files?\b",
+    "existing_helper": r"\b(?:existing|current)\s+helper\b|\buse\s+the\s+existing\b",
+    "wrong_abstraction": r"\bwrong abstraction\b|\btoo much abstraction\b|\bdon'?t abstract\b",
+    "wrong_package": r"\bwrong package\b|\bbelongs in package\b|\bpackage\s+[\w@/-]+\b",
 }
-# Cues of a lasting rule, and signs that it is about this moment only.
-DURABLE = " (?:from now on|going forward|from here on|as a rule|always|never|(?:i|we) (?:prefer|want|like|expect|require)|remember (?:to|that)|we only|in this (?:repo|repository|codebase|project|module|package)|by default|defaults? to|no exceptions|we learned|we decided|turns out|learned that) "
-TRANSIENT = " (?:yet|for now|right now|at the moment|just for this|this time|today|already|hold off|wait|hang on|this session|this chat|this conversation|this turn|this task|this prompt|im|i am|not sure|no idea|confused|wondering) "
-# Shapes of secrets, in the order they are replaced; the first groups of the labelled ones stay.
+SEVERE = ("generated_files", "wrong_package")
+# A user's complaint about missing tests.
+TEST_CORRECTION = r"\b(?:write|add|include|cover|need|needs|needed|missing|more|better|stronger|not enough|should have)\b[\s\S]{0,80}\b(?:test|tests|spec|coverage|assertion|assertions)\b"
+# Cues of a lasting rule with what is taken off the start of the clause, by the first that fits.
+CUES = [
+    (r"\bfrom now on[,:\s]+", r"^from now on[,:\s]+"), (r"\bgoing forward[,:\s]+", r"^going forward[,:\s]+"), (r"\bfrom here on(?: out)?[,:\s]+", r"^from here on(?: out)?[,:\s]+"), (r"\bas a rule[,:\s]+", r"^as a rule[,:\s]+"),
+    (r"\b(?:please\s+)?always\b", r"^\s*(?:please\s+)?"), (r"\b(?:please\s+)?never\b", r"^\s*(?:please\s+)?"), (r"\b(?:i|we) (?:prefer|want|like|expect|require)\b", ""), (r"\bmake sure (?:to|you) always\b", ""),
+    (r"\b(?:don'?t|do not) (?:ever|always)\b", ""), (r"\bremember (?:to|that)\b", r"^remember (?:to|that)\s+"), (r"\b(?:we|you) should (?:always|never)\b", ""), (r"\bwe (?:always|never|only ever|only)\b", r"^\s*"),
+    (r"\bin this (?:repo|repository|codebase|project|module|package)\b", ""), (r"\bby default\b", ""), (r"\bdefaults? to\b", ""), (r"\b(?:as|make it) the default\b", ""), (r"\bout[- ]of[- ]the[- ]box\b", ""), (r"\bno exceptions\b", ""),
+    (r"^(?:decision|convention|rule|policy|standard|guideline)\s*[:\-]\s+", r"^(?:decision|convention|rule|policy|standard|guideline)\s*[:\-]\s+"), (r"\b(?:should be|is|are)\s+(?:named|called)\b", ""),
+    (r"\bwe learned\b", r"^we learned (?:to|that)\s*"), (r"\blearned (?:that|the hard way)\b", ""), (r"\bturns out\b", r"^turns out (?:that\s+)?"),
+]
+# Signs that a clause is about this moment, this talk or its speaker only, and openings of requests.
+TRANSIENT = [
+    r"\b(?:yet|for now|right now|at the moment|just for this|this time|today|already)\b", r"\byou (?:do not|don'?t) need to\b", r"\b(?:don'?t|do not) (?:bother|write code|change code|edit|run|start|begin)\b", r"\b(?:hold off|wait|hang on)\b",
+    r"\bstop\s*(?:it|now|everything|right now)?\s*[.!?]*$", r"\b(?:right now|for now|this session|this chat|this conversation|this turn|this task|this prompt)\b",
+    r"\bi\s*['’]?m\b", r"\bi (?:get|am|was|feel|think|guess|wonder|assume|believe|realiz|notic|see|know|find)\w*", r"\b(?:confused|not sure|no idea|wondering|curious)\b",
+    r"^can you\s+", r"^could you\s+", r"^now\s+",
+]
+# Words of place, of policy, of generality and of prohibition in a directive, and signs of a one-time instruction.
+POSITIONAL = r"\b(?:here|this file|this dir(?:ectory)?|this folder|this area|this page|this component|in here)\b"
+POLICY = r"\b(?:prefer|avoid|don'?t|do not|should|must|never)\b"
+GENERIC = r"\b(?:always|never|every|any|all|the codebase|this repo|in general|whenever|repo-wide|globally|throughout)\b"
+NEGATIVE = r"\b(?:don'?t|do not|never|avoid|stop|no longer|shouldn'?t|must not)\b"
+DIRECTIVE_TRANSIENT = [r"\b(?:yet|for now|right now|at the moment|just for this|this time|today)\b", r"\byou (?:do not|don'?t) need to\b", r"\b(?:don'?t|do not) (?:bother|write code|change code|edit this|run|start|begin)\b"]
+# How symbols and files look in a lesson.
+SYMBOL_LIKE = r"\b(?:[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+|[a-z][a-z0-9]+(?:[A-Z][a-z0-9]+)+|[A-Za-z_$][\w$]*\.[A-Za-z_$][\w$]*)\b"
+QUALIFIED = r"\b[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*){1,4}\b"
+BACKTICKED = r"`([^`\n]{1,80})`"
+FILE_PATH = r"\b(?:[\w@.-]+/)*[\w@.-]+\.(?:ts|tsx|js|jsx|mjs|cjs|py|rs|go|rb|java|kt|swift|md|yml|yaml|toml|json)\b"
+# Titles of commits that mend or decide, and the form of conventional ones.
+FIX = r"^(?:fix|bug|hotfix|revert|patch)\b"
+DECISION = r"\b(?:chose|chosen|decided|prefer|over|instead of|rejected)\b"
+CONVENTIONAL = r"^[a-z]+\(([^)]+)\)!?:\s*.*$"
+# Where an item of the inbox belongs, by its wording.
+LOCATION_CUE = r"\b(?:this folder|this directory|here|in (?:src|apps|packages|docs|lib|server|client|api|ui|web|tests?)(?:/|\b)|under (?:src|apps|packages|docs|lib|server|client|api|ui|web|tests?)(?:/|\b))"
+DURABLE_CUE = r"\b(?:always|never|prefer|from now on|default to|use .* instead of)\b"
+# Shapes of secrets, in the order they are replaced; the first groups of the labelled ones stay. A quoted value ends with its quote.
 SECRETS = [
     (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", ""),
-    (r"sk-ant-[A-Za-z0-9_-]{20,}", ""),
-    (r"(?:sk|rk)[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}", ""),
-    (r"gh[pousr]_[A-Za-z0-9]{20,}", ""),
-    (r"github_pat_[A-Za-z0-9_]{20,}", ""),
-    (r"xox[baprs]-[A-Za-z0-9-]{10,}", ""),
-    (r"AKIA[0-9A-Z]{16}", ""),
-    (r"AIza[0-9A-Za-z_-]{35}", ""),
-    (r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{10,})?", ""),
-    (r"Bearer\s+[A-Za-z0-9._-]{12,}", ""),
-    (r"(?i)(Authorization|token|api[_-]?key)(\s*[:=]\s*)['\"]?[A-Za-z0-9._-]{12,}['\"]?", "$1$2"),
-    (r"([A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|PASSWD|APIKEY|API_KEY|ACCESS_KEY|PRIVATE_KEY)[A-Z0-9_]*)(\s*[:=]\s*)['\"]?[^\s'\"]{6,}['\"]?", "$1$2"),
+    (r"\bsk-ant-[A-Za-z0-9_-]{20,}", ""),
+    (r"\b(?:sk|rk)[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}", ""),
+    (r"\bgh[pousr]_[A-Za-z0-9]{20,}", ""),
+    (r"\bgithub_pat_[A-Za-z0-9_]{20,}", ""),
+    (r"\bxox[baprs]-[A-Za-z0-9-]{10,}", ""),
+    (r"\bAKIA[0-9A-Z]{16}\b", ""),
+    (r"\bAIza[0-9A-Za-z_-]{35}\b", ""),
+    (r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]{10,})?", ""),
+    (r"\bBearer\s+[A-Za-z0-9._-]{12,}", ""),
+    (r"(?i)\b(Authorization|token|api[_-]?key)\b(\s*[:=]\s*)(?:'[A-Za-z0-9._-]{12,}'|\"[A-Za-z0-9._-]{12,}\"|[A-Za-z0-9._-]{12,})", "$1$2"),
+    (r"\b([A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|PASSWD|APIKEY|API_KEY|ACCESS_KEY|PRIVATE_KEY)[A-Z0-9_]*)(\s*[:=]\s*)(?:'\S{6,}'|\"\S{6,}\"|\S{6,})", "$1$2"),
 ]
+# How test runners name a failed test.
+FAIL_LINE = r"\bFAIL\b\s+([^\s]+)(?:\s+>\s+(.+))?"
+FAILED_NODE = r"\bFAILED\s+([^\s]+::[^\s]+)"
+CROSS_LINE = r"(?m)^\s+[×✕]\s+(.+)$"
+
+
+def java(pattern: str) -> str:
+    """`pattern` with its word borders spelled out."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
+def has(c: Column, *patterns: str) -> Column:
+    """Whether `c` matches any of `patterns`, whatever the case."""
+    return c.rlike("(?i)" + "|".join(f"(?:{java(p)})" for p in patterns))
+
+
+def count(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit("(?i)" + java(pattern)))
 
 
-def spaced(c: Column) -> Column:
-    """Words of `c` in lower case between single spaces, apostrophes taken out."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("'"), F.lit("")), "[^a-z0-9]+", " "), F.lit(" "))
+def found(c: Column, pattern: str, group: int = 0) -> Column:
+    """All matches of `pattern` in `c`, in order."""
+    return F.regexp_extract_all(c, F.lit(java(pattern)), F.lit(group))
 
 
 def intent_of(c: Column) -> Column:
-    words = spaced(c)
     out = F.lit("unknown")
-    for kind, phrases in reversed(INTENTS.items()):
-        out = F.when(words.rlike(" (?:" + "|".join(phrases) + ") "), kind).otherwise(out)
+    for kind, patterns in reversed(INTENTS.items()):
+        out = F.when(has(F.coalesce(c, F.lit("")), *patterns), kind).otherwise(out)
+    return F.when(F.trim(c) == "(unspecified)", "unknown").otherwise(out)
+
+
+def sections_of(intent: Column) -> Column:
+    """The sections of a brief that `intent` keeps, in order."""
+    every = F.array(*map(F.lit, SECTIONS))
+    out = every
+    for kind, names in LEFT_OUT.items():
+        out = F.when(intent == kind, F.array_except(every, F.array(*map(F.lit, names)))).otherwise(out)
     return out
 
 
@@ -70,28 +137,70 @@ def risk_topics(c: Column) -> Column:
 
 
 def corrections(c: Column) -> Column:
-    words = spaced(c)
-    return F.array_compact(F.array(*(F.when(words.rlike(p), F.lit(k)) for k, p in CORRECTIONS.items())))
+    text = F.coalesce(c, F.lit(""))
+    return F.array_compact(F.array(*(F.when(has(text, p), F.lit(k)) for k, p in CORRECTIONS.items())))
+
+
+def preference(clause: Column) -> Column:
+    """The lasting rule that `clause` states, without its cue and closing marks; null where it states none."""
+    cue = F.coalesce(*(F.when(has(clause, p), F.regexp_replace(clause, "(?i)" + strip, "") if strip else clause) for p, strip in CUES))
+    text = F.trim(F.regexp_replace(F.trim(F.regexp_replace(cue, r"^[,:\s]+", "")), r"[.!?]+$", ""))
+    enough = F.size(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 2)) >= 3
+    return F.when((F.length(clause).between(1, 239)) & ~has(clause, *TRANSIENT) & ~clause.endswith("?") & enough & (F.length(text) <= 200), text)
+
+
+def polarity(c: Column) -> Column:
+    return F.when(has(c, NEGATIVE), "dont").otherwise("do")
+
+
+def directive(sentence: Column) -> Column:
+    """Whether `sentence` is an instruction for a place: words of place and of policy, up to 280 characters, not for once."""
+    return (F.length(sentence).between(1, 280)) & ~has(sentence, *DIRECTIVE_TRANSIENT) & has(sentence, POSITIONAL) & has(sentence, POLICY)
+
+
+def target_kind(c: Column) -> Column:
+    """What a reference names: a diff, pull request, commit, file or symbol."""
+    v = F.trim(c)
+    return (
+        F.when(v == "", "diff").when(v.rlike(r"^\d+$"), "pr").when(v.rlike(java(r"^HEAD\b")) | v.rlike("[~^]") | v.contains("..") | v.rlike("(?i)^[0-9a-f]{7,40}$"), "commit")
+        .when(v.contains("/") | v.rlike(r"(?i)\.[a-z0-9]+$"), "file").otherwise("symbol")
+    )
+
+
+def failed_tests(output: Column) -> Column:
+    """Names of the failed tests in the output of the usual runners, each once."""
+    files, names = found(output, FAIL_LINE, 1), found(output, FAIL_LINE, 2)
+    lines = F.zip_with(files, names, lambda f, n: F.when(F.trim(n) != "", F.concat(f, F.lit(" > "), F.trim(n))).otherwise(f))
+    return F.array_distinct(F.concat(lines, found(output, FAILED_NODE, 1), F.transform(found(output, CROSS_LINE, 1), lambda n: F.trim(n))))
 
 
 def redacted(c: Column) -> tuple[Column, Column]:
     """(text with secrets replaced, number replaced): patterns in turn, each on what the former left."""
     hits = F.lit(0)
     for pattern, keep in SECRETS:
-        hits = hits + F.regexp_count(c, F.lit(pattern))
-        c = F.regexp_replace(c, pattern, keep + "[REDACTED]")
+        hits = hits + F.regexp_count(c, F.lit(java(pattern)))
+        c = F.regexp_replace(c, java(pattern), keep + "[REDACTED]")
     return c, hits
 
 
-SQL_SPACED = "(' ' || regexp_replace(replace(lower(coalesce({c}, '')), '''', ''), '[^a-z0-9]+', ' ', 'g') || ' ')"
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
 
 
-def sql_spaced(c: str) -> str:
-    return SQL_SPACED.replace("{c}", c)
+def sql_has(c: str, *patterns: str) -> str:
+    return f"regexp_matches({c}, '(?i)" + "|".join(f"(?:{_q(p)})" for p in patterns) + "')"
+
+
+def sql_count(c: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({c}, '(?i){_q(pattern)}'))"
+
+
+def sql_found(c: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({c}, '{_q(pattern)}', {group})"
 
 
 def sql_intent(c: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({sql_spaced(c)}, ' (?:{'|'.join(p)}) ') THEN '{k}'" for k, p in INTENTS.items()) + " ELSE 'unknown' END"
+    return f"CASE WHEN trim({c}) = '(unspecified)' THEN 'unknown' " + " ".join(f"WHEN {sql_has(c, *p)} THEN '{k}'" for k, p in INTENTS.items()) + " ELSE 'unknown' END"
 
 
 def sql_topics(c: str) -> str:
@@ -99,13 +208,16 @@ def sql_topics(c: str) -> str:
 
 
 def sql_corrections(c: str) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({sql_spaced(c)}, '{p}') THEN '{k}' END" for k, p in CORRECTIONS.items()) + "], lambda x: x IS NOT NULL)"
+    return "list_filter([" + ", ".join(f"CASE WHEN {sql_has(c, p)} THEN '{k}' END" for k, p in CORRECTIONS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+def sql_cue(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN {sql_has(c, p)} THEN " + (f"regexp_replace({c}, '(?i){_q(strip)}', '')" if strip else c) for p, strip in CUES) + " END"
 
 
 def sql_redacted(table: str, key: str, text: str) -> str:
     steps = [f"s0 AS (SELECT {key}, {text} AS t, 0 AS n FROM {table} WHERE {text} IS NOT NULL)"]
     for i, (pattern, keep) in enumerate(SECRETS, 1):
-        p = pattern.replace("'", "''")
         to = keep.replace("$", "\\") + "[REDACTED]"
-        steps.append(f"s{i} AS (SELECT {key}, regexp_replace(t, '{p}', '{to}', 'g') AS t, n + len(regexp_extract_all(t, '{p}')) AS n FROM s{i - 1})")
+        steps.append(f"s{i} AS (SELECT {key}, regexp_replace(t, '{_q(pattern)}', '{to}', 'g') AS t, n + len(regexp_extract_all(t, '{_q(pattern)}')) AS n FROM s{i - 1})")
     return "WITH " + ",\n".join(steps) + f"\nSELECT {key}, t AS redacted, n::BIGINT AS found FROM s{len(SECRETS)}"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.intervals import folders_above, overlaps
-from ..operators.ranking import first_by
+from ..operators.patterns import pattern_matches
+from ..operators.ranking import first_by, top_by
 from ..session import cut
 from ..sources.tables import table
 from . import warehouse as W
@@ -22,23 +23,11 @@ def _patterns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j5_pattern_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules with the number of symbols their pattern fits: equal, prefix*, *suffix, or the part after a '.' or '/' (also p1_glob, a9).
-
-    No nested loop: each symbol offers its own prefixes, suffixes and tails as keys, and patterns are looked up among them by kind.
-    """
-    s = W.sym(spark, sf).select("id", F.coalesce("qualified_name", "name").alias("q")).where("q IS NOT NULL")
-    n = F.length("q")
-    steps = F.sequence(F.lit(1), n)
-    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
-    prefixes = F.transform(steps, lambda i: key("prefix", F.substr(F.col("q"), F.lit(1), i)))
-    suffixes = F.transform(steps, lambda i: key("suffix", F.substr(F.col("q"), i)))
-    tails = F.transform(F.filter(steps, lambda i: F.substr(F.col("q"), i, F.lit(1)).isin(".", "/")), lambda i: key("exact", F.substr(F.col("q"), i + 1)))
-    offers = s.where(n > 0).select("id", F.explode(F.array_distinct(F.concat(F.array(key("exact", F.col("q"))), prefixes, suffixes, tails))).alias("o")).select("id", "o.kind", "o.key")
-    p = F.col("pattern")
-    wanted = _patterns(spark, sf).select("issue_key", "severity", F.when(p.endswith("*"), "prefix").when(p.startswith("*"), "suffix").otherwise("exact").alias("kind"), F.regexp_replace(p, r"^\*|\*$", "").alias("key"))
-    keys = wanted.select("kind", "key").distinct()
-    hits = offers.join(keys, ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("hits"))
-    return wanted.join(hits, ["kind", "key"]).select("issue_key", "severity", "hits")
+    """Rules with the number of symbols their pattern fits: equal, prefix*, *suffix, or the part after a '.' or '/' (P1)."""
+    s = W.sym(spark, sf).select("id", F.coalesce("qualified_name", "name").alias("name")).where("name IS NOT NULL")
+    wanted = _patterns(spark, sf)
+    met = pattern_matches(s, wanted).join(s.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name").groupBy("pattern").agg(F.sum("n").alias("hits"))
+    return wanted.join(met, "pattern").select("issue_key", "severity", "hits")
 
 
 def j6_anchored_notes(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,13 +102,12 @@ def j13_feature_isolate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j14_feature_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """What entered, left or changed weight between touches up to April and after."""
-    t = W.touches(spark, sf)
-    share = lambda d, name: d.groupBy("label", "id").agg(F.count(F.lit(1)).alias(name))
-    old, new = share(t.where("ts < '2026-04-01'"), "n_then"), share(t.where("ts >= '2026-04-01'"), "n_now")
-    both = old.join(new, ["label", "id"], "full_outer")
-    change = F.when(F.col("n_then").isNull(), "entered").when(F.col("n_now").isNull(), "left").when(F.abs(F.col("n_now") - F.col("n_then")) > 0, "weight")
-    return both.select("label", "id", change.alias("change"), (F.coalesce("n_now", F.lit(0)) - F.coalesce("n_then", F.lit(0))).alias("delta")).where("change IS NOT NULL")
+    """What entered, left or changed its weight by more than 0.05 in the twenty heaviest symbols of each feature, between the state as of April and now."""
+    then = W.ranked_weights(W.touches(spark, sf).where("ts <= '2026-04-01'")).select("label", "id", F.col("weight").alias("w_then"))
+    now = W.ranked_weights(W.touches(spark, sf)).select("label", "id", F.col("weight").alias("w_now"))
+    both = then.join(now, ["label", "id"], "full_outer")
+    change = F.when(F.col("w_then").isNull(), "entered").when(F.col("w_now").isNull(), "left").when(F.abs(F.col("w_now") - F.col("w_then")) > 0.05, "weight")
+    return both.select("label", "id", change.alias("change"), F.round("w_then", 6).alias("weight_then"), F.round("w_now", 6).alias("weight_now")).where("change IS NOT NULL")
 
 
 def j15_test_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,10 +132,10 @@ def j17_uncovered_issues(spark: SparkSession, sf: str) -> DataFrame:
     return W.iss(spark, sf).where("symbol IS NOT NULL").join(noted, "symbol", "left_anti").select("issue_key")
 
 
-def j18_flagged_notes(spark: SparkSession, sf: str) -> DataFrame:
-    """Notes by severity and by whether their symbol is listed as stale."""
-    listed = W.stale(spark, sf).select("symbol").dropna().distinct().withColumn("flag", F.lit(True))
-    return W.note(spark, sf).join(listed, "symbol", "left").groupBy("severity", F.coalesce("flag", F.lit(False)).alias("stale")).agg(F.count(F.lit(1)).alias("notes"))
+def j18_waived_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules with whether a waiver names them, and the first that does."""
+    w = W.waivers(spark, sf).select(F.col("invariant").alias("name"), "item_key")
+    return W.rules(spark, sf).select("name", "severity").join(w, "name", "left").select("name", "severity", F.col("item_key").isNotNull().alias("waived"), "item_key")
 
 
 def j19_missing_anchor(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,9 +238,10 @@ def j23_conflicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j24_changed_since(spark: SparkSession, sf: str) -> DataFrame:
-    """Stale entries whose file has a call built after they were listed."""
-    last = table(spark, sf, "edges", "file", "built_at").where("file IS NOT NULL").groupBy("file").agg(F.max("built_at").alias("changed"))
-    return W.stale(spark, sf).join(last, "file").where("changed > listed_at").select("entry_key")
+    """Stale entries whose file has, among its last ten commits, one after they were listed."""
+    last = top_by(W.file_commits(spark, sf), ["file"], [F.col("at").desc(), "commit"], 10)
+    newest = last.groupBy("file").agg(F.max("at").alias("changed"))
+    return W.stale(spark, sf).join(newest, "file").where("changed > listed_at").select("entry_key")
 
 
 _PAT = """
@@ -265,7 +254,7 @@ r AS (SELECT symbol_key, file, CASE WHEN end_line IS NULL THEN line - 1 ELSE lin
 met AS (SELECT edge_key, symbol_key FROM h JOIN r ON h.file = r.file AND h.lo <= r.hi AND r.lo <= h.hi)"""
 _MISSING = ", known AS (SELECT lower(id) AS k FROM sym UNION SELECT lower(qualified_name) FROM sym WHERE qualified_name IS NOT NULL UNION SELECT lower(name) FROM sym WHERE name IS NOT NULL), missing AS (SELECT note_key, symbol FROM note WHERE scope = 'symbol' AND symbol IS NOT NULL AND lower(symbol) NOT IN (SELECT k FROM known))"
 
-QUERIES = {f.__name__: f for f in (j5_pattern_hits, j6_anchored_notes, j7_area_notes, j8_hunk_overlap, j9_uncovered_hunks, j10_deepest_area, j11_asof_note, j12_feature_overlap, j13_feature_isolate, j14_feature_diff, j15_test_coverage, j16_test_gaps, j17_uncovered_issues, j18_flagged_notes, j19_missing_anchor, j20_nearest_anchor, j21_similar_notes, j21_all_similar_notes, j22_inbox_duplicates, j22_all_inbox_duplicates, j23_conflicts, j24_changed_since)}
+QUERIES = {f.__name__: f for f in (j5_pattern_hits, j6_anchored_notes, j7_area_notes, j8_hunk_overlap, j9_uncovered_hunks, j10_deepest_area, j11_asof_note, j12_feature_overlap, j13_feature_isolate, j14_feature_diff, j15_test_coverage, j16_test_gaps, j17_uncovered_issues, j18_waived_rules, j19_missing_anchor, j20_nearest_anchor, j21_similar_notes, j21_all_similar_notes, j22_inbox_duplicates, j22_all_inbox_duplicates, j23_conflicts, j24_changed_since)}
 SQL = {
     "j5_pattern_hits": W.sql(_PAT + """
 SELECT issue_key, severity, count(*) AS hits FROM pat JOIN s ON CASE WHEN pattern LIKE '%*' THEN starts_with(q, substr(pattern, 1, length(pattern) - 1)) WHEN pattern LIKE '*%' THEN suffix(q, substr(pattern, 2)) ELSE q = pattern OR suffix(q, '.' || pattern) OR suffix(q, '/' || pattern) END GROUP BY ALL"""),
@@ -277,15 +266,15 @@ SELECT issue_key, severity, count(*) AS hits FROM pat JOIN s ON CASE WHEN patter
     "j11_asof_note": W.sql("SELECT issue_key, arg_max(note_key, (recorded_at, note_key)) AS note_key FROM iss i JOIN note n ON n.symbol = i.symbol AND n.recorded_at <= i.raised_at GROUP BY issue_key"),
     "j12_feature_overlap": W.sql("SELECT a.id, a.label AS a, b.label AS b, round(a.weight * b.weight, 6) AS strength FROM weights a JOIN weights b ON a.id = b.id AND a.label < b.label WHERE a.weight >= 0.2::DOUBLE AND b.weight >= 0.2::DOUBLE"),
     "j13_feature_isolate": W.sql("SELECT label, id FROM weights w WHERE NOT EXISTS (SELECT 1 FROM weights o WHERE o.id = w.id AND o.label <> w.label AND o.weight >= 0.1::DOUBLE)"),
-    "j14_feature_diff": W.sql("""
-, o AS (SELECT label, id, count(*) AS n FROM touches WHERE ts < TIMESTAMP '2026-04-01' GROUP BY 1, 2), c AS (SELECT label, id, count(*) AS n FROM touches WHERE ts >= TIMESTAMP '2026-04-01' GROUP BY 1, 2)
-SELECT * FROM (SELECT coalesce(o.label, c.label) AS label, coalesce(o.id, c.id) AS id, CASE WHEN o.n IS NULL THEN 'entered' WHEN c.n IS NULL THEN 'left' WHEN o.n <> c.n THEN 'weight' END AS change, coalesce(c.n, 0) - coalesce(o.n, 0) AS delta FROM o FULL JOIN c ON o.label = c.label AND o.id = c.id) WHERE change IS NOT NULL"""),
+    "j14_feature_diff": W.sql(f"""
+, o AS ({W.sql_ranked("touches WHERE ts <= TIMESTAMP '2026-04-01'")}), c AS ({W.sql_ranked("touches")})
+SELECT * FROM (SELECT coalesce(o.label, c.label) AS label, coalesce(o.id, c.id) AS id, CASE WHEN o.weight IS NULL THEN 'entered' WHEN c.weight IS NULL THEN 'left' WHEN abs(c.weight - o.weight) > 0.05::DOUBLE THEN 'weight' END AS change, round(o.weight, 6) AS weight_then, round(c.weight, 6) AS weight_now FROM o FULL JOIN c ON o.label = c.label AND o.id = c.id) WHERE change IS NOT NULL"""),
     "j15_test_coverage": W.sql("SELECT s.id, count(*) AS runs, count(*) FILTER (WHERE exit <> 0) AS failing FROM sym s JOIN (SELECT seq, exit, unnest(list_distinct(symbols)) AS name FROM runs) r USING (name) GROUP BY s.id"),
     "j16_test_gaps": W.sql("""
 , tested AS (SELECT DISTINCT unnest(symbols) AS name FROM runs), via AS (SELECT DISTINCT e.dst AS id FROM edg e JOIN sym s ON s.id = e.src WHERE s.name IN (SELECT name FROM tested))
 SELECT id, CASE WHEN id IN (SELECT id FROM via) THEN 'by caller only' ELSE 'no test' END AS reason FROM sym WHERE name NOT IN (SELECT name FROM tested WHERE name IS NOT NULL) AND id IN (SELECT dst FROM edg)"""),
     "j17_uncovered_issues": W.sql("SELECT issue_key FROM iss WHERE symbol IS NOT NULL AND symbol NOT IN (SELECT symbol FROM note WHERE symbol IS NOT NULL)"),
-    "j18_flagged_notes": W.sql("SELECT severity, coalesce(symbol IN (SELECT symbol FROM stale_entries WHERE symbol IS NOT NULL), false) AS stale, count(*) AS notes FROM note GROUP BY ALL"),
+    "j18_waived_rules": W.sql("SELECT name, severity, item_key IS NOT NULL AS waived, item_key FROM rules LEFT JOIN waivers ON invariant = name"),
     "j19_missing_anchor": W.sql(_MISSING + " SELECT note_key, symbol FROM missing"),
     "j20_nearest_anchor": W.sql(_MISSING + """
 , pairs AS (SELECT symbol, name, levenshtein(symbol, name) AS d, greatest(length(symbol), length(name)) AS m FROM (SELECT DISTINCT symbol FROM missing WHERE length(symbol) >= 4) JOIN (SELECT DISTINCT name FROM sym WHERE length(name) >= 4) ON abs(length(symbol) - length(name)) <= 0.4 * greatest(length(symbol), length(name)))
@@ -301,5 +290,5 @@ SELECT item_key, other, score, CASE WHEN exact = 1 THEN 'exact' ELSE 'near' END
 , n AS (SELECT note_key, symbol, {X.sql_lexical('lesson', X.TOPIC_STOP, 3, False)} AS w, regexp_extract_all(lesson, '{_NUMBER}', 1) AS x FROM note WHERE severity = 'high' AND symbol IS NOT NULL AND lesson IS NOT NULL),
 i AS (SELECT issue_key, symbol, {X.sql_lexical('summary', X.TOPIC_STOP, 3, False)} AS v, regexp_extract_all(summary, '{_NUMBER}', 1) AS y FROM iss WHERE symbol IS NOT NULL AND summary IS NOT NULL)
 SELECT note_key, count(*) AS conflicts FROM n JOIN i USING (symbol) WHERE len(x) > 0 AND len(y) > 0 AND len(list_intersect(w, v)) >= 2 AND NOT list_has_any(x, y) GROUP BY note_key"""),
-    "j24_changed_since": W.sql("SELECT entry_key FROM stale_entries JOIN (SELECT file, max(built_at) AS changed FROM edges WHERE file IS NOT NULL GROUP BY file) USING (file) WHERE changed > listed_at"),
+    "j24_changed_since": W.sql("""SELECT entry_key FROM stale_entries e WHERE EXISTS (SELECT 1 FROM (SELECT file, "at" FROM file_commits QUALIFY row_number() OVER (PARTITION BY file ORDER BY "at" DESC, commit) <= 10) c WHERE c.file = e.file AND c."at" > e.listed_at)"""),
 }

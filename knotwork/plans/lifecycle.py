@@ -8,23 +8,34 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..operators.graph import closure
 from ..operators.intervals import folder_of, folders_above
+from ..operators.patterns import pattern_matches
 from ..operators.ranking import ISSUE_SEVERITY, first_by, severity_rank, top_by
 from ..sources.records import upsert
 from ..sources.tables import table
 from . import warehouse as W
 from .graphs import _SEED, _UP
-from .joins import SQL as _JOINS
-from .joins import j5_pattern_hits
 
 AS_OF = "2026-07-01"
 
 
+def _gate(spark: SparkSession, sf: str) -> DataFrame:
+    """(name, severity, via, symbols, files, waived) of the rules that the changed files hit: by their symbols, else by the files themselves."""
+    changed = W.stale(spark, sf).where("file_changed_since AND file IS NOT NULL").select("file").distinct()
+    s = W.sym(spark, sf).join(changed, "file", "left_semi").select(F.coalesce("qualified_name", "name").alias("name"), "file").where("name IS NOT NULL")
+    r = W.rules(spark, sf).select("name", F.explode("applies_to").alias("pattern"))
+    met = pattern_matches(s, r).join(s, "name").select("pattern", F.col("name").alias("symbol"), "file")
+    by_symbol = r.join(met, "pattern").groupBy("name").agg(F.count_distinct("symbol").alias("symbols"), F.count_distinct("file").alias("files")).withColumn("via", F.lit("symbol"))
+    rest = r.join(by_symbol.select("name"), "name", "left_anti")
+    touched = pattern_matches(changed.select(F.col("file").alias("name")), rest, files=True).select("pattern", F.col("name").alias("file"))
+    by_file = rest.join(touched, "pattern").groupBy("name").agg(F.lit(0).cast("bigint").alias("symbols"), F.count_distinct("file").alias("files")).withColumn("via", F.lit("file"))
+    waived = W.waivers(spark, sf).select(F.col("invariant").alias("name"), F.lit(True).alias("waived"))
+    hits = by_symbol.unionByName(by_file).join(W.rules(spark, sf).select("name", "severity"), "name").join(waived, "name", "left")
+    return hits.withColumn("waived", F.coalesce("waived", F.lit(False)))
+
+
 def k1_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules that hit symbols, by severity and whether a waiver (an approved inbox item from the same source of rules) is given: rules and hits."""
-    hits = j5_pattern_hits(spark, sf)
-    waived = W.inb(spark, sf).where("status = 'approved'").select((F.col("item_key")).alias("issue_key")).distinct().withColumn("waived", F.lit(True))
-    m = hits.join(waived, "issue_key", "left").withColumn("waived", F.coalesce("waived", F.lit(False)))
-    return m.groupBy("severity", "waived").agg(F.count(F.lit(1)).alias("rules"), F.sum("hits").alias("hits"), F.sum(((F.col("severity") == "block") & ~F.col("waived")).cast("bigint")).alias("blocking"))
+    """Rules that the changed files hit, by their symbols or else by file globs, whether they are waived, and whether they block (also p2, a9, j18)."""
+    return _gate(spark, sf).withColumn("blocking", (F.col("severity") == "block") & ~F.col("waived"))
 
 
 def k3_brief(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,18 +188,51 @@ def x14_prompt_context(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def x16_scope_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    """Where notes belong by their wording: a symbol, a file, or everywhere; counted against the scope they have."""
+    """Where each lesson belongs by its wording: scope, target, confidence and whether that is doubtful, from the symbols, files and features it names and its general, policy and place words."""
+    n = W.note(spark, sf).where("lesson IS NOT NULL").select("note_key", "lesson")
     t = F.col("lesson")
-    guess = F.when(t.rlike("[a-z]+[A-Z][A-Za-z0-9]+|[a-z]+_[a-z0-9_]+"), "symbol").when(t.rlike("src/[a-z0-9_/]+"), "file").when(C.spaced(t).rlike(C.DURABLE), "global").otherwise("unclear")
-    return W.note(spark, sf).where("lesson IS NOT NULL").groupBy("scope", guess.alias("guess")).agg(F.count(F.lit(1)).alias("notes"))
+    ticked = F.flatten(F.transform(C.found(t, C.BACKTICKED, 1), lambda x: F.filter(F.split(x, "[^A-Za-z0-9_.$]+"), lambda w: F.length(w) >= 3)))
+    said = n.select("note_key", F.posexplode(F.array_distinct(F.concat(C.found(t, C.SYMBOL_LIKE), C.found(t, C.QUALIFIED), ticked))).alias("pos", "s"))
+    known = W.sym(spark, sf).select(F.explode(F.array("name", "qualified_name")).alias("key")).dropna().distinct()
+    symbols = said.select("note_key", "pos", "s", F.explode(F.array_distinct(F.array("s", F.element_at(F.split("s", r"\."), -1)))).alias("key")).join(known, "key", "left_semi").select("note_key", "pos", "s").distinct()
+    paths = W.sym(spark, sf).select("file").dropna().distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("file", "/"))), lambda i: F.array_join(F.slice(F.split("file", "/"), i, 1000), "/"))).alias("f")).distinct()
+    named = n.select("note_key", F.posexplode(F.array_distinct(C.found(t, C.FILE_PATH))).alias("pos", "f")).join(paths, "f", "left_semi")
+    symbols = symbols.join(named.select("note_key", F.col("f").alias("s")), ["note_key", "s"], "left_anti")
+    labels = W.runs(spark, sf).select(F.lower("feature").alias("label")).dropna().distinct()
+    features = n.select("note_key", F.explode(F.array_distinct(F.split(F.lower("lesson"), "[^a-z0-9-]+"))).alias("label")).join(labels, "label", "left_semi")
+    agg = lambda d, v, o, name: d.groupBy("note_key").agg(F.count(F.lit(1)).alias("n_" + name), F.min_by(v, o).alias("first_" + name))
+    m = n.join(agg(symbols, "s", "pos", "s"), "note_key", "left").join(agg(named, "f", "pos", "f"), "note_key", "left").join(agg(features, "label", "label", "e"), "note_key", "left")
+    m = m.fillna(0, ["n_s", "n_f", "n_e"]).withColumns({"g": C.count(t, C.GENERIC), "p": C.count(t, C.POLICY), "here": C.count(t, C.POSITIONAL)})
+    doubt = F.expr("here >= 1 AND n_s = 0 AND n_f = 0")
+    out = lambda scope, target, confidence, ambiguous: F.struct(F.lit(scope).alias("scope"), target.alias("target"), (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence"), ambiguous.alias("ambiguous"))
+    no, none = F.lit(False), F.lit(None).cast("string")
+    rule = (
+        F.when(F.expr("g >= 1 AND n_s = 0 AND n_e = 0"), out("global", none, 0.85, no))
+        .when(F.expr("n_s = 1 AND g = 0"), out("symbol", F.col("first_s"), 0.9, no))
+        .when(F.expr("n_s >= 2 AND n_e >= 1"), out("feature", F.col("first_e"), 0.85, no))
+        .when(F.expr("n_f >= 1 AND n_s = 0"), out("file", F.col("first_f"), F.when(F.col("n_f") == 1, 0.85).otherwise(0.7), F.col("n_f") > 1))
+        .when(F.expr("n_e = 1 AND n_s = 0"), out("feature", F.col("first_e"), 0.8, doubt))
+        .when(F.expr("g >= 2 AND n_s = 0 AND n_f = 0"), out("global", none, 0.9, doubt))
+        .when(F.expr("g >= 1 AND p >= 1 AND n_s = 0 AND n_f = 0"), out("global", none, 0.8, doubt))
+        .when(F.expr("n_s = 0 AND n_f = 0 AND n_e = 0"), out("global", none, 0.6, F.lit(True)))
+        .otherwise(out("symbol", F.col("first_s"), 0.55, F.lit(True)))
+    )
+    return m.select("note_key", rule.alias("r")).select("note_key", "r.scope", "r.target", "r.confidence", "r.ambiguous")
 
 
 _IS = "CASE severity WHEN 'block' THEN 3 WHEN 'warn' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
+_FITS = "(CASE WHEN {p} LIKE '%*' THEN starts_with({q}, substr({p}, 1, length({p}) - 1)) WHEN {p} LIKE '*%' THEN suffix({q}, substr({p}, 2)) ELSE {q} = {p} OR suffix({q}, '.' || {p}) OR suffix({q}, '/' || {p}) END)"
+_GATE = """
+, chg AS (SELECT DISTINCT file FROM stale_entries WHERE file_changed_since AND file IS NOT NULL), cs AS (SELECT coalesce(qualified_name, name) AS q, file FROM sym WHERE file IN (SELECT file FROM chg)),
+pat AS (SELECT name, severity, unnest(applies_to) AS p FROM rules),
+h1 AS (SELECT name, 'symbol' AS via, count(DISTINCT q) AS symbols, count(DISTINCT file) AS files FROM pat JOIN cs ON """ + _FITS.format(p="p", q="q") + """ GROUP BY name),
+h2 AS (SELECT name, 'file' AS via, 0::BIGINT AS symbols, count(DISTINCT file) AS files FROM pat JOIN chg ON file = p OR (p LIKE '%/*' AND starts_with(file, substr(p, 1, length(p) - 1))) OR (p LIKE '%**' AND starts_with(file, substr(p, 1, length(p) - 2))) WHERE name NOT IN (SELECT name FROM h1) GROUP BY name),
+gate AS (SELECT h.name, r.severity, via, symbols, files, h.name IN (SELECT invariant FROM waivers) AS waived FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) h JOIN rules r ON r.name = h.name)"""
 _FUNCS = (k1_gate, k3_brief, k7_validate, k10_suggestions, k12_inbox_review, k14_contract, k16_lessons, k19_feature_gc, k20_feature_context, k21_change_summary, k22_resume, k24_runtime, k27_document_history, k28_active_area, k29_todo_sync, k31_area_once, k32_overview, k33_attribution, x14_prompt_context, x16_scope_classifier)
 QUERIES = {f.__name__: f for f in _FUNCS}
 _FOLDER = "regexp_replace(file, '/?[^/]*$', '')"
 SQL = {
-    "k1_gate": "SELECT severity, waived, count(*) AS rules, sum(hits)::BIGINT AS hits, count(*) FILTER (WHERE severity = 'block' AND NOT waived) AS blocking FROM (SELECT severity, hits, issue_key IN (SELECT item_key FROM inbox WHERE status = 'approved' AND item_key IN (SELECT min(item_key) FROM inbox GROUP BY id)) AS waived FROM (" + _JOINS["j5_pattern_hits"] + ")) GROUP BY ALL",
+    "k1_gate": W.sql(_GATE + " SELECT *, severity = 'block' AND NOT waived AS blocking FROM gate"),
     "k3_brief": W.sql("""
 SELECT i.symbol, issues, questions, coalesce(notes, 0) AS notes, last_note, coalesce(runs, 0) AS runs FROM (SELECT symbol, count(*) AS issues, count(*) FILTER (WHERE kind = 'open_question') AS questions FROM iss WHERE symbol IS NOT NULL GROUP BY 1) i
 LEFT JOIN (SELECT symbol, count(*) AS notes, max(recorded_at) AS last_note FROM note WHERE symbol IS NOT NULL GROUP BY 1) n USING (symbol) LEFT JOIN (SELECT symbol, count(*) AS runs FROM (SELECT unnest(list_distinct(symbols)) AS symbol FROM runs) GROUP BY 1) r USING (symbol)"""),
@@ -218,5 +262,16 @@ SELECT source, area, min(seq) AS seq FROM runs JOIN areas ON starts_with(regexp_
     "k32_overview": W.sql("SELECT kind, symbols, name, position FROM (SELECT kind, name, count(*) OVER (PARTITION BY kind) AS symbols, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS position FROM sym) WHERE position <= 5"),
     "k33_attribution": W.sql("SELECT seq, symbol FROM (SELECT seq, coalesce(symbols[1], last_value(symbols[1] IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS symbol FROM runs) WHERE symbol IS NOT NULL"),
     "x14_prompt_context": W.sql("SELECT run_key, count(DISTINCT note_key) AS notes FROM (SELECT run_key, prompt, unnest(list_distinct(regexp_extract_all(prompt, '[a-z]+(?:[A-Z][A-Za-z0-9]*|_[a-z0-9]+)+'))) AS symbol FROM bench_runs) JOIN note USING (symbol) WHERE lesson IS NOT NULL AND NOT contains(prompt, substr(lesson, 1, 80)) GROUP BY run_key"),
-    "x16_scope_classifier": W.sql(f"SELECT scope, CASE WHEN regexp_matches(lesson, '[a-z]+[A-Z][A-Za-z0-9]+|[a-z]+_[a-z0-9_]+') THEN 'symbol' WHEN regexp_matches(lesson, 'src/[a-z0-9_/]+') THEN 'file' WHEN regexp_matches({C.sql_spaced('lesson')}, '{C.DURABLE}') THEN 'global' ELSE 'unclear' END AS guess, count(*) AS notes FROM note WHERE lesson IS NOT NULL GROUP BY 1, 2"),
+    "x16_scope_classifier": W.sql(f"""
+, known AS (SELECT name AS k FROM sym WHERE name IS NOT NULL UNION SELECT qualified_name FROM sym WHERE qualified_name IS NOT NULL), files AS (SELECT DISTINCT file FROM sym WHERE file IS NOT NULL), labels AS (SELECT DISTINCT lower(feature) AS l FROM runs WHERE feature IS NOT NULL),
+c AS (SELECT note_key, lesson, list_concat(list_concat({C.sql_found('lesson', C.SYMBOL_LIKE)}, {C.sql_found('lesson', C.QUALIFIED)}), list_filter(flatten(list_transform({C.sql_found('lesson', C.BACKTICKED, 1)}, lambda x: string_split_regex(x, '[^A-Za-z0-9_.$]+'))), lambda w: length(w) >= 3)) AS cs, {C.sql_found('lesson', C.FILE_PATH)} AS fs FROM note WHERE lesson IS NOT NULL),
+sy AS (SELECT note_key, s, min(i) AS i FROM (SELECT note_key, unnest(cs) AS s, generate_subscripts(cs, 1) AS i FROM c) WHERE s IN (SELECT k FROM known) OR list_last(string_split(s, '.')) IN (SELECT k FROM known) GROUP BY 1, 2),
+tails AS (SELECT DISTINCT array_to_string(ps[i:], '/') AS f FROM (SELECT ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT string_split(file, '/') AS ps FROM files))),
+fl AS (SELECT note_key, f, min(i) AS i FROM (SELECT note_key, unnest(fs) AS f, generate_subscripts(fs, 1) AS i FROM c) WHERE f IN (SELECT f FROM tails) GROUP BY 1, 2),
+fe AS (SELECT DISTINCT note_key, l FROM (SELECT note_key, unnest(string_split_regex(lower(lesson), '[^a-z0-9-]+')) AS l FROM c) WHERE l IN (SELECT l FROM labels)),
+a AS (SELECT note_key, count(*) AS n_s, arg_min(s, i) AS first_s FROM sy WHERE NOT EXISTS (SELECT 1 FROM fl WHERE fl.note_key = sy.note_key AND fl.f = sy.s) GROUP BY 1), b AS (SELECT note_key, count(*) AS n_f, arg_min(f, i) AS first_f FROM fl GROUP BY 1), d AS (SELECT note_key, count(*) AS n_e, min(l) AS first_e FROM fe GROUP BY 1),
+m AS (SELECT c.note_key, coalesce(n_s, 0) AS s, coalesce(n_f, 0) AS f, coalesce(n_e, 0) AS e, first_s, first_f, first_e, {C.sql_count('lesson', C.GENERIC)} AS g, {C.sql_count('lesson', C.POLICY)} AS p, {C.sql_count('lesson', C.POSITIONAL)} AS h FROM c LEFT JOIN a USING (note_key) LEFT JOIN b USING (note_key) LEFT JOIN d USING (note_key)),
+k AS (SELECT *, CASE WHEN g >= 1 AND s = 0 AND e = 0 THEN 1 WHEN s = 1 AND g = 0 THEN 2 WHEN s >= 2 AND e >= 1 THEN 3 WHEN f >= 1 AND s = 0 THEN 4 WHEN e = 1 AND s = 0 THEN 5 WHEN g >= 2 AND s = 0 AND f = 0 THEN 6 WHEN g >= 1 AND p >= 1 AND s = 0 AND f = 0 THEN 7 WHEN s = 0 AND f = 0 AND e = 0 THEN 8 ELSE 9 END AS r FROM m)
+SELECT note_key, ['global', 'symbol', 'feature', 'file', 'feature', 'global', 'global', 'global', 'symbol'][r] AS scope, CASE WHEN r IN (2, 9) THEN first_s WHEN r IN (3, 5) THEN first_e WHEN r = 4 THEN first_f END AS target,
+CASE WHEN r = 4 AND f > 1 THEN 0.7::DOUBLE ELSE [0.85, 0.9, 0.85, 0.85, 0.8, 0.9, 0.8, 0.6, 0.55][r]::DOUBLE END AS confidence, CASE WHEN r IN (8, 9) THEN true WHEN r = 4 THEN f > 1 WHEN r IN (5, 6, 7) THEN h >= 1 AND s = 0 AND f = 0 ELSE false END AS ambiguous FROM k"""),
 }

@@ -124,24 +124,64 @@ def x13_symbol_inference(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def x17_intent(spark: SparkSession, sf: str) -> DataFrame:
-    """Bench prompts by intent (also p8_intent, x27)."""
+    """Bench prompts by intent."""
     return table(spark, sf, "bench_runs", "prompt").select(C.intent_of(F.col("prompt")).alias("intent")).groupBy("intent").agg(F.count(F.lit(1)).alias("prompts"))
 
 
+def x17_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompts for which each section of a brief is kept, by intent (P8: intent exclusion)."""
+    kinds = table(spark, sf, "bench_runs", "prompt").select(C.intent_of(F.col("prompt")).alias("intent")).groupBy("intent").agg(F.count(F.lit(1)).alias("prompts"))
+    return kinds.select("intent", F.explode(C.sections_of(F.col("intent"))).alias("section"), "prompts")
+
+
 def x18_corrections(spark: SparkSession, sf: str) -> DataFrame:
-    """Notes by what they correct."""
-    c = W.note(spark, sf).select("note_key", C.corrections(F.col("lesson")).alias("kinds"))
-    return c.select(F.coalesce(F.get("kinds", F.lit(0)), F.lit("general")).alias("kind"), F.size("kinds").alias("signals")).groupBy("kind", "signals").agg(F.count(F.lit(1)).alias("notes"))
+    """Notes by what they correct, with the number of signals and the severity: high for generated files and packages, else medium."""
+    c = W.note(spark, sf).select(C.corrections(F.col("lesson")).alias("kinds"))
+    severe = F.arrays_overlap("kinds", F.array(*map(F.lit, C.SEVERE)))
+    return c.select(F.coalesce(F.get("kinds", F.lit(0)), F.lit("general")).alias("kind"), F.size("kinds").alias("signals"), F.when(severe, "high").otherwise("medium").alias("severity")).groupBy("kind", "signals", "severity").agg(F.count(F.lit(1)).alias("notes"))
 
 
-def x19_preferences(spark: SparkSession, sf: str) -> DataFrame:
-    """Clauses of user turns in transcripts that state a lasting rule (also x20, x21, s17)."""
+def _user_lines(spark: SparkSession, sf: str) -> DataFrame:
     d = W.docs(spark, sf).where("text IS NOT NULL").select("doc_id", F.explode(F.split(F.col("text"), "\n")).alias("line")).where(F.col("line").startswith("user: "))
-    clauses = d.select("doc_id", F.explode(F.split(F.regexp_replace(F.expr("substring(line, 7)"), r"([.;!?])\s+", "$1\n"), "\n")).alias("clause")).select("doc_id", F.trim("clause").alias("clause"))
-    words = C.spaced(F.col("clause"))
-    kept = clauses.where((F.length("clause").between(1, 239)) & words.rlike(C.DURABLE) & ~words.rlike(C.TRANSIENT) & ~F.col("clause").endswith("?"))
-    text = F.regexp_replace("clause", r"[.!?]+$", "")
-    return kept.select("doc_id", text.alias("rule")).where((F.size(F.filter(F.split("rule", " "), lambda w: F.length(w) > 2)) >= 3) & (F.length("rule") <= 200)).groupBy("rule").agg(F.count_distinct("doc_id").alias("documents"))
+    return d.select("doc_id", F.expr("substring(line, 7)").alias("turn"))
+
+
+def _clauses(df: DataFrame, text: str) -> DataFrame:
+    """Clauses of `text`: parted at line ends, after closing marks and at long dashes."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(F.col(text), r"([.;!?])\s+", "$1\n"), r"\s+—\s+", "\n"), r"\n+")
+    return df.select(*(c for c in df.columns if c != text), F.explode(parts).alias("clause")).withColumn("clause", F.trim("clause"))
+
+
+def x19_preferences(spark: SparkSession, sf: str) -> DataFrame:
+    """Clauses of user turns in transcripts that state a lasting rule, without the cue that shows it, and the documents that have it."""
+    rules = _clauses(_user_lines(spark, sf), "turn").select("doc_id", C.preference(F.col("clause")).alias("rule")).where("rule IS NOT NULL")
+    return rules.groupBy("rule").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+def x20_directives(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of user turns and lessons that instruct for a place, by polarity; and all pending directives by stored and read polarity."""
+    turns = _user_lines(spark, sf).select(F.lit("turn").alias("origin"), F.col("turn").alias("text"))
+    lessons = W.note(spark, sf).where("lesson IS NOT NULL").select(F.lit("lesson").alias("origin"), F.col("lesson").alias("text"))
+    told = _clauses(turns.unionByName(lessons), "text").where(C.directive(F.col("clause"))).select("origin", F.lit(None).cast("string").alias("stored"), C.polarity(F.col("clause")).alias("read"))
+    held = W.inb(spark, sf).where("kind = 'directive' AND text IS NOT NULL").select(F.lit("inbox").alias("origin"), F.col("polarity").alias("stored"), C.polarity(F.col("text")).alias("read"))
+    return told.unionByName(held).groupBy("origin", "stored", "read").agg(F.count(F.lit(1)).alias("items"))
+
+
+def x21_test_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns that ask for tests or coverage that is missing, with the evidence in one line of up to 180 characters."""
+    turns = _user_lines(spark, sf).where(C.has(F.col("turn"), C.TEST_CORRECTION))
+    return turns.select("doc_id", F.substring(F.regexp_replace(F.trim("turn"), r"\s+", " "), 1, 180).alias("evidence")).distinct()
+
+
+def x27_target_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """What symbols, files, commits and evidence of notes name: a diff, pull request, commit, file or symbol."""
+    n = W.note(spark, sf)
+    refs = [n.select(F.lit(c).alias("field"), F.regexp_replace(F.coalesce(c, F.lit("")), "^(?:PR #|commit )", "").alias("ref")) for c in ("symbol", "source_commit", "evidence")]
+    refs.append(W.stale(spark, sf).select(F.lit("file").alias("field"), F.coalesce("file", F.lit("")).alias("ref")))
+    out = refs[0]
+    for r in refs[1:]:
+        out = out.unionByName(r)
+    return out.groupBy("field", C.target_kind(F.col("ref")).alias("kind")).agg(F.count(F.lit(1)).alias("refs"))
 
 
 def x22_risk_topics(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,18 +196,25 @@ def x23_redaction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def x24_commit_mining(spark: SparkSession, sf: str) -> DataFrame:
-    """Conventional commits in commit logs: number by type and area (also k13)."""
-    lines = W.docs(spark, sf).where("text IS NOT NULL").select(F.explode(F.split("text", "\n")).alias("line"))
-    rx = r"^([0-9a-f]{7,12}) (feat|fix|chore|docs|refactor|test)\(([a-z-]+)\): (.+)$"
-    c = lines.where(F.col("line").rlike(rx)).select(F.regexp_extract("line", rx, 2).alias("type"), F.regexp_extract("line", rx, 3).alias("area"), F.regexp_extract("line", rx, 1).alias("sha"))
-    return c.groupBy("type", "area").agg(F.count_distinct("sha").alias("commits"))
+    """Proposals from commit subjects: mends become notes (0.4, with an area 0.5), decisions become decisions (0.5, 0.6); by kind, area and confidence (also k13)."""
+    c = W.commits(spark, sf).select("sha", F.col("subject").alias("s"), F.nullif(F.regexp_extract("subject", C.java("(?i)" + C.CONVENTIONAL), 1), F.lit("")).alias("area")).distinct()
+    fix, decision = C.has(F.col("s"), C.FIX), C.has(F.col("s"), C.DECISION)
+    c = c.withColumns({"kind": F.when(fix, "note").when(decision, "decision"), "confidence": F.when(fix, F.when(F.col("area").isNotNull(), 0.5).otherwise(0.4)).otherwise(F.when(F.col("area").isNotNull(), 0.6).otherwise(0.5))})
+    return c.where("kind IS NOT NULL").groupBy("kind", "area", "confidence").agg(F.count_distinct("sha").alias("commits"))
 
 
 def x25_failed_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs in which each test failed, read back from the output as each runner prints it: pytest nodes, crosses or FAIL lines."""
+    r = W.runs(spark, sf).where(F.size("failed_tests") > 0).select("seq", "source", F.array_distinct("failed_tests").alias("t"))
+    name = F.when(F.col("source") == "pytest", F.array_join(F.transform("t", lambda n: F.concat(F.lit("FAILED tests/t.py::"), F.replace(n, F.lit(" "), F.lit("_")), F.lit(" - AssertionError"))), "\n"))
+    name = name.when(F.col("source").isin("jest", "mocha"), F.array_join(F.transform("t", lambda n: F.concat(F.lit("  ✕ "), n)), "\n")).otherwise(F.array_join(F.transform("t", lambda n: F.concat(F.lit(" FAIL  src/t.test.ts > "), n)), "\n"))
+    return r.select("source", F.explode(C.failed_tests(F.concat(F.lit("run\n"), name, F.lit("\ndone")))).alias("test")).groupBy("source", "test").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def x25_stated_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Failed and passed numbers that test output states."""
     rx = "([0-9]+) failed, ([0-9]+) passed"
-    m = W.runs(spark, sf).where(F.col("message").rlike(rx)).select("seq", F.regexp_extract("message", rx, 1).cast("int").alias("failed"), F.regexp_extract("message", rx, 2).cast("int").alias("passed"))
-    return m
+    return W.runs(spark, sf).where(F.col("message").rlike(rx)).select("seq", F.regexp_extract("message", rx, 1).cast("int").alias("failed"), F.regexp_extract("message", rx, 2).cast("int").alias("passed"))
 
 
 def x26_pr_numbers(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,8 +238,10 @@ _TOP = "row_number() OVER (PARTITION BY query ORDER BY score DESC, length(name),
 _DEDUP = "QUALIFY row_number() OVER (PARTITION BY query, name, kind, file ORDER BY score DESC, length(name), file NULLS FIRST, id) = 1"
 _PEN = f"CASE WHEN regexp_matches(file, '{_TEST_PATH}') THEN 12 ELSE 0 END"
 
-QUERIES = {f.__name__: f for f in (x1_identifier_parts, x2_code_tokens, x4_search, x5_bm25, x6_recall, x8_jaccard, x9_rejected, x10_star_clusters, x11_folding, x13_symbol_inference, x17_intent, x18_corrections, x19_preferences, x22_risk_topics, x23_redaction, x24_commit_mining, x25_failed_tests, x26_pr_numbers)}
+QUERIES = {f.__name__: f for f in (x1_identifier_parts, x2_code_tokens, x4_search, x5_bm25, x6_recall, x8_jaccard, x9_rejected, x10_star_clusters, x11_folding, x13_symbol_inference, x17_intent, x17_sections, x18_corrections, x19_preferences, x20_directives, x21_test_corrections, x22_risk_topics, x23_redaction, x24_commit_mining, x25_failed_tests, x25_stated_counts, x26_pr_numbers, x27_target_kind)}
 _TOKENS = f"list_filter(flatten(list_transform(regexp_extract_all(substr(coalesce(text, ''), 1, 4000), '[A-Za-z][A-Za-z0-9_$]*'), lambda w: {X.sql_split_identifier('w')})), lambda t: length(t) > 2 AND NOT list_contains({X.sql_list(X.CODE_STOP)}, t))"
+_TURNS = "WITH turns AS (SELECT doc_id, substr(line, 7) AS turn FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE starts_with(line, 'user: '))"
+_CLAUSES = "string_split_regex(regexp_replace(regexp_replace({t}, '([.;!?])\\s+', '\\1' || chr(10), 'g'), '\\s+—\\s+', chr(10), 'g'), '\\n+')"
 # first occurrences only, in order
 _DISTINCT = f"list_filter({{t}}, lambda x, i: list_position({{t}}, x) = i)[1:200]"
 SQL = {
@@ -223,14 +272,31 @@ SELECT query, kind, key, score, position FROM (SELECT *, base + nudge AS score,
 SELECT * FROM (SELECT issue_key, note_key, floor(sim * 100 + 0.5) / 100 AS similarity, row_number() OVER (PARTITION BY issue_key ORDER BY floor(sim * 100 + 0.5) / 100 DESC, note_key) AS position FROM (SELECT issue_key, note_key, {X.sql_jaccard('p', 'd')} AS sim FROM p JOIN d USING (symbol)) WHERE sim >= 0.25) WHERE position <= 5"""),
     "x13_symbol_inference": W.sql("SELECT run_key, name, symbols, id FROM (SELECT run_key, unnest(list_distinct(regexp_extract_all(prompt, '[a-z]+(?:[A-Z][A-Za-z0-9]*|_[a-z0-9]+)+'))) AS name FROM bench_runs) JOIN (SELECT name, count(*) AS symbols, arg_min(id, symbol_key) AS id FROM sym GROUP BY name) USING (name)"),
     "x17_intent": f"SELECT {C.sql_intent('prompt')} AS intent, count(*) AS prompts FROM bench_runs GROUP BY 1",
-    "x18_corrections": W.sql(f"SELECT coalesce(k[1], 'general') AS kind, len(k)::INT AS signals, count(*) AS notes FROM (SELECT {C.sql_corrections('lesson')} AS k FROM note) GROUP BY 1, 2"),
-    "x19_preferences": f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(substr(line, 7), '([.;!?])\\s+', '\\1' || chr(10), 'g'), chr(10)))) AS clause FROM l WHERE starts_with(line, 'user: ')),
-k AS (SELECT doc_id, regexp_replace(clause, '[.!?]+$', '') AS rule FROM c WHERE length(clause) BETWEEN 1 AND 239 AND regexp_matches({C.sql_spaced('clause')}, '{C.DURABLE}') AND NOT regexp_matches({C.sql_spaced('clause')}, '{C.TRANSIENT}') AND NOT suffix(clause, '?'))
-SELECT rule, count(DISTINCT doc_id) AS documents FROM k WHERE len(list_filter(string_split(rule, ' '), lambda w: length(w) > 2)) >= 3 AND length(rule) <= 200 GROUP BY rule""",
+    "x17_sections": f"""
+SELECT intent, section, prompts FROM (SELECT {C.sql_intent('prompt')} AS intent, count(*) AS prompts FROM bench_runs GROUP BY 1), (SELECT unnest({X.sql_list(C.SECTIONS)}) AS section)
+WHERE NOT ({" OR ".join(f"intent = '{k}' AND section IN ({', '.join(map(repr, v))})" for k, v in C.LEFT_OUT.items())})""",
+    "x18_corrections": W.sql(f"SELECT coalesce(k[1], 'general') AS kind, len(k)::INT AS signals, CASE WHEN list_has_any(k, {X.sql_list(list(C.SEVERE))}) THEN 'high' ELSE 'medium' END AS severity, count(*) AS notes FROM (SELECT {C.sql_corrections("coalesce(lesson, '')")} AS k FROM note) GROUP BY 1, 2, 3"),
+    "x19_preferences": _TURNS + f"""
+, c AS (SELECT doc_id, trim(unnest({_CLAUSES.format(t='turn')})) AS clause FROM turns),
+k AS (SELECT doc_id, trim(regexp_replace(trim(regexp_replace({C.sql_cue('clause')}, '^[,:\s]+', '')), '[.!?]+$', '')) AS rule FROM c WHERE length(clause) BETWEEN 1 AND 239 AND NOT {C.sql_has('clause', *C.TRANSIENT)} AND NOT suffix(clause, '?'))
+SELECT rule, count(DISTINCT doc_id) AS documents FROM k WHERE len(list_filter(string_split_regex(rule, '\s+'), lambda w: length(w) > 2)) >= 3 AND length(rule) <= 200 GROUP BY rule""",
+    "x20_directives": W.sql(_TURNS.replace("WITH turns", ", turns") + f"""
+, c AS (SELECT origin, trim(unnest({_CLAUSES.format(t='text')})) AS clause FROM (SELECT 'turn' AS origin, turn AS text FROM turns UNION ALL SELECT 'lesson', lesson FROM note WHERE lesson IS NOT NULL)),
+d AS (SELECT origin, NULL::VARCHAR AS stored, clause AS t FROM c WHERE length(clause) BETWEEN 1 AND 280 AND NOT {C.sql_has('clause', *C.DIRECTIVE_TRANSIENT)} AND {C.sql_has('clause', C.POSITIONAL)} AND {C.sql_has('clause', C.POLICY)} UNION ALL SELECT 'inbox', polarity, text FROM inb WHERE kind = 'directive' AND text IS NOT NULL)
+SELECT origin, stored, CASE WHEN {C.sql_has('t', C.NEGATIVE)} THEN 'dont' ELSE 'do' END AS read, count(*) AS items FROM d GROUP BY 1, 2, 3"""),
+    "x21_test_corrections": _TURNS + f" SELECT DISTINCT doc_id, substr(regexp_replace(trim(turn), '\s+', ' ', 'g'), 1, 180) AS evidence FROM turns WHERE {C.sql_has('turn', C.TEST_CORRECTION)}",
+    "x27_target_kind": W.sql("""
+, r AS (SELECT 'symbol' AS field, symbol AS ref FROM note UNION ALL SELECT 'source_commit', source_commit FROM note UNION ALL SELECT 'evidence', evidence FROM note UNION ALL SELECT 'file', file FROM stale_entries),
+v AS (SELECT field, trim(regexp_replace(coalesce(ref, ''), '^(?:PR #|commit )', '')) AS v FROM r)
+SELECT field, CASE WHEN v = '' THEN 'diff' WHEN regexp_matches(v, '^\d+$') THEN 'pr' WHEN regexp_matches(v, '^HEAD\b') OR regexp_matches(v, '[~^]') OR contains(v, '..') OR regexp_matches(v, '(?i)^[0-9a-f]{7,40}$') THEN 'commit' WHEN contains(v, '/') OR regexp_matches(v, '(?i)\.[a-z0-9]+$') THEN 'file' ELSE 'symbol' END AS kind, count(*) AS refs FROM v GROUP BY 1, 2"""),
     "x22_risk_topics": W.sql(f"SELECT topic, count(*) AS items FROM (SELECT unnest({C.sql_topics('text')}) AS topic FROM inb) GROUP BY topic"),
     "x23_redaction": C.sql_redacted("redact_results", "result_key", "text"),
-    "x24_commit_mining": "SELECT m[2] AS type, m[3] AS area, count(DISTINCT m[1]) AS commits FROM (SELECT regexp_extract_all(line, '^([0-9a-f]{7,12}) (feat|fix|chore|docs|refactor|test)\\(([a-z-]+)\\): (.+)$', 0)[1] AS l, [regexp_extract(line, '^([0-9a-f]{7,12}) ', 1), regexp_extract(line, '^[0-9a-f]{7,12} (feat|fix|chore|docs|refactor|test)\\(', 1), regexp_extract(line, '\\(([a-z-]+)\\): ', 1)] AS m FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(line, '^([0-9a-f]{7,12}) (feat|fix|chore|docs|refactor|test)\\(([a-z-]+)\\): (.+)$')) GROUP BY 1, 2",
-    "x25_failed_tests": W.sql("SELECT seq, regexp_extract(message, '([0-9]+) failed, ([0-9]+) passed', 1)::INT AS failed, regexp_extract(message, '([0-9]+) failed, ([0-9]+) passed', 2)::INT AS passed FROM runs WHERE regexp_matches(message, '([0-9]+) failed, ([0-9]+) passed')"),
+    "x24_commit_mining": W.sql(f"""
+, c AS (SELECT DISTINCT sha, subject AS s, nullif(regexp_extract(subject, '(?i){C.CONVENTIONAL}', 1), '') AS area FROM commits),
+k AS (SELECT sha, area, CASE WHEN {C.sql_has('s', C.FIX)} THEN 'note' WHEN {C.sql_has('s', C.DECISION)} THEN 'decision' END AS kind FROM c)
+SELECT kind, area, CASE kind WHEN 'note' THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END + CASE WHEN area IS NULL THEN 0 ELSE 0.1::DOUBLE END AS confidence, count(DISTINCT sha) AS commits FROM k WHERE kind IS NOT NULL GROUP BY ALL"""),
+    "x25_failed_tests": W.sql("""
+SELECT source, CASE WHEN source = 'pytest' THEN 'tests/t.py::' || replace(t, ' ', '_') WHEN source IN ('jest', 'mocha') THEN t ELSE 'src/t.test.ts > ' || t END AS test, count(*) AS runs FROM (SELECT source, unnest(list_distinct(failed_tests)) AS t FROM runs) GROUP BY 1, 2"""),
+    "x25_stated_counts": W.sql("SELECT seq, regexp_extract(message, '([0-9]+) failed, ([0-9]+) passed', 1)::INT AS failed, regexp_extract(message, '([0-9]+) failed, ([0-9]+) passed', 2)::INT AS passed FROM runs WHERE regexp_matches(message, '([0-9]+) failed, ([0-9]+) passed')"),
     "x26_pr_numbers": W.sql(r"SELECT regexp_extract(evidence, '(?:PR |\()#([0-9]+)', 1)::INT AS pr, count(*) AS notes FROM note WHERE regexp_matches(evidence, '(?:PR |\()#([0-9]+)') GROUP BY 1"),
 }
