@@ -67,14 +67,6 @@ def a10_feature_merge(spark: SparkSession, sf: str) -> DataFrame:
     return W.weights(spark, sf).where("label IN ('checkout', 'payouts')").groupBy("id").agg(F.round(F.max("weight"), 6).alias("weight"), F.sum("edits").alias("edits"), F.sum("reads").alias("reads"), F.max("last_touched").alias("last_touched"))
 
 
-def a11_feature_health(spark: SparkSession, sf: str) -> DataFrame:
-    """Health of each feature from passing runs, covered symbols and open failures, by fixed weights."""
-    r = W.runs(spark, sf).where("feature IS NOT NULL")
-    g = r.groupBy("feature").agg(F.avg((F.col("exit") == 0).cast("double")).alias("passing"), F.avg((F.coalesce(F.size("symbols"), F.lit(0)) > 0).cast("double")).alias("named"), F.avg(F.coalesce(F.size("failed_tests"), F.lit(0)).cast("double")).alias("failed"))
-    score = 0.5 * F.col("passing") + 0.3 * F.col("named") + 0.2 * F.exp(-F.col("failed") / 3)
-    return g.select("feature", F.round(score, 6).alias("health"))
-
-
 def a12_memory_health(spark: SparkSession, sf: str) -> DataFrame:
     """Health of the whole memory: penalties by counts, each with a cap, and a bonus for coverage."""
     n = W.note(spark, sf).agg(F.sum((F.col("scope") == "symbol").cast("bigint")).alias("symbol_notes"), F.sum((F.col("scope") != "symbol").cast("bigint")).alias("scoped_notes"), F.sum((F.try_to_timestamp("expires_at") < F.lit("2026-07-01").cast("timestamp")).cast("bigint")).alias("prunable"))
@@ -196,7 +188,7 @@ def a22_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return e.agg(F.count_distinct("from_id").alias("callers"), F.count_distinct("to_id").alias("callees"), F.count_distinct("file").alias("files"))
 
 
-QUERIES = {f.__name__: f for f in (a1_observation_counts, a2_churn, a3_contributors, a4_document_frequency, a6_learned_commands, a7_repeated_mistakes, a8_common_tests, a10_feature_merge, a11_feature_health, a12_memory_health, a13_pulse, a14_document_stats, a15_degrees, a16_edge_precision, a17_wilson, a18_percentiles, a19_bench_rollup, a19_paired_delta, a20_kappa, a20_bootstrap, a21_proportions, a22_distinct)}
+QUERIES = {f.__name__: f for f in (a1_observation_counts, a2_churn, a3_contributors, a4_document_frequency, a6_learned_commands, a7_repeated_mistakes, a8_common_tests, a10_feature_merge, a12_memory_health, a13_pulse, a14_document_stats, a15_degrees, a16_edge_precision, a17_wilson, a18_percentiles, a19_bench_rollup, a19_paired_delta, a20_kappa, a20_bootstrap, a21_proportions, a22_distinct)}
 _OK = "avg(CASE WHEN coalesce(timed_out, false) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END)"
 SQL = {
     "a1_observation_counts": """
@@ -211,7 +203,6 @@ SELECT symbol, command, passes, rank FROM (SELECT *, row_number() OVER (PARTITIO
     "a7_repeated_mistakes": W.sql("SELECT symbol, message, count(*) AS times FROM (SELECT unnest(list_distinct(symbols)) AS symbol, substr(message, 1, 120) AS message FROM runs WHERE exit <> 0 AND message IS NOT NULL AND message <> '') GROUP BY 1, 2 HAVING count(*) >= 2"),
     "a8_common_tests": W.sql("SELECT feature, test, count(*) AS runs, count(*) FILTER (WHERE exit <> 0) AS failures FROM (SELECT feature, exit, unnest(list_distinct(failed_tests)) AS test FROM runs WHERE feature IS NOT NULL) GROUP BY 1, 2"),
     "a10_feature_merge": W.sql("SELECT id, round(max(weight), 6) AS weight, sum(edits)::BIGINT AS edits, sum(reads)::BIGINT AS reads, max(last_touched) AS last_touched FROM weights WHERE label IN ('checkout', 'payouts') GROUP BY id"),
-    "a11_feature_health": W.sql("SELECT feature, round(0.5::DOUBLE * avg((exit = 0)::INT) + 0.3::DOUBLE * avg((coalesce(len(symbols), 0) > 0)::INT) + 0.2::DOUBLE * exp(-avg(coalesce(len(failed_tests), 0)) / 3), 6) AS health FROM runs WHERE feature IS NOT NULL GROUP BY feature"),
     "a12_memory_health": W.sql("""
 , c AS (SELECT (SELECT count(*) FROM note WHERE scope = 'symbol') AS symbol_notes, (SELECT count(*) FROM note WHERE scope <> 'symbol') AS scoped_notes, (SELECT count(*) FROM note WHERE try_cast(expires_at AS TIMESTAMP) < TIMESTAMP '2026-07-01') AS prunable, (SELECT count(*) FROM inb WHERE status = 'pending') AS inbox_pending, (SELECT count(*) FROM iss) AS issues, (SELECT count(*) FROM stale_entries WHERE age_days >= 180) AS review_items),
 s AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - least(0.25::DOUBLE, review_items * 0.025::DOUBLE) - least(0.25::DOUBLE, issues * 0.03::DOUBLE) - least(0.15::DOUBLE, inbox_pending * 0.02::DOUBLE) - least(0.15::DOUBLE, prunable * 0.02::DOUBLE) + least(0.1::DOUBLE, (symbol_notes + scoped_notes) * 0.002::DOUBLE))), 3) AS score FROM c)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import trimmed
 from ..operators.ranking import first_by, top_by
+from ..sources.code import code_blocks
 from ..sources.tables import table
 
 
@@ -90,6 +91,13 @@ def waivers(spark: SparkSession, sf: str) -> DataFrame:
     return named.groupBy("invariant").agg(F.min("item_key").alias("item_key"))
 
 
+def diff_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, block, tag, content) of the lines of the diff blocks among the documents."""
+    blocks = code_blocks(docs(spark, sf)).where("lang = 'diff'").select("doc_id", "block", F.explode(F.split("code", "\n")).alias("line")).where("line <> ''")
+    tag = F.when(F.col("line").startswith("+"), "add").when(F.col("line").startswith("-"), "del").otherwise("ctx")
+    return blocks.select("doc_id", "block", tag.alias("tag"), F.expr("substring(line, 2)").alias("content"))
+
+
 def touches(spark: SparkSession, sf: str) -> DataFrame:
     """Feature touches (label, id, ts, action): each passing or failing test run edits its symbols for its feature, a pass reads them."""
     r = runs(spark, sf).where("feature IS NOT NULL")
@@ -131,6 +139,7 @@ file_commits AS (SELECT symbol AS file, substr(source_commit, 1, 7) AS commit, m
 rule_rank AS (SELECT nullif(regexp_extract(symbol, '([A-Za-z0-9_]+)(?:@[0-9a-f]+)?$', 1), '') AS name, max(CASE severity WHEN 'block' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS rank FROM iss WHERE kind = 'promotion_candidate' AND symbol IS NOT NULL GROUP BY 1),
 rules AS (SELECT r.name, ['info', 'warn', 'block'][rank] AS severity, list_filter([CASE rank WHEN 3 THEN '*' || right(r.name, 6) WHEN 2 THEN substr(r.name, 1, 6) || '*' ELSE r.name END,
             CASE rank WHEN 3 THEN regexp_replace(file, '_[^_/]*$', '') || '**' WHEN 2 THEN regexp_replace(file, '/[^/]*$', '') || '/*' END], lambda x: x IS NOT NULL) AS applies_to FROM rule_rank r LEFT JOIN (SELECT name, min(file) AS file FROM sym WHERE file IS NOT NULL GROUP BY name) f ON f.name = r.name WHERE r.name IS NOT NULL),
+difflines AS (SELECT doc_id, CASE WHEN line LIKE '+%' THEN 'add' WHEN line LIKE '-%' THEN 'del' ELSE 'ctx' END AS tag, substr(line, 2) AS content FROM (SELECT doc_id, unnest(string_split(regexp_extract(b, '(?s)^```[a-z]+\n(.*)```$', 1), chr(10))) AS line FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?s)```[a-z]+\n.*?```')) AS b FROM documents WHERE text IS NOT NULL) WHERE b LIKE '```diff%') WHERE line <> ''),
 waivers AS (SELECT invariant, min(item_key) AS item_key FROM (SELECT item_key, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS invariant FROM inb WHERE status = 'approved' AND kind = 'directive' AND text IS NOT NULL) GROUP BY 1)
 """
 

@@ -105,14 +105,6 @@ def w13_nearest_above(spark: SparkSession, sf: str) -> DataFrame:
     return both.where("what = 1 AND above IS NOT NULL").select(F.col("key").alias("edge_key"), "above")
 
 
-def t1_section_caps(spark: SparkSession, sf: str) -> DataFrame:
-    """Issues of each symbol within the caps of a brief: five of each kind, one of the open questions and todos."""
-    i = W.iss(spark, sf).where("symbol IS NOT NULL")
-    w = Window.partitionBy("symbol", "kind").orderBy(severity_rank("severity", ISSUE_SEVERITY).desc(), "issue_key")
-    cap = F.when(F.col("kind").isin("open_question", "open_todo"), 1).otherwise(5)
-    return i.withColumn("position", F.row_number().over(w)).where(F.col("position") <= cap).select("symbol", "kind", "issue_key", "position")
-
-
 def t4_suggest_queue(spark: SparkSession, sf: str) -> DataFrame:
     """The ten symbols to write notes for: most failing runs, then most runs, without a note (also k9)."""
     r = W.runs(spark, sf).select(F.explode(F.array_distinct("symbols")).alias("symbol"), "exit")
@@ -235,7 +227,7 @@ def p_alias_match(spark: SparkSession, sf: str) -> DataFrame:
 
 _NS = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 _IS = "CASE severity WHEN 'block' THEN 3 WHEN 'warn' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
-_FUNCS = (w1_note_ranking, w2_latest_decision, w3_preference_ranking, w5_first_wins, w6_ewma, w7_running_context, w8_budget_packing, w9_budget_trim, w10_sequence, w11_per_file_cap, w12_order_preserving, w13_nearest_above, t1_section_caps, t4_suggest_queue, t5_review_queue, t6_stale_order, t7_recommendations, t8_verification_queue, t10_sample, u2_memory_union, u3_file_union, u4_todo_union, u5_out_of_scope, u6_prepared_not_edited, u7_replica_merge, u9_vanished_todos, s6_keyed_read, p_expiry_filter, p_since_filter, p_test_files, p_alias_match)
+_FUNCS = (w1_note_ranking, w2_latest_decision, w3_preference_ranking, w5_first_wins, w6_ewma, w7_running_context, w8_budget_packing, w9_budget_trim, w10_sequence, w11_per_file_cap, w12_order_preserving, w13_nearest_above, t4_suggest_queue, t5_review_queue, t6_stale_order, t7_recommendations, t8_verification_queue, t10_sample, u2_memory_union, u3_file_union, u4_todo_union, u5_out_of_scope, u6_prepared_not_edited, u7_replica_merge, u9_vanished_todos, s6_keyed_read, p_expiry_filter, p_since_filter, p_test_files, p_alias_match)
 QUERIES = {f.__name__: f for f in _FUNCS}
 SQL = {
     "w1_note_ranking": W.sql(f"SELECT * FROM (SELECT symbol, note_key, row_number() OVER (PARTITION BY symbol ORDER BY {_NS} DESC, recorded_at DESC NULLS LAST, note_key) AS position FROM note WHERE symbol IS NOT NULL AND NOT coalesce(promoted, false)) WHERE position <= 10"),
@@ -259,7 +251,6 @@ SELECT doc_id, heading, count(*) AS lines FROM h WHERE heading IS NOT NULL GROUP
     "w13_nearest_above": W.sql("""
 SELECT key AS edge_key, above FROM (SELECT what, key, last_value(CASE WHEN what = 0 THEN key END IGNORE NULLS) OVER (PARTITION BY file ORDER BY line, what, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above
 FROM (SELECT file, line, 0 AS what, symbol_key AS key FROM sym UNION ALL SELECT file, line, 1, edge_key FROM edges) WHERE file IS NOT NULL AND line IS NOT NULL) WHERE what = 1 AND above IS NOT NULL"""),
-    "t1_section_caps": W.sql(f"SELECT * FROM (SELECT symbol, kind, issue_key, row_number() OVER (PARTITION BY symbol, kind ORDER BY {_IS} DESC, issue_key) AS position FROM iss WHERE symbol IS NOT NULL) WHERE position <= CASE WHEN kind IN ('open_question', 'open_todo') THEN 1 ELSE 5 END"),
     "t4_suggest_queue": W.sql("SELECT symbol, count(*) AS runs, count(*) FILTER (WHERE exit <> 0) AS failures FROM (SELECT unnest(list_distinct(symbols)) AS symbol, exit FROM runs) WHERE symbol NOT IN (SELECT symbol FROM note WHERE symbol IS NOT NULL) GROUP BY symbol HAVING count(*) FILTER (WHERE exit <> 0) > 0 OR count(*) >= 3 ORDER BY failures DESC, runs DESC, symbol LIMIT 10"),
     "t5_review_queue": W.sql("""
 SELECT * FROM (SELECT CASE kind WHEN 'promotion_candidate' THEN 1 ELSE 3 END AS priority, kind, issue_key AS key, (DATE '2026-07-01' - raised_at::DATE)::INT AS age FROM iss WHERE kind IN ('promotion_candidate', 'open_question') UNION ALL SELECT 2, 'stale', entry_key, age_days FROM stale_entries WHERE age_days >= 180) ORDER BY priority, age DESC NULLS LAST, kind, key LIMIT 50"""),
