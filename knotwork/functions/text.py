@@ -40,7 +40,7 @@ def split_identifier(c: Column) -> Column:
 def code_tokens(c: Column, cap: int = TOKEN_CAP) -> Column:
     """The first `cap` distinct identifier parts of the first READ_CHARS characters of `c`, over two characters, without CODE_STOP, in order."""
     words = F.regexp_extract_all(F.substring(F.coalesce(c, F.lit("")), 1, READ_CHARS), F.lit("([A-Za-z][A-Za-z0-9_$]*)"), 1)
-    parts = F.flatten(F.transform(words, split_identifier))
+    parts = F.flatten(F.transform(F.array_distinct(words), split_identifier))  # a word that comes again has no new parts
     return F.slice(_without(parts, CODE_STOP, 2), 1, cap)
 
 

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def closure(edges: DataFrame, seeds: DataFrame, hops: int, reverse: bool = True) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, hops: int, reverse: bool = True, once: bool = True) -> DataFrame:
     """(id, depth): nodes within `hops` steps of any of `seeds` (id), seeds left out, with the least number of steps.
 
     reverse follows edges from dst to src (who calls), else from src to dst. One frontier for all seeds: each hop is a join of the
     frontier with the edges, cleared of nodes seen before; the frontier is written to the shared folder, so that plans stay short. Cycles and
-    self-loops end with the visited set; a node that many paths reach comes once. Empty seeds give no rows.
+    self-loops end with the visited set; a node that many paths reach comes once. Empty seeds give no rows. The edges are worked out
+    once and read by every hop; without `once` they are taken as they come, for edges that are stored already.
     """
     here, there = ("dst", "src") if reverse else ("src", "dst")
     steps = edges.select(F.col(here).alias("id"), F.col(there).alias("next"))
+    if once and hops > 1:
+        steps = cut(steps)
     seen = cut(seeds.select("id").dropna().distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in range(1, hops + 1):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import sql_wilson, wilson
 from ..operators.graph import degrees
+from ..operators.sequences import picked
 from ..sources.tables import table
 from . import warehouse as W
 
@@ -119,11 +120,9 @@ def a17_wilson(spark: SparkSession, sf: str) -> DataFrame:
 
 def a18_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """The 50th and 95th percentile of bench durations per arm, as the value at rank floor(p * n) from 0, last at most."""
-    d = table(spark, sf, "bench_runs", "run_key", "arm", "duration_sec").where("duration_sec IS NOT NULL")
-    own = Window.partitionBy("arm")
-    ranked = d.withColumns({"i": F.row_number().over(own.orderBy("duration_sec", "run_key")) - 1, "n": F.count(F.lit(1)).over(own)})
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n") / 100)), F.col("duration_sec")))
-    return ranked.groupBy("arm").agg(F.round(at(50), 6).alias("p50"), F.round(at(95), 6).alias("p95"))
+    p = picked(table(spark, sf, "bench_runs", "run_key", "arm", "duration_sec"), ["arm"], "duration_sec", "run_key", [50, 95])
+    at = lambda n: F.round(F.max(F.when(F.col("percent") == n, F.col("duration_sec"))), 6).alias(f"p{n}")
+    return p.groupBy("arm").agg(at(50), at(95))
 
 
 def a19_bench_rollup(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import closure, degrees
 from ..operators.ranking import severity_rank, top_by
+from ..session import cut
 from ..sources.tables import table
 from . import warehouse as W
 
@@ -72,8 +73,8 @@ def g3_neighborhood(spark: SparkSession, sf: str) -> DataFrame:
 
 def g4_tiered_relation(spark: SparkSession, sf: str) -> DataFrame:
     """Notes on the symbols in conflict (direct), on their callers (transitive) and callees (dependency): each note once, by its nearest relation."""
-    seeds, e = _seeds(spark, sf), W.edg(spark, sf)
-    tiers = seeds.withColumn("tier", F.lit(1)).unionByName(closure(e, seeds, 2).select("id", F.lit(2).alias("tier"))).unionByName(closure(e, seeds, 1, reverse=False).select("id", F.lit(3).alias("tier")))
+    seeds, e = cut(_seeds(spark, sf)), cut(W.edg(spark, sf))  # read by both closures
+    tiers = seeds.withColumn("tier", F.lit(1)).unionByName(closure(e, seeds, 2, once=False).select("id", F.lit(2).alias("tier"))).unionByName(closure(e, seeds, 1, reverse=False).select("id", F.lit(3).alias("tier")))
     n = W.note(spark, sf).where("scope = 'symbol'").select(F.col("symbol").alias("id"), "note_key")
     best = tiers.join(n, "id").groupBy("note_key").agg(F.min("tier").alias("tier"))
     return best.select("note_key", F.element_at(F.array(F.lit("direct"), F.lit("transitive"), F.lit("dependency")), F.col("tier")).alias("relation"))
@@ -151,8 +152,8 @@ def a5_blast_radius(spark: SparkSession, sf: str) -> DataFrame:
 
 def u1_closure_union(spark: SparkSession, sf: str) -> DataFrame:
     """Union of callers within two hops and callees within one of the symbols in conflict, without them."""
-    seeds, e = _seeds(spark, sf), W.edg(spark, sf)
-    both = closure(e, seeds, 2).select("id").unionByName(closure(e, seeds, 1, reverse=False).select("id")).distinct()
+    seeds, e = cut(_seeds(spark, sf)), cut(W.edg(spark, sf))  # read by both closures
+    both = closure(e, seeds, 2, once=False).select("id").unionByName(closure(e, seeds, 1, reverse=False).select("id")).distinct()
     return both.join(seeds, "id", "left_anti")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.intervals import folders_above, overlaps
 from ..operators.patterns import pattern_matches
+from ..operators.sequences import carried
 from ..operators.ranking import first_by, top_by
 from ..session import cut
 from ..sources.tables import table
@@ -79,11 +80,10 @@ def j9_uncovered_hunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j11_asof_note(spark: SparkSession, sf: str) -> DataFrame:
-    """For each issue the latest note on its symbol recorded by then."""
-    n = W.note(spark, sf).where("symbol IS NOT NULL AND recorded_at IS NOT NULL").select("symbol", F.col("recorded_at").alias("t"), F.lit(0).alias("probe"), "note_key", F.lit(None).cast("bigint").alias("issue_key"))
-    i = W.iss(spark, sf).where("symbol IS NOT NULL AND raised_at IS NOT NULL").select("symbol", F.col("raised_at").alias("t"), F.lit(1).alias("probe"), F.lit(None).cast("bigint").alias("note_key"), "issue_key")
-    w = Window.partitionBy("symbol").orderBy("t", "probe", "note_key").rowsBetween(Window.unboundedPreceding, 0)
-    seen = n.unionByName(i).withColumn("last_note", F.last("note_key", ignorenulls=True).over(w))
+    """For each issue the latest note on its symbol recorded by then; a hot symbol is spread by day."""
+    n = W.note(spark, sf).where("symbol IS NOT NULL AND recorded_at IS NOT NULL").select("symbol", F.col("recorded_at").alias("t"), F.lit(0).alias("probe"), F.col("note_key").alias("key"), "note_key", F.lit(None).cast("bigint").alias("issue_key"))
+    i = W.iss(spark, sf).where("symbol IS NOT NULL AND raised_at IS NOT NULL").select("symbol", F.col("raised_at").alias("t"), F.lit(1).alias("probe"), F.col("issue_key").alias("key"), F.lit(None).cast("bigint").alias("note_key"), "issue_key")
+    seen = carried(n.unionByName(i), ["symbol"], F.datediff(F.to_date("t"), F.lit("2000-01-01").cast("date")), ["t", "probe", "key"], "note_key", "last_note")
     return seen.where("probe = 1 AND last_note IS NOT NULL").select("issue_key", F.col("last_note").alias("note_key"))
 
 
@@ -155,8 +155,7 @@ def j20_nearest_anchor(spark: SparkSession, sf: str) -> DataFrame:
     probes = asked.select("symbol", F.explode(F.sequence(lo, hi)).alias("n"))
     names = W.sym(spark, sf).select("name").where(F.length("name") >= 4).distinct().withColumn("n", F.length("name"))
     longest = F.greatest(F.length("symbol"), F.length("name"))
-    allowed = F.floor(longest * 0.4 + 1e-9).cast("int")
-    near = probes.join(names, "n").withColumn("d", F.levenshtein("symbol", "name")).where(F.col("d") <= allowed)
+    near = probes.join(names, "n").withColumn("d", F.expr("levenshtein(symbol, name, cast(floor(greatest(length(symbol), length(name)) * 0.4 + 1e-9) AS int))")).where(F.col("d") >= 0)
     near = near.withColumn("similarity", F.round(1 - F.col("d") / longest, 6))
     return first_by(near, ["symbol"], [F.col("similarity").desc(), "name"]).select("symbol", "name", "similarity")
 

@@ -9,6 +9,7 @@ from ..functions import classify as C
 from ..operators.graph import closure
 from ..operators.intervals import folder_of, folders_above
 from ..operators.patterns import pattern_matches
+from ..operators.sequences import carried
 from ..operators.ranking import ISSUE_SEVERITY, first_by, severity_rank, top_by
 from ..sources.records import upsert
 from ..sources.tables import table
@@ -173,10 +174,11 @@ def k32_overview(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k33_attribution(spark: SparkSession, sf: str) -> DataFrame:
-    """The symbol of each run: the first named, else the last one named before by a run of its source."""
+    """The symbol of each run: the first named, else the last one named before by a run of its source, else the first changed file's symbol (the last resort: what the working tree changes)."""
     r = W.runs(spark, sf).select("seq", "source", F.get("symbols", F.lit(0)).alias("named"))
-    w = Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return r.select("seq", F.coalesce("named", F.last("named", ignorenulls=True).over(w)).alias("symbol")).where("symbol IS NOT NULL")
+    last = carried(r, ["source"], F.floor(F.col("seq") / 4096), ["seq"], "named", "before", own=False)
+    changed = W.sym(spark, sf).join(W.stale(spark, sf).where("file_changed_since AND file IS NOT NULL").select("file").distinct(), "file", "left_semi").agg(F.min_by(F.coalesce("qualified_name", "name"), "symbol_key").alias("changed"))
+    return last.join(F.broadcast(changed)).select("seq", F.coalesce("named", "before", "changed").alias("symbol")).where("symbol IS NOT NULL")  # one row
 
 
 def x14_prompt_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,7 +262,7 @@ SELECT symbol, kind, count(*) AS suggestions FROM (SELECT * FROM told UNION ALL
 , areas AS (SELECT DISTINCT rtrim(symbol, '/') AS area FROM note WHERE scope = 'area' AND symbol IS NOT NULL)
 SELECT source, area, min(seq) AS seq FROM runs JOIN areas ON starts_with(regexp_extract(command, '(src/[^ ]+)', 1) || '/x', area || '/') GROUP BY 1, 2"""),
     "k32_overview": W.sql("SELECT kind, symbols, name, position FROM (SELECT kind, name, count(*) OVER (PARTITION BY kind) AS symbols, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS position FROM sym) WHERE position <= 5"),
-    "k33_attribution": W.sql("SELECT seq, symbol FROM (SELECT seq, coalesce(symbols[1], last_value(symbols[1] IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS symbol FROM runs) WHERE symbol IS NOT NULL"),
+    "k33_attribution": W.sql("SELECT seq, symbol FROM (SELECT seq, coalesce(symbols[1], last_value(symbols[1] IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), (SELECT arg_min(coalesce(qualified_name, name), symbol_key) FROM sym WHERE file IN (SELECT file FROM stale_entries WHERE file_changed_since))) AS symbol FROM runs) WHERE symbol IS NOT NULL"),
     "x14_prompt_context": W.sql("SELECT run_key, count(DISTINCT note_key) AS notes FROM (SELECT run_key, prompt, unnest(list_distinct(regexp_extract_all(prompt, '[a-z]+(?:[A-Z][A-Za-z0-9]*|_[a-z0-9]+)+'))) AS symbol FROM bench_runs) JOIN note USING (symbol) WHERE lesson IS NOT NULL AND NOT contains(prompt, substr(lesson, 1, 80)) GROUP BY run_key"),
     "x16_scope_classifier": W.sql(f"""
 , known AS (SELECT name AS k FROM sym WHERE name IS NOT NULL UNION SELECT qualified_name FROM sym WHERE qualified_name IS NOT NULL), files AS (SELECT DISTINCT file FROM sym WHERE file IS NOT NULL), labels AS (SELECT DISTINCT lower(feature) AS l FROM runs WHERE feature IS NOT NULL),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import trimmed
 from ..operators.budget import pack_groups
+from ..operators.sequences import numbered
 from ..operators.ranking import ISSUE_SEVERITY, first_by, severity_rank, top_by
 from ..sources.tables import table
 from . import warehouse as W
@@ -78,9 +79,8 @@ def w9_budget_trim(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w10_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    """Rising numbers for the runs of each source in order of arrival."""
-    w = Window.partitionBy("source").orderBy("ingested_at", "seq")
-    return W.runs(spark, sf).select("seq", "source", F.row_number().over(w).alias("number"))
+    """Rising numbers for the runs of each source in order of arrival, numbered by day."""
+    return numbered(W.runs(spark, sf), ["source"], F.datediff(F.to_date("ingested_at"), F.lit("2000-01-01").cast("date")), ["ingested_at", "seq"], "number").select("seq", "source", "number")
 
 
 def w11_per_file_cap(spark: SparkSession, sf: str) -> DataFrame:

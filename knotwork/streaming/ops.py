@@ -51,24 +51,37 @@ def bursts(events: DataFrame, key: str, gap: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
 
 
-def first_seen(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The first event of each key within the watermark; repeats of a capture are dropped."""
-    return events.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+def first_seen(events: DataFrame, keys: list[str], forever: bool = True) -> DataFrame:
+    """The first event of each key; repeats of a capture are dropped. With `forever` every key is kept as state, so that no repeat comes through
+    however late; else only within the watermark, and state is cleared behind it."""
+    return events.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(keys) if events.isStreaming and not forever else events.dropDuplicates(keys)
+
+
+# Touches of a key that are kept in order; what is older weighs less than a rounding error (0.7 ** 120).
+KEPT = 120
 
 
 def folded_weights(touches: DataFrame) -> DataFrame:
-    """Weight per (label, id) folded over touches in order of (ts, seq): w = 0.3 * signal + 0.7 * w; state is the weight and the number of touches."""
+    """Weight per (label, id) folded over touches in order of (ts, seq): w = 0.3 * signal + 0.7 * w, in whatever order and batches they come.
+
+    The fold is a sum in which each touch weighs 0.7 to the number of touches after it, so the state is the last KEPT touches in order and
+    the number of all; a late touch takes its place among them. A key's batch is read part by part, never as a whole.
+    """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        weight, n = state.get if state.exists else (0.0, 0)
-        rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
-        for signal in rows["signal"]:
-            weight, n = 0.3 * float(signal) + 0.7 * weight, n + 1
-        state.update((weight, n))
+        ts, seq, signal, n = state.get if state.exists else ([], [], [], 0)
+        had = list(zip(ts, seq, signal))
+        for rows in parts:
+            had = sorted(had + list(zip((t.value // 1000 for t in rows["ts"]), map(int, rows["seq"]), map(float, rows["signal"]))))[-KEPT:]
+            n += len(rows)
+        state.update(([t for t, _, _ in had], [s for _, s, _ in had], [v for _, _, v in had], n))
+        weight = 0.0
+        for _, _, v in had:
+            weight = 0.3 * v + 0.7 * weight
         yield pd.DataFrame([(*key, weight, n)], columns=["label", "id", "weight", "touches"])
 
     g = touches.select("label", "id", "ts", "seq", "signal").groupBy("label", "id")
-    return g.applyInPandasWithState(fold, "label string, id string, weight double, touches bigint", "weight double, touches bigint", "update", GroupStateTimeout.NoTimeout)
+    return g.applyInPandasWithState(fold, "label string, id string, weight double, touches bigint", "ts array<bigint>, seq array<bigint>, signal array<double>, touches bigint", "update", GroupStateTimeout.NoTimeout)
 
 
 def failure_buffer(failures: DataFrame, key: str, keep: int = 50) -> DataFrame:
@@ -76,9 +89,8 @@ def failure_buffer(failures: DataFrame, key: str, keep: int = 50) -> DataFrame:
 
     def hold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         had = list(zip(*state.get)) if state.exists else []
-        rows = pd.concat(list(parts))
-        had += list(zip((t.value // 1000 for t in rows["ts"]), rows["seq"]))
-        had = sorted(had)[-keep:]
+        for rows in parts:
+            had = sorted(had + list(zip((t.value // 1000 for t in rows["ts"]), rows["seq"])))[-keep:]
         state.update(([int(t) for t, _ in had], [int(s) for _, s in had]))
         yield pd.DataFrame([(k[0], len(had), int(had[-1][1]))], columns=[key, "held", "last_seq"])
 

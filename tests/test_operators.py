@@ -159,3 +159,62 @@ def test_trimmed_and_staged(spark):
     assert [r[0] for r in df.select(trimmed("s")).collect()] == ["a b", None, None]
     col = staged({"x": F.lit(2)}, lambda c: {"y": c("x") + 1}, lambda c: {"z": c("x") * c("y")})
     assert spark.range(1).select(col.alias("r")).first().r.asDict() == {"x": 2, "y": 3, "z": 6}
+
+
+def test_sequences_against_windows(spark):
+    import random
+
+    from knotwork.operators.sequences import carried, numbered, picked
+
+    r = random.Random(3)
+    data = [(r.choice(["hot", "hot", "a", None]), r.choice([None, *range(50)]), i, r.choice([None, None, "x", "y"]), r.choice([None, r.random() * 9])) for i in range(500)]
+    df = spark.createDataFrame(data, "k string, t int, i int, v string, d double").repartition(4)
+    part = F.floor(F.col("t") / 7)
+    want, last, values = {}, {}, {}
+    for k in {x[0] for x in data}:
+        rows = sorted((x for x in data if x[0] == k), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+        seen = None
+        for n, x in enumerate(rows, 1):
+            want[x[2]], last[x[2], False] = n, seen
+            seen = x[3] if x[3] is not None else seen
+            last[x[2], True] = seen
+        values[k] = sorted(x[4] for x in rows if x[4] is not None)
+    assert {x.i: x.n for x in numbered(df, ["k"], part, ["t", "i"], "n").collect()} == want
+    for own in (True, False):
+        assert {x.i: x.c for x in carried(df, ["k"], part, ["t", "i"], "v", "c", own).collect()} == {i: v for (i, o), v in last.items() if o == own}
+    got = {(x.k, x.percent): x.d for x in picked(df, ["k"], "d", "i", [50, 95], 0.5).collect()}
+    assert got == {(k, p): v[min(len(v) - 1, p * len(v) // 100)] for k, v in values.items() for p in (50, 95)}
+    assert numbered(df.limit(0), ["k"], part, ["t"], "n").collect() == picked(df.limit(0), ["k"], "d", "i", [50]).collect() == []
+
+
+def test_pattern_matches_against_a_loop(spark):
+    from knotwork.operators.patterns import pattern_matches
+
+    names = ["ab", "a.b", "x/b", "abc", "b", "cab", "", None, "ünï.b"]
+    patterns = ["b", "ab*", "*ab", "a.b", "*", "zz", None]
+    fits = lambda s, p: s.startswith(p[:-1]) if p.endswith("*") else s.endswith(p[1:]) if p.startswith("*") else s == p or s.endswith("." + p) or s.endswith("/" + p)
+    df = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    got = {(r.name, r.pattern) for r in pattern_matches(df(names, "name"), df(patterns, "pattern")).collect()}
+    assert got == {(s, p) for s in names if s for p in patterns if p and p != "*" and fits(s, p)} | {(s, "*") for (s, p) in got if p == "*"}
+    files = ["src/a/x.ts", "src/ab/y.ts", "src/a"]
+    globs = ["src/a/*", "src/a**", "src/a"]
+    got = {(r.name, r.pattern) for r in pattern_matches(df(files, "name"), df(globs, "pattern"), files=True).collect()}
+    assert got == {("src/a/x.ts", "src/a/*"), *((f, "src/a**") for f in files), ("src/a", "src/a")}
+    assert pattern_matches(df([], "name"), df(patterns, "pattern")).collect() == []
+
+
+def test_folded_weights_out_of_order(spark, tmp_path):
+    import datetime as dt
+
+    from knotwork.streaming import ops as S
+
+    rows = [("f", "s", dt.datetime(2026, 1, 1) + dt.timedelta(minutes=i), i, 1.0 if i % 3 else 0.3) for i in range(300)]
+    schema = "label string, id string, ts timestamp, seq bigint, signal double"
+    for n, part in enumerate((rows[200:], rows[:100], rows[100:200])):  # later ones first
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = S.drain(S.folded_weights(stream), "update").orderBy(F.desc("touches")).first()
+    weight = 0.0
+    for *_, signal in rows:
+        weight = 0.3 * signal + 0.7 * weight
+    assert got.touches == 300 and abs(got.weight - weight) < 1e-12
