@@ -68,6 +68,14 @@ SYMBOL_LIKE = r"\b(?:[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+|[a-z][a-z0-9]+(?:[A-Z][a-
 QUALIFIED = r"\b[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*){1,4}\b"
 BACKTICKED = r"`([^`\n]{1,80})`"
 FILE_PATH = r"\b(?:[\w@.-]+/)*[\w@.-]+\.(?:ts|tsx|js|jsx|mjs|cjs|py|rs|go|rb|java|kt|swift|md|yml|yaml|toml|json)\b"
+# What in a prompt may be a symbol, and words that are none.
+CANDIDATES = [r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)*)\b", r"\b([a-z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b", r"\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*){1,4})\b"]
+SNAKE, LONG_WORD = r"\b(_*[A-Za-z][A-Za-z0-9_]*)\b", r"\b([a-z][a-z0-9_]{3,})\b"
+NO_CANDIDATES = "TODO FIXME NOTE XXX HACK README CLAUDE PR MR API URL HTTP HTTPS JSON YAML TOML HTML CSS SQL".split()
+FILLERS = (
+    "the and for with from into that this these those when where what which while after before should would could must will shall have been make made does doing code file line data type object string number value "
+    "function method class module import export return async await true false null undefined void add remove update change fix use using used call run test tests case cases feature support"
+).split()
 # Titles of commits that mend or decide, and the form of conventional ones.
 FIX = r"^(?:fix|bug|hotfix|revert|patch)\b"
 DECISION = r"\b(?:chose|chosen|decided|prefer|over|instead of|rejected)\b"

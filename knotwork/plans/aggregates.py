@@ -52,9 +52,9 @@ def a6_learned_commands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a7_repeated_mistakes(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages, cut to 120 characters, that failed for a symbol twice or more."""
-    r = W.runs(spark, sf).where("exit <> 0 AND message IS NOT NULL AND message <> ''").select(F.explode(F.array_distinct("symbols")).alias("symbol"), F.substring("message", 1, 120).alias("message"))
-    return r.groupBy("symbol", "message").agg(F.count(F.lit(1)).alias("times")).where("times >= 2")
+    """Mistakes of a symbol that came twice or more: the kind (the source of the run) and its message, cut to 120 characters; without a message the kind's failure."""
+    r = W.runs(spark, sf).where("exit <> 0").select(F.explode(F.array_distinct("symbols")).alias("symbol"), "at", F.when(F.coalesce("message", F.lit("")) != "", F.concat("source", F.lit(": "), F.substring("message", 1, 120))).otherwise(F.concat("source", F.lit(" failure"))).alias("message"))
+    return r.groupBy("symbol", "message").agg(F.count(F.lit(1)).alias("times"), F.max("at").alias("last_at")).where("times >= 2")
 
 
 def a8_common_tests(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,8 +64,9 @@ def a8_common_tests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a10_feature_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """The features checkout and payouts merged: highest weight, summed touches, last touch."""
-    return W.weights(spark, sf).where("label IN ('checkout', 'payouts')").groupBy("id").agg(F.round(F.max("weight"), 6).alias("weight"), F.sum("edits").alias("edits"), F.sum("reads").alias("reads"), F.max("last_touched").alias("last_touched"))
+    """The features checkout and payouts merged: highest weight, summed touches, last touch, and the labels that now stand for it."""
+    w = W.weights(spark, sf).where("label IN ('checkout', 'payouts')")
+    return w.groupBy("id").agg(F.round(F.max("weight"), 6).alias("weight"), F.sum("edits").alias("edits"), F.sum("reads").alias("reads"), F.max("last_touched").alias("last_touched"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("aliases"))
 
 
 def a12_memory_health(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,9 +200,9 @@ SELECT author, commits, decisions, round(0.7::DOUBLE * commits / greatest((SELEC
     "a4_document_frequency": W.sql("SELECT token, count(*) AS df FROM (SELECT id, unnest(list_distinct(tokens)) AS token FROM sym) GROUP BY token"),
     "a6_learned_commands": W.sql("""
 SELECT symbol, command, passes, rank FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY passes DESC, last_passed DESC, command) AS rank FROM (SELECT symbol, command, count(*) AS passes, max("at") AS last_passed FROM (SELECT unnest(list_distinct(symbols)) AS symbol, command, "at" FROM runs WHERE exit = 0) GROUP BY 1, 2)) WHERE rank <= 3"""),
-    "a7_repeated_mistakes": W.sql("SELECT symbol, message, count(*) AS times FROM (SELECT unnest(list_distinct(symbols)) AS symbol, substr(message, 1, 120) AS message FROM runs WHERE exit <> 0 AND message IS NOT NULL AND message <> '') GROUP BY 1, 2 HAVING count(*) >= 2"),
+    "a7_repeated_mistakes": W.sql("""SELECT symbol, message, count(*) AS times, max("at") AS last_at FROM (SELECT unnest(list_distinct(symbols)) AS symbol, "at", CASE WHEN coalesce(message, '') <> '' THEN source || ': ' || substr(message, 1, 120) ELSE source || ' failure' END AS message FROM runs WHERE exit <> 0) GROUP BY 1, 2 HAVING count(*) >= 2"""),
     "a8_common_tests": W.sql("SELECT feature, test, count(*) AS runs, count(*) FILTER (WHERE exit <> 0) AS failures FROM (SELECT feature, exit, unnest(list_distinct(failed_tests)) AS test FROM runs WHERE feature IS NOT NULL) GROUP BY 1, 2"),
-    "a10_feature_merge": W.sql("SELECT id, round(max(weight), 6) AS weight, sum(edits)::BIGINT AS edits, sum(reads)::BIGINT AS reads, max(last_touched) AS last_touched FROM weights WHERE label IN ('checkout', 'payouts') GROUP BY id"),
+    "a10_feature_merge": W.sql("SELECT id, round(max(weight), 6) AS weight, sum(edits)::BIGINT AS edits, sum(reads)::BIGINT AS reads, max(last_touched) AS last_touched, string_agg(DISTINCT label, ',' ORDER BY label) AS aliases FROM weights WHERE label IN ('checkout', 'payouts') GROUP BY id"),
     "a12_memory_health": W.sql("""
 , c AS (SELECT (SELECT count(*) FROM note WHERE scope = 'symbol') AS symbol_notes, (SELECT count(*) FROM note WHERE scope <> 'symbol') AS scoped_notes, (SELECT count(*) FROM note WHERE try_cast(expires_at AS TIMESTAMP) < TIMESTAMP '2026-07-01') AS prunable, (SELECT count(*) FROM inb WHERE status = 'pending') AS inbox_pending, (SELECT count(*) FROM iss) AS issues, (SELECT count(*) FROM stale_entries WHERE age_days >= 180) AS review_items),
 s AS (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - least(0.25::DOUBLE, review_items * 0.025::DOUBLE) - least(0.25::DOUBLE, issues * 0.03::DOUBLE) - least(0.15::DOUBLE, inbox_pending * 0.02::DOUBLE) - least(0.15::DOUBLE, prunable * 0.02::DOUBLE) + least(0.1::DOUBLE, (symbol_notes + scoped_notes) * 0.002::DOUBLE))), 3) AS score FROM c)

@@ -111,9 +111,18 @@ def j14_feature_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def j15_test_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs, and failing ones, that name each symbol."""
-    r = W.runs(spark, sf).select("seq", "exit", F.explode(F.array_distinct("symbols")).alias("name"))
-    return W.sym(spark, sf).select("id", "name").join(r, "name").groupBy("id").agg(F.count(F.lit(1)).alias("runs"), F.sum((F.col("exit") != 0).cast("bigint")).alias("failing"))
+    """Runs, and failing ones, that name each symbol in their list or in their message, and whether a test file stands beside the symbol's own."""
+    r = W.runs(spark, sf)
+    said = r.select("seq", "exit", F.explode(F.array_distinct(F.concat(F.coalesce("symbols", F.array()), F.regexp_extract_all(F.coalesce("message", F.lit("")), F.lit("([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1))))).alias("name"))
+    s = W.sym(spark, sf).select("id", "name", "file")
+    stem = F.regexp_replace("file", r"\.[jt]sx?$|\.py$", "")
+    folder, base = F.regexp_extract("file", "^(.*/)?[^/]*$", 1), F.regexp_extract(stem, "([^/]*)$", 1)
+    beside = F.array(*(F.concat(stem, F.lit(e)) for e in (".test.ts", ".test.tsx", ".test.js", ".spec.ts", ".spec.js", "_test.py")), F.concat(folder, F.lit("test_"), base, F.lit(".py")))
+    files = s.select("file").dropna().distinct()
+    near = files.select(F.col("file").alias("own"), F.explode(beside).alias("file")).join(files, "file", "left_semi").select(F.col("own").alias("file")).distinct().withColumn("beside", F.lit(True))
+    runs = s.join(said, "name").groupBy("id").agg(F.count_distinct("seq").alias("runs"), F.count_distinct(F.when(F.col("exit") != 0, F.col("seq"))).alias("failing"))
+    m = s.select("id", "file").join(runs, "id", "left").join(near, "file", "left")
+    return m.where("runs IS NOT NULL OR beside").select("id", F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("failing", F.lit(0)).alias("failing"), F.coalesce("beside", F.lit(False)).alias("beside"))
 
 
 def j16_test_gaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,7 +277,11 @@ SELECT issue_key, severity, count(*) AS hits FROM pat JOIN s ON CASE WHEN patter
     "j14_feature_diff": W.sql(f"""
 , o AS ({W.sql_ranked("touches WHERE ts <= TIMESTAMP '2026-04-01'")}), c AS ({W.sql_ranked("touches")})
 SELECT * FROM (SELECT coalesce(o.label, c.label) AS label, coalesce(o.id, c.id) AS id, CASE WHEN o.weight IS NULL THEN 'entered' WHEN c.weight IS NULL THEN 'left' WHEN abs(c.weight - o.weight) > 0.05::DOUBLE THEN 'weight' END AS change, round(o.weight, 6) AS weight_then, round(c.weight, 6) AS weight_now FROM o FULL JOIN c ON o.label = c.label AND o.id = c.id) WHERE change IS NOT NULL"""),
-    "j15_test_coverage": W.sql("SELECT s.id, count(*) AS runs, count(*) FILTER (WHERE exit <> 0) AS failing FROM sym s JOIN (SELECT seq, exit, unnest(list_distinct(symbols)) AS name FROM runs) r USING (name) GROUP BY s.id"),
+    "j15_test_coverage": W.sql("""
+, said AS (SELECT DISTINCT seq, exit, unnest(list_concat(coalesce(symbols, []), regexp_extract_all(coalesce(message, ''), '[A-Za-z_$][A-Za-z0-9_$]*'))) AS name FROM runs), r AS (SELECT s.id, count(DISTINCT seq) AS runs, count(DISTINCT CASE WHEN exit <> 0 THEN seq END) AS failing FROM sym s JOIN said USING (name) GROUP BY s.id),
+st AS (SELECT DISTINCT file, regexp_replace(file, '\\.[jt]sx?$|\\.py$', '') AS stem FROM sym WHERE file IS NOT NULL),
+b AS (SELECT file FROM st WHERE EXISTS (SELECT 1 FROM st o WHERE o.file IN (stem || '.test.ts', stem || '.test.tsx', stem || '.test.js', stem || '.spec.ts', stem || '.spec.js', stem || '_test.py', regexp_extract(st.file, '^(.*/)?[^/]*$', 1) || 'test_' || regexp_extract(stem, '([^/]*)$', 1) || '.py')))
+SELECT s.id, coalesce(runs, 0) AS runs, coalesce(failing, 0) AS failing, s.file IS NOT NULL AND s.file IN (SELECT file FROM b) AS beside FROM sym s LEFT JOIN r ON r.id = s.id WHERE runs IS NOT NULL OR s.file IN (SELECT file FROM b)"""),
     "j16_test_gaps": W.sql("""
 , tested AS (SELECT DISTINCT unnest(symbols) AS name FROM runs), via AS (SELECT DISTINCT e.dst AS id FROM edg e JOIN sym s ON s.id = e.src WHERE s.name IN (SELECT name FROM tested))
 SELECT id, CASE WHEN id IN (SELECT id FROM via) THEN 'by caller only' ELSE 'no test' END AS reason FROM sym WHERE name NOT IN (SELECT name FROM tested WHERE name IS NOT NULL) AND id IN (SELECT dst FROM edg)"""),

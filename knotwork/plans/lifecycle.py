@@ -127,9 +127,12 @@ def k22_resume(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k24_runtime(spark: SparkSession, sf: str) -> DataFrame:
-    """Failing messages by kind (the word before a colon) and source."""
-    r = W.runs(spark, sf).where("exit <> 0 AND message IS NOT NULL").withColumn("kind", F.nullif(F.regexp_extract("message", "([A-Za-z]+Error): ", 1), F.lit("")))
-    return r.where("kind IS NOT NULL").groupBy("kind", "source").agg(F.count(F.lit(1)).alias("times"), F.max("at").alias("last_at"))
+    """Runtime events for symbols: errors in failing messages, by the symbols whose pattern the event names (the first symbol of the run and all that begin like it), worst and newest first."""
+    r = W.runs(spark, sf).where("exit <> 0 AND message IS NOT NULL").select(F.get("symbols", F.lit(0)).alias("named"), "at", F.nullif(F.regexp_extract("message", "([A-Za-z]+Error): ", 1), F.lit("")).alias("kind"))
+    r = r.where("kind IS NOT NULL AND named IS NOT NULL").withColumn("pattern", F.concat("named", F.lit("*")))
+    met = pattern_matches(W.sym(spark, sf).select(F.coalesce("qualified_name", "name").alias("name")), r.select("pattern").unionByName(r.select(F.col("named").alias("pattern"))))
+    hits = met.withColumn("named", F.regexp_replace("pattern", r"\*$", "")).select("name", "named").distinct()
+    return r.join(hits, "named").groupBy("name", "kind").agg(F.count(F.lit(1)).alias("times"), F.max("at").alias("last_at"))
 
 
 def k27_document_history(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,18 +162,22 @@ def k29_todo_sync(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k31_area_once(spark: SparkSession, sf: str) -> DataFrame:
-    """For each run the registered areas above its command's folder that no earlier run of the source has shown."""
+    """For each run the deepest registered area above its command's folder, where no earlier run of the source has shown it."""
     areas = W.note(spark, sf).where("scope = 'area' AND symbol IS NOT NULL").select(F.rtrim(F.col("symbol"), F.lit("/")).alias("area")).distinct()
     r = W.runs(spark, sf).select("seq", "source", F.concat(F.regexp_extract("command", r"(src/[^ ]+)", 1), F.lit("/x")).alias("path"))
-    shown = r.select("seq", "source", F.explode(folders_above(F.col("path"))).alias("area")).join(areas, "area", "left_semi")
-    return first_by(shown, ["source", "area"], ["seq"]).select("source", "area", "seq")
+    above = r.select("seq", "source", F.explode(folders_above(F.col("path"))).alias("area")).join(areas, "area", "left_semi")
+    deepest = above.groupBy("seq", "source").agg(F.max_by("area", F.length("area")).alias("area"))
+    return deepest.groupBy("source", "area").agg(F.min("seq").alias("seq"))
 
 
 def k32_overview(spark: SparkSession, sf: str) -> DataFrame:
-    """Symbols by kind with the first five names of each."""
-    s = W.sym(spark, sf)
-    total = s.groupBy("kind").agg(F.count(F.lit(1)).alias("symbols"))
-    return top_by(s, ["kind"], ["name", "id"], 5, "position").join(total, "kind").select("kind", "symbols", "name", "position")
+    """Symbols outside tests by kind, and the first fifteen to look at: functions and classes first, by file and name."""
+    s = W.sym(spark, sf).where(~F.coalesce(F.col("file").rlike(r"[.](?:test|spec)[.]"), F.lit(False)))
+    total = s.groupBy("kind").agg(F.count(F.lit(1)).alias("symbols")).select("kind", "symbols", F.lit(None).cast("string").alias("id"), F.lit(0).alias("position"))
+    name = F.coalesce("qualified_name", "name")
+    first = s.select("kind", "id", F.col("kind").isin("function", "class").cast("int").alias("own"), "file", name.alias("n")).orderBy(F.desc("own"), F.col("file").asc_nulls_last(), "n", "id").limit(15)
+    order = F.row_number().over(Window.orderBy(F.desc("own"), F.col("file").asc_nulls_last(), "n", "id"))  # fifteen rows
+    return total.unionByName(first.select("kind", F.lit(None).cast("bigint").alias("symbols"), "id", order.alias("position")))
 
 
 def k33_attribution(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,14 +261,18 @@ SELECT symbol, kind, count(*) AS suggestions FROM (SELECT * FROM told UNION ALL
     "k20_feature_context": W.sql("SELECT * FROM (SELECT label, note_key, row_number() OVER (PARTITION BY label ORDER BY recorded_at DESC NULLS LAST, note_key) AS position FROM weights w JOIN note n ON n.symbol = w.id) WHERE position <= 5"),
     "k21_change_summary": W.sql(f"SELECT coalesce(s.folder, e.folder) AS folder, coalesce(symbols, 0) AS symbols, coalesce(files, 0) AS files, coalesce(calls, 0) AS calls, coalesce(days, 0) AS days FROM (SELECT {_FOLDER} AS folder, count(*) AS symbols, count(DISTINCT file) AS files FROM sym WHERE file IS NOT NULL GROUP BY 1) s FULL JOIN (SELECT {_FOLDER} AS folder, count(*) AS calls, count(DISTINCT built_at::DATE) AS days FROM edges WHERE file IS NOT NULL GROUP BY 1) e ON s.folder = e.folder"),
     "k22_resume": W.sql("SELECT * FROM (SELECT symbol, issue_key, row_number() OVER (PARTITION BY symbol ORDER BY raised_at DESC NULLS LAST, issue_key) AS position FROM iss WHERE kind IN ('open_todo', 'open_question') AND symbol IN (SELECT unnest(symbols) FROM runs WHERE exit <> 0)) WHERE position <= 3"),
-    "k24_runtime": W.sql("SELECT kind, source, count(*) AS times, max(\"at\") AS last_at FROM (SELECT *, nullif(regexp_extract(message, '([A-Za-z]+Error): ', 1), '') AS kind FROM runs WHERE exit <> 0 AND message IS NOT NULL) WHERE kind IS NOT NULL GROUP BY 1, 2"),
+    "k24_runtime": W.sql("""
+, r AS (SELECT symbols[1] AS named, "at", nullif(regexp_extract(message, '([A-Za-z]+Error): ', 1), '') AS kind FROM runs WHERE exit <> 0 AND message IS NOT NULL), q AS (SELECT DISTINCT coalesce(qualified_name, name) AS name FROM sym)
+SELECT name, kind, count(*) AS times, max("at") AS last_at FROM r JOIN q ON starts_with(name, named) OR suffix(name, '.' || named) OR suffix(name, '/' || named) WHERE kind IS NOT NULL AND named IS NOT NULL GROUP BY 1, 2"""),
     "k27_document_history": "SELECT repo, CASE WHEN p IS NULL THEN 'first' WHEN p = h THEN 'unchanged' ELSE 'changed' END AS state, count(*) AS snapshots FROM (SELECT repo, h, lag(h) OVER (PARTITION BY repo, path ORDER BY created_at NULLS FIRST, doc_id) AS p FROM (SELECT *, sha1(coalesce(text, '')) AS h FROM documents WHERE repo IS NOT NULL AND path IS NOT NULL)) GROUP BY 1, 2",
     "k28_active_area": W.sql(f"SELECT area, count(*) AS notes FROM (SELECT coalesce(CASE WHEN scope = 'area' THEN rtrim(n.symbol, '/') END, nullif(regexp_extract(evidence, '^(src/[^/]+)/', 1), ''), {_FOLDER}) AS area FROM note n LEFT JOIN (SELECT name, min(file) AS file FROM sym WHERE file IS NOT NULL GROUP BY name) s ON s.name = n.symbol) WHERE area IS NOT NULL GROUP BY area"),
     "k29_todo_sync": W.sql("SELECT DISTINCT symbol, lower(trim(summary)) AS text FROM iss WHERE kind = 'open_todo' AND symbol IS NOT NULL AND (symbol, lower(trim(summary))) NOT IN (SELECT symbol, lower(trim(lesson)) FROM note WHERE source = 'todo' AND symbol IS NOT NULL AND lesson IS NOT NULL)"),
     "k31_area_once": W.sql("""
 , areas AS (SELECT DISTINCT rtrim(symbol, '/') AS area FROM note WHERE scope = 'area' AND symbol IS NOT NULL)
-SELECT source, area, min(seq) AS seq FROM runs JOIN areas ON starts_with(regexp_extract(command, '(src/[^ ]+)', 1) || '/x', area || '/') GROUP BY 1, 2"""),
-    "k32_overview": W.sql("SELECT kind, symbols, name, position FROM (SELECT kind, name, count(*) OVER (PARTITION BY kind) AS symbols, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS position FROM sym) WHERE position <= 5"),
+SELECT source, area, min(seq) AS seq FROM (SELECT seq, source, arg_max(area, length(area)) AS area FROM runs JOIN areas ON starts_with(regexp_extract(command, '(src/[^ ]+)', 1) || '/x', area || '/') GROUP BY 1, 2) GROUP BY 1, 2"""),
+    "k32_overview": W.sql("""
+, s AS (SELECT kind, id, (kind IN ('function', 'class'))::INT AS own, file, coalesce(qualified_name, name) AS n FROM sym WHERE NOT coalesce(regexp_matches(file, '[.](?:test|spec)[.]'), false))
+SELECT kind, count(*) AS symbols, NULL::VARCHAR AS id, 0 AS position FROM s GROUP BY kind UNION ALL SELECT kind, NULL, id, position FROM (SELECT kind, id, row_number() OVER (ORDER BY coalesce(own, 0) DESC, file NULLS LAST, n, id) AS position FROM s) WHERE position <= 15"""),
     "k33_attribution": W.sql("SELECT seq, symbol FROM (SELECT seq, coalesce(symbols[1], last_value(symbols[1] IGNORE NULLS) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), (SELECT arg_min(coalesce(qualified_name, name), symbol_key) FROM sym WHERE file IN (SELECT file FROM stale_entries WHERE file_changed_since))) AS symbol FROM runs) WHERE symbol IS NOT NULL"),
     "x14_prompt_context": W.sql("SELECT run_key, count(DISTINCT note_key) AS notes FROM (SELECT run_key, prompt, unnest(list_distinct(regexp_extract_all(prompt, '[a-z]+(?:[A-Z][A-Za-z0-9]*|_[a-z0-9]+)+'))) AS symbol FROM bench_runs) JOIN note USING (symbol) WHERE lesson IS NOT NULL AND NOT contains(prompt, substr(lesson, 1, 80)) GROUP BY run_key"),
     "x16_scope_classifier": W.sql(f"""

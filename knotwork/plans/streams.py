@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.patterns import pattern_matches
 from ..sources.tables import table
 from ..streaming import ops as S
 from . import warehouse as W
@@ -62,12 +63,20 @@ def r8_hard_searches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r9_session_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Checks over each user's day: an event before the purchase, no error, at most one signup, and all of them."""
-    e = table(spark, sf, "events", "user_id", "event_type", "ts").withColumn("day", F.to_date("ts"))
-    is_ = lambda t: F.col("event_type") == t
-    g = e.groupBy("user_id", "day").agg(F.min(F.when(is_("purchase"), F.col("ts"))).alias("bought"), F.min(F.when(~is_("purchase"), F.col("ts"))).alias("other"), F.sum(is_("error").cast("bigint")).alias("errors"), F.sum(is_("signup").cast("bigint")).alias("signups"))
-    prepared = F.col("bought").isNull() | F.coalesce(F.col("other") < F.col("bought"), F.lit(False))
-    return g.select("user_id", "day", prepared.alias("prepared"), (F.col("errors") == 0).alias("clean"), (F.col("signups") <= 1).alias("once")).withColumn("passed", F.col("prepared") & F.col("clean") & F.col("once"))
+    """Four checks over each session (source and day of test runs): symbols edited (failing runs) were prepared (a passing run) before, tests ran,
+    no edited symbol breaks a blocking rule that is not waived, and something was learned of an edited symbol; without edits the first, third and last hold."""
+    r = W.runs(spark, sf).select("source", F.to_date("at").alias("day"), "at", "exit", "command", "symbols")
+    tested = r.groupBy("source", "day").agg(F.max(F.col("command").rlike("(?:vitest|pytest|jest|mocha|ci-relay|nightly|gate-hook) run")).alias("tested"), F.count(F.lit(1)).alias("runs"))
+    each = r.select("source", "day", "at", "exit", F.explode("symbols").alias("symbol")).groupBy("source", "day", "symbol").agg(F.min(F.when(F.col("exit") != 0, F.col("at"))).alias("e"), F.min(F.when(F.col("exit") == 0, F.col("at"))).alias("p")).where("e IS NOT NULL")
+    waived = W.waivers(spark, sf).select(F.col("invariant").alias("name"))
+    blocking = W.rules(spark, sf).where("severity = 'block'").join(waived, "name", "left_anti").select(F.explode("applies_to").alias("pattern"))
+    broken = pattern_matches(each.select(F.col("symbol").alias("name")), blocking).select(F.col("name").alias("symbol")).distinct().withColumn("breaks", F.lit(True))
+    noted = W.note(spark, sf).select("symbol").dropna().distinct().withColumn("noted", F.lit(True))
+    s = each.join(broken, "symbol", "left").join(noted, "symbol", "left").groupBy("source", "day").agg(F.min(F.coalesce(F.col("p") <= F.col("e"), F.lit(False))).alias("prepared"), F.max(F.coalesce("breaks", F.lit(False))).alias("breaks"), F.max(F.coalesce("noted", F.lit(False))).alias("learned"))
+    a, b = tested.alias("a"), s.alias("b")
+    m = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & F.col("a.day").eqNullSafe(F.col("b.day")), "left")
+    out = m.select("a.source", "a.day", "runs", F.coalesce("prepared", F.lit(True)).alias("prepared"), F.coalesce("tested", F.lit(False)).alias("tested"), (~F.coalesce("breaks", F.lit(False))).alias("clean"), F.coalesce("learned", F.lit(True)).alias("learned"))
+    return out.withColumn("passed", F.col("prepared") & F.col("tested") & F.col("clean") & F.col("learned"))
 
 
 def r10_replay(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,9 +112,12 @@ SELECT 'shop' AS label, user_id::VARCHAR AS id, round(sum(0.3::DOUBLE * s * pow(
 FROM (SELECT user_id, CASE event_type WHEN 'purchase' THEN 1.0::DOUBLE ELSE 0.3 END AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS after FROM events WHERE event_type IN ('click', 'purchase')) GROUP BY user_id""",
     "r7_first_seen": "SELECT DISTINCT user_id, event_type FROM events",
     "r8_hard_searches": "SELECT user_id, date_trunc('month', ts)::DATE AS month, count(*) FILTER (WHERE event_type = 'view') AS views, arg_max(event_id, ts) FILTER (WHERE event_type = 'view') AS last_view, max((event_type = 'purchase')::INT) AS bought FROM events GROUP BY 1, 2 HAVING count(*) FILTER (WHERE event_type = 'view') >= 8",
-    "r9_session_audit": """
-SELECT *, prepared AND clean AND once AS passed FROM (SELECT user_id, ts::DATE AS day, min(ts) FILTER (WHERE event_type = 'purchase') IS NULL OR coalesce(min(ts) FILTER (WHERE event_type <> 'purchase') < min(ts) FILTER (WHERE event_type = 'purchase'), false) AS prepared,
-count(*) FILTER (WHERE event_type = 'error') = 0 AS clean, count(*) FILTER (WHERE event_type = 'signup') <= 1 AS once FROM events GROUP BY 1, 2)""",
+    "r9_session_audit": W.sql("""
+, s AS (SELECT source, "at"::DATE AS day, bool_or(regexp_matches(command, '(?:vitest|pytest|jest|mocha|ci-relay|nightly|gate-hook) run')) AS tested, count(*) AS runs FROM runs GROUP BY 1, 2),
+e AS (SELECT source, day, symbol, min("at") FILTER (WHERE exit <> 0) AS e, min("at") FILTER (WHERE exit = 0) AS p FROM (SELECT source, "at"::DATE AS day, "at", exit, unnest(symbols) AS symbol FROM runs) GROUP BY 1, 2, 3 HAVING min("at") FILTER (WHERE exit <> 0) IS NOT NULL),
+b AS (SELECT unnest(applies_to) AS p FROM rules WHERE severity = 'block' AND name NOT IN (SELECT invariant FROM waivers)),
+g AS (SELECT source, day, bool_and(coalesce(e.p <= e.e, false)) AS prepared, bool_or(EXISTS (SELECT 1 FROM b WHERE CASE WHEN b.p LIKE '%*' THEN starts_with(symbol, substr(b.p, 1, length(b.p) - 1)) WHEN b.p LIKE '*%' THEN suffix(symbol, substr(b.p, 2)) ELSE symbol = b.p OR suffix(symbol, '.' || b.p) OR suffix(symbol, '/' || b.p) END)) AS breaks, bool_or(symbol IN (SELECT symbol FROM note WHERE symbol IS NOT NULL)) AS learned FROM e GROUP BY 1, 2)
+SELECT s.source, s.day, runs, coalesce(prepared, true) AS prepared, coalesce(tested, false) AS tested, NOT coalesce(breaks, false) AS clean, coalesce(learned, true) AS learned, coalesce(prepared, true) AND coalesce(tested, false) AND NOT coalesce(breaks, false) AND coalesce(learned, true) AS passed FROM s LEFT JOIN g ON g.source IS NOT DISTINCT FROM s.source AND g.day IS NOT DISTINCT FROM s.day"""),
     "r10_replay": "SELECT event_id, ts, event_type FROM events ORDER BY ts, event_id LIMIT 200",
     "r12_last_surfaced": "SELECT id, max(last_surfaced_at) AS last_surfaced_at FROM notes WHERE last_surfaced_at IS NOT NULL GROUP BY id",
     "r13_index_staleness": "SELECT file, CASE WHEN indexed IS NULL THEN 'missing' ELSE 'stale' END AS state FROM (SELECT file, max(built_at) AS built FROM edges WHERE file IS NOT NULL GROUP BY file) LEFT JOIN (SELECT file, max(indexed_at) AS indexed FROM symbols WHERE file IS NOT NULL GROUP BY file) USING (file) WHERE indexed IS NULL OR built > indexed",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as X
 from ..operators.greedy import fold_repeats, star_clusters
+from ..operators.patterns import pattern_matches
 from ..operators.ranking import first_by, top_by
 from ..sources.tables import table
 from . import warehouse as W
@@ -117,10 +118,35 @@ def x11_folding(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def x13_symbol_inference(spark: SparkSession, sf: str) -> DataFrame:
-    """Symbols that bench prompts name in code style, by exact name."""
-    p = table(spark, sf, "bench_runs", "run_key", "prompt").select("run_key", F.explode(F.array_distinct(F.regexp_extract_all("prompt", F.lit("([a-z]+(?:[A-Z][A-Za-z0-9]*|_[a-z0-9]+)+)"), 1))).alias("name"))
-    s = W.sym(spark, sf).groupBy("name").agg(F.count(F.lit(1)).alias("symbols"), F.min_by("id", "symbol_key").alias("id"))
-    return p.join(s, "name").select("run_key", "name", "symbols", "id")
+    """The five symbols that each bench prompt speaks of: its identifiers and longer words against qualified name (100), name (95), last parts of the qualified name (85), beginnings of either (70, 65), and its features' symbols (90 and more) (also k23 plan).
+
+    Words are matched once for all prompts; beginnings are looked up by pattern keys.
+    """
+    t, low = F.col("prompt"), F.lower("name")
+    ticked = F.flatten(F.transform(C.found(t, C.BACKTICKED, 1), lambda x: F.split(x, "[^A-Za-z0-9_.]+")))
+    words = F.array_distinct(F.concat(ticked, *(C.found(t, p, 1) for p in C.CANDIDATES), F.filter(C.found(t, C.SNAKE, 1), lambda w: w.contains("_")), F.filter(C.found(t, C.LONG_WORD, 1), lambda w: ~w.isin(C.FILLERS))))
+    p = table(spark, sf, "bench_runs", "run_key", "prompt").where("prompt IS NOT NULL")
+    said = p.select("run_key", F.explode(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(C.NO_CANDIDATES))).alias("w")).select("run_key", F.lower("w").alias("cand"))
+    s = W.sym(spark, sf).select("id", "symbol_key", low.alias("n"), F.lower("qualified_name").alias("q"), F.coalesce("qualified_name", "name").alias("key"))
+    cands = said.select("cand").distinct()
+    tails = F.transform(F.filter(F.sequence(F.lit(1), F.length("q")), lambda i: F.substr(F.col("q"), i, F.lit(1)) == "."), lambda i: F.struct(F.lit(85).alias("score"), F.substr(F.col("q"), i + 1).alias("cand")))
+    exact = s.select("id", "symbol_key", "key", F.explode(F.concat(F.array(F.struct(F.lit(100).alias("score"), F.col("q").alias("cand")), F.struct(F.lit(95).alias("score"), F.col("n").alias("cand"))), F.coalesce(tails, F.array()))).alias("o")).select("id", "symbol_key", "key", "o.score", "o.cand")
+    begun = pattern_matches(s.select(F.col("q").alias("name")).unionByName(s.select(F.col("n").alias("name"))), cands.select(F.concat("cand", F.lit("*")).alias("pattern"))).select(F.col("name").alias("full"), F.regexp_replace("pattern", r"\*$", "").alias("cand"))
+    starts = lambda c, score: begun.join(s, F.col("full") == F.col(c)).select("id", "symbol_key", "key", F.lit(score).alias("score"), "cand")
+    ways = exact.join(cands, "cand", "left_semi").select("id", "symbol_key", "key", "score", "cand").unionByName(starts("q", 70)).unionByName(starts("n", 65))
+    best = first_by(ways, ["cand"], [F.desc("score"), "symbol_key"]).select("cand", "id", "key", "score")
+    labels = p.select("run_key", F.explode(F.array_distinct(F.split(F.lower("prompt"), "[^a-z0-9-]+"))).alias("label"))
+    heavy = top_by(W.weights(spark, sf), ["label"], [F.desc(F.round("weight", 6)), "id"], 5).select("label", F.col("id").alias("name"), F.floor(90 + F.col("weight") * 10 + 0.5).cast("int").alias("score"))
+    named = W.sym(spark, sf).groupBy("name").agg(F.min_by("id", "symbol_key").alias("id"), F.min_by(F.coalesce("qualified_name", "name"), "symbol_key").alias("key"))
+    hits = said.join(best, "cand").select("run_key", "id", "key", "score").unionByName(labels.join(heavy, "label").join(named, "name").select("run_key", "id", "key", "score"))
+    each = first_by(hits, ["run_key", "key"], [F.desc("score"), "id"])
+    return top_by(each, ["run_key"], [F.desc("score"), "id"], 5, "position").select("run_key", "id", "score", "position")
+
+
+def x15_reusable(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten symbols to reuse for each query, by name alone, with a score from 0 to 1."""
+    s = _searched(spark, sf).withColumn("score", F.round(_name_tier(F.col("q"), F.col("n"), F.col("qn")) / 100, 2)).where("score IS NOT NULL")
+    return top_by(s, ["query"], [F.desc("score"), F.length("name"), "id"], 10, "position").select("query", "id", "score", "position")
 
 
 def x17_intent(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,7 +264,7 @@ _TOP = "row_number() OVER (PARTITION BY query ORDER BY score DESC, length(name),
 _DEDUP = "QUALIFY row_number() OVER (PARTITION BY query, name, kind, file ORDER BY score DESC, length(name), file NULLS FIRST, id) = 1"
 _PEN = f"CASE WHEN regexp_matches(file, '{_TEST_PATH}') THEN 12 ELSE 0 END"
 
-QUERIES = {f.__name__: f for f in (x1_identifier_parts, x2_code_tokens, x4_search, x5_bm25, x6_recall, x8_jaccard, x9_rejected, x10_star_clusters, x11_folding, x13_symbol_inference, x17_intent, x17_sections, x18_corrections, x19_preferences, x20_directives, x21_test_corrections, x22_risk_topics, x23_redaction, x24_commit_mining, x25_failed_tests, x25_stated_counts, x26_pr_numbers, x27_target_kind)}
+QUERIES = {f.__name__: f for f in (x1_identifier_parts, x2_code_tokens, x4_search, x5_bm25, x6_recall, x8_jaccard, x9_rejected, x10_star_clusters, x11_folding, x13_symbol_inference, x15_reusable, x17_intent, x17_sections, x18_corrections, x19_preferences, x20_directives, x21_test_corrections, x22_risk_topics, x23_redaction, x24_commit_mining, x25_failed_tests, x25_stated_counts, x26_pr_numbers, x27_target_kind)}
 _TOKENS = f"list_filter(flatten(list_transform(regexp_extract_all(substr(coalesce(text, ''), 1, 4000), '[A-Za-z][A-Za-z0-9_$]*'), lambda w: {X.sql_split_identifier('w')})), lambda t: length(t) > 2 AND NOT list_contains({X.sql_list(X.CODE_STOP)}, t))"
 _TURNS = "WITH turns AS (SELECT doc_id, substr(line, 7) AS turn FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE starts_with(line, 'user: '))"
 _CLAUSES = "string_split_regex(regexp_replace(regexp_replace({t}, '([.;!?])\\s+', '\\1' || chr(10), 'g'), '\\s+—\\s+', chr(10), 'g'), '\\n+')"
@@ -270,7 +296,17 @@ SELECT query, kind, key, score, position FROM (SELECT *, base + nudge AS score,
     "x9_rejected": W.sql(f"""
 , p AS (SELECT issue_key, symbol, {X.sql_lexical('summary', X.REJECTED_STOP, 3)} AS p FROM iss WHERE kind = 'open_todo' AND symbol IS NOT NULL), d AS (SELECT note_key, symbol, {X.sql_lexical('lesson', X.REJECTED_STOP, 3)} AS d FROM note WHERE promoted AND symbol IS NOT NULL)
 SELECT * FROM (SELECT issue_key, note_key, floor(sim * 100 + 0.5) / 100 AS similarity, row_number() OVER (PARTITION BY issue_key ORDER BY floor(sim * 100 + 0.5) / 100 DESC, note_key) AS position FROM (SELECT issue_key, note_key, {X.sql_jaccard('p', 'd')} AS sim FROM p JOIN d USING (symbol)) WHERE sim >= 0.25) WHERE position <= 5"""),
-    "x13_symbol_inference": W.sql("SELECT run_key, name, symbols, id FROM (SELECT run_key, unnest(list_distinct(regexp_extract_all(prompt, '[a-z]+(?:[A-Z][A-Za-z0-9]*|_[a-z0-9]+)+'))) AS name FROM bench_runs) JOIN (SELECT name, count(*) AS symbols, arg_min(id, symbol_key) AS id FROM sym GROUP BY name) USING (name)"),
+    "x13_symbol_inference": W.sql(f"""
+, c AS (SELECT run_key, unnest(list_concat(list_concat(flatten(list_transform({C.sql_found('prompt', C.BACKTICKED, 1)}, lambda x: string_split_regex(x, '[^A-Za-z0-9_.]+'))), list_concat({C.sql_found('prompt', C.CANDIDATES[0], 1)}, list_concat({C.sql_found('prompt', C.CANDIDATES[1], 1)}, {C.sql_found('prompt', C.CANDIDATES[2], 1)}))),
+ list_concat(list_filter({C.sql_found('prompt', C.SNAKE, 1)}, lambda w: contains(w, '_')), list_filter({C.sql_found('prompt', C.LONG_WORD, 1)}, lambda w: NOT list_contains({X.sql_list(C.FILLERS)}, w))))) AS w FROM bench_runs),
+d AS (SELECT DISTINCT run_key, lower(w) AS cand FROM c WHERE length(w) >= 4 AND NOT list_contains({X.sql_list(C.NO_CANDIDATES)}, w)), u AS (SELECT DISTINCT cand FROM d),
+b AS (SELECT cand, id, coalesce(qualified_name, name) AS key, CASE WHEN lower(qualified_name) = cand THEN 100 WHEN lower(name) = cand THEN 95 WHEN suffix(lower(qualified_name), '.' || cand) THEN 85 WHEN starts_with(lower(qualified_name), cand) THEN 70 ELSE 65 END AS score
+ FROM u JOIN sym ON starts_with(lower(qualified_name), cand) OR starts_with(lower(name), cand) OR suffix(lower(qualified_name), '.' || cand) QUALIFY row_number() OVER (PARTITION BY cand ORDER BY score DESC, symbol_key) = 1),
+h AS (SELECT label, id AS name, floor(90 + weight * 10 + 0.5)::INT AS score FROM weights QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(weight, 6) DESC, id) <= 5), n AS (SELECT name, arg_min(id, symbol_key) AS id, arg_min(coalesce(qualified_name, name), symbol_key) AS key FROM sym GROUP BY name),
+a AS (SELECT run_key, id, key, score FROM d JOIN b USING (cand) UNION ALL SELECT run_key, n.id, n.key, score FROM (SELECT run_key, unnest(list_distinct(string_split_regex(lower(prompt), '[^a-z0-9-]+'))) AS label FROM bench_runs) JOIN h USING (label) JOIN n USING (name)),
+e AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY run_key, key ORDER BY score DESC, id) = 1)
+SELECT run_key, id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY run_key ORDER BY score DESC, id) AS position FROM e) WHERE position <= 5"""),
+    "x15_reusable": W.sql(_asked_sql(ASKED) + f" SELECT query, id, score, position FROM (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, length(name), id) AS position FROM (SELECT query, id, name, round({_TIER} / 100.0::DOUBLE, 2) AS score FROM sym, a) WHERE score IS NOT NULL) WHERE position <= 10"),
     "x17_intent": f"SELECT {C.sql_intent('prompt')} AS intent, count(*) AS prompts FROM bench_runs GROUP BY 1",
     "x17_sections": f"""
 SELECT intent, section, prompts FROM (SELECT {C.sql_intent('prompt')} AS intent, count(*) AS prompts FROM bench_runs GROUP BY 1), (SELECT unnest({X.sql_list(C.SECTIONS)}) AS section)

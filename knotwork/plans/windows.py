@@ -29,16 +29,16 @@ def w2_latest_decision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w3_preference_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    """The five preferences of each area by how well they fit it: part names in the text, whole repository, number of captures."""
-    i = W.inb(spark, sf).where("kind = 'preference' AND text IS NOT NULL").select("item_key", F.lower("text").alias("text"), "area", F.coalesce(F.size("risk_topics"), F.lit(0)).alias("hits"))
-    areas = W.inb(spark, sf).select("area").where("area IS NOT NULL").distinct().select(F.col("area").alias("for_area"))
-    segments = F.filter(F.split(F.lower("for_area"), r"[/\\.]"), lambda s: F.length(s) > 3)
-    names = areas.select("for_area", F.explode(F.array_distinct(segments)).alias("seg"))
-    words = i.select("item_key", "text", "area", "hits", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+"))).alias("seg"))
-    named = words.join(names, "seg").groupBy("for_area", "item_key").agg(F.count(F.lit(1)).alias("named"), F.first("hits").alias("hits"), F.max(F.col("area").isNull().cast("int")).alias("whole"))
-    score = F.col("named") + 0.5 * F.col("whole") + F.least(F.col("hits") * 0.1, F.lit(1.0))
-    ranked = named.withColumn("score", F.round(score, 6)).where("score > 0.5")
-    return top_by(ranked, ["for_area"], [F.desc("score"), "item_key"], 5, "position").select("for_area", "item_key", "score", "position")
+    """The five preferences that fit each file best: 3 where the text names a symbol of the file, 1 for each part of its path over three characters, 0.5 for the whole repository, 0.1 for each topic up to 1."""
+    i = W.inb(spark, sf).where("kind = 'preference' AND text IS NOT NULL").select("item_key", F.lower("text").alias("text"), F.col("area").isNull().alias("whole"), F.coalesce(F.size("risk_topics"), F.lit(0)).alias("hits"))
+    s = W.sym(spark, sf).where("file IS NOT NULL")
+    words = i.select("item_key", F.explode(F.array_distinct(F.split("text", "[^a-z0-9_]+"))).alias("word"))
+    by_name = words.join(s.select(F.lower("name").alias("word"), "file").distinct(), "word").groupBy("file", "item_key").agg(F.lit(3).alias("points"))
+    segments = s.select("file", F.explode(F.array_distinct(F.filter(F.split(F.lower("file"), r"[/\\.]"), lambda x: F.length(x) > 3))).alias("word")).distinct()
+    by_path = words.join(segments, "word").groupBy("file", "item_key").agg(F.count(F.lit(1)).cast("int").alias("points"))
+    points = by_name.unionByName(by_path).groupBy("file", "item_key").agg(F.sum("points").alias("points")).join(i, "item_key")
+    ranked = points.withColumn("score", F.round(F.col("points") + 0.5 * F.col("whole").cast("int") + F.least(F.col("hits") * 0.1, F.lit(1.0)), 6))
+    return top_by(ranked, ["file"], [F.desc("score"), "item_key"], 5, "position").select("file", "item_key", "score", "position")
 
 
 def w5_first_wins(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,10 +72,15 @@ def w8_budget_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w9_budget_trim(spark: SparkSession, sf: str) -> DataFrame:
-    """Issues of each symbol that fit 400 characters when the least severe are taken off the end."""
-    i = W.iss(spark, sf).where("symbol IS NOT NULL AND summary IS NOT NULL").withColumn("rank", severity_rank("severity", ISSUE_SEVERITY))
-    w = Window.partitionBy("symbol").orderBy(F.desc("rank"), "issue_key").rowsBetween(Window.unboundedPreceding, 0)
-    return i.withColumn("size", F.sum(F.length("summary")).over(w)).where("size <= 400").select("symbol", "issue_key", F.col("size").cast("bigint").alias("size"))
+    """Rows of each symbol that fit 400 characters when whole sections are trimmed from the end in a fixed order (todos first, then notes, decisions, issues): sizes are added from what is trimmed last."""
+    i = W.iss(spark, sf).where("symbol IS NOT NULL AND summary IS NOT NULL")
+    n = W.note(spark, sf).where("symbol IS NOT NULL AND lesson IS NOT NULL")
+    part = lambda d, section, o, key, text, rank: d.select("symbol", F.lit(section).alias("section"), F.lit(o).alias("o"), F.col(key).alias("key"), F.length(text).alias("n"), rank.alias("rank"))
+    rows = part(i.where("kind <> 'open_todo'"), "issues", 1, "issue_key", "summary", severity_rank("severity", ISSUE_SEVERITY)).unionByName(part(n.where("promoted"), "decisions", 2, "note_key", "lesson", severity_rank("severity")))
+    rows = rows.unionByName(part(n.where("NOT coalesce(promoted, false)"), "notes", 3, "note_key", "lesson", severity_rank("severity"))).unionByName(part(i.where("kind = 'open_todo'"), "todos", 4, "issue_key", "summary", severity_rank("severity", ISSUE_SEVERITY)))
+    first = top_by(rows, ["symbol", "section"], [F.desc("rank"), "key"], 401)  # no more rows of one character or more can fit
+    w = Window.partitionBy("symbol").orderBy("o", F.desc("rank"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    return first.withColumn("size", F.sum("n").over(w).cast("bigint")).where("size <= 400").select("symbol", "section", "key", "size")
 
 
 def w10_sequence(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,8 +180,10 @@ def u4_todo_union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def u5_out_of_scope(spark: SparkSession, sf: str) -> DataFrame:
-    """Files of stale entries that no symbol stands in."""
-    return table(spark, sf, "stale_entries", "file").dropna().distinct().join(table(spark, sf, "symbols", "file").dropna().distinct(), "file", "left_anti")
+    """Files that calls were built in lately, outside the folders that the stale entries allow."""
+    touched = table(spark, sf, "edges", "file", "built_at").where("file IS NOT NULL AND built_at >= '2026-06-01'").select("file").distinct()
+    allowed = table(spark, sf, "stale_entries", "file").dropna().distinct()
+    return touched.join(allowed, "file", "left_anti")
 
 
 def u6_prepared_not_edited(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,16 +220,21 @@ def p_since_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p_test_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Files by whether their path marks them as tests, folder of tests or ending."""
+    """Files by whether their path marks them as tests: for the ranking (folder of tests or ending), and for discovery (ending, or Python's test_ and _test names)."""
     f = table(spark, sf, "symbols", "file").dropna().distinct()
-    return f.select("file", F.col("file").rlike(r"(?i)(?:^|/)(?:tests?|__tests__|spec)/|\.(?:test|spec)\.[cm]?[jt]sx?$").alias("is_test"))
+    return f.select("file", F.col("file").rlike(r"(?i)(?:^|/)(?:tests?|__tests__|spec)/|\.(?:test|spec)\.[cm]?[jt]sx?$").alias("is_test"), F.col("file").rlike(r"\.(?:test|spec)\.[jt]sx?$|(?:^|/)test_[^/]+\.py$|_test\.py$").alias("is_discovered"))
 
 
 def p_alias_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Inbox items that name a feature as a word of its own, bounded by anything but letters, figures and hyphens."""
-    labels = W.runs(spark, sf).select(F.lower("feature").alias("label")).dropna().distinct()
-    words = W.inb(spark, sf).select("item_key", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9-]+"))).alias("label"))
-    return words.join(labels, "label", "left_semi").select("item_key", "label")
+    """Inbox items that name a feature, or an alias of several words, bounded by anything but letters, figures and hyphens. Aliases are the areas with blanks for their slashes.
+
+    An item offers its runs of words, of as many words as aliases have (one row of distinct numbers), as keys.
+    """
+    labels = W.runs(spark, sf).select(F.lower("feature").alias("label")).unionByName(W.inb(spark, sf).select(F.replace(F.lower("area"), F.lit("/"), F.lit(" ")).alias("label"))).dropna().distinct()
+    lengths = labels.agg(F.collect_set(F.size(F.split("label", " "))).alias("ns"))  # one row
+    words = W.inb(spark, sf).where("text IS NOT NULL").select("item_key", F.filter(F.split(F.lower("text"), "[^a-z0-9-]+"), lambda w: w != "").alias("w")).where(F.size("w") > 0).join(F.broadcast(lengths))
+    runs = F.flatten(F.transform("ns", lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, n), " "))))
+    return words.select("item_key", F.explode(F.array_distinct(runs)).alias("label")).join(labels, "label", "left_semi").select("item_key", "label")
 
 
 _NS = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
@@ -233,10 +245,10 @@ SQL = {
     "w1_note_ranking": W.sql(f"SELECT * FROM (SELECT symbol, note_key, row_number() OVER (PARTITION BY symbol ORDER BY {_NS} DESC, recorded_at DESC NULLS LAST, note_key) AS position FROM note WHERE symbol IS NOT NULL AND NOT coalesce(promoted, false)) WHERE position <= 10"),
     "w2_latest_decision": W.sql("SELECT symbol, note_key FROM note WHERE symbol IS NOT NULL AND promoted QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY recorded_at DESC NULLS LAST, note_key) = 1"),
     "w3_preference_ranking": W.sql("""
-, i AS (SELECT item_key, lower(text) AS text, area, coalesce(len(risk_topics), 0) AS hits FROM inb WHERE kind = 'preference' AND text IS NOT NULL),
-n AS (SELECT DISTINCT area AS for_area, unnest(list_filter(string_split_regex(lower(area), '[/\\\\.]'), lambda s: length(s) > 3)) AS seg FROM inb WHERE area IS NOT NULL),
-g AS (SELECT for_area, item_key, round(count(*) + 0.5::DOUBLE * max((area IS NULL)::INT) + least(max(hits) * 0.1::DOUBLE, 1.0), 6) AS score FROM i JOIN n ON list_contains(string_split_regex(i.text, '[^a-z0-9]+'), seg) GROUP BY 1, 2)
-SELECT * FROM (SELECT for_area, item_key, score, row_number() OVER (PARTITION BY for_area ORDER BY score DESC, item_key) AS position FROM g WHERE score > 0.5) WHERE position <= 5"""),
+, i AS (SELECT item_key, lower(text) AS text, area IS NULL AS whole, coalesce(len(risk_topics), 0) AS hits FROM inb WHERE kind = 'preference' AND text IS NOT NULL), wd AS (SELECT item_key, unnest(list_distinct(string_split_regex(text, '[^a-z0-9_]+'))) AS word FROM i),
+p AS (SELECT DISTINCT file, item_key, 3 AS n FROM wd JOIN sym ON lower(name) = word WHERE file IS NOT NULL UNION ALL SELECT file, item_key, count(*) FROM wd JOIN (SELECT DISTINCT file, unnest(list_filter(string_split_regex(lower(file), '[/\\\\.]'), lambda x: length(x) > 3)) AS seg FROM sym WHERE file IS NOT NULL) ON seg = word GROUP BY 1, 2),
+g AS (SELECT file, item_key, round(sum(n) + 0.5::DOUBLE * max(whole::INT) + least(max(hits) * 0.1::DOUBLE, 1.0), 6) AS score FROM p JOIN i USING (item_key) GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, item_key) AS position FROM g) WHERE position <= 5"""),
     "w5_first_wins": "SELECT symbol_key, name FROM symbols QUALIFY row_number() OVER (PARTITION BY name, kind, file ORDER BY symbol_key) = 1",
     "w6_ewma": W.sql("""
 SELECT label, id, round(sum(0.3::DOUBLE * CASE action WHEN 'edit' THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END * pow(0.7::DOUBLE, after)), 6) AS weight, count(*) AS touches FROM (SELECT *, row_number() OVER (PARTITION BY label, id ORDER BY ts DESC, seq DESC) - 1 AS after FROM touches) GROUP BY 1, 2"""),
@@ -244,7 +256,10 @@ SELECT label, id, round(sum(0.3::DOUBLE * CASE action WHEN 'edit' THEN 1.0::DOUB
 WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
 h AS (SELECT doc_id, last_value(CASE WHEN regexp_matches(line, '^#+ ') THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM l)
 SELECT doc_id, heading, count(*) AS lines FROM h WHERE heading IS NOT NULL GROUP BY 1, 2""",
-    "w9_budget_trim": W.sql(f"SELECT * FROM (SELECT symbol, issue_key, (sum(length(summary)) OVER (PARTITION BY symbol ORDER BY {_IS} DESC, issue_key ROWS UNBOUNDED PRECEDING))::BIGINT AS size FROM iss WHERE symbol IS NOT NULL AND summary IS NOT NULL) WHERE size <= 400"),
+    "w9_budget_trim": W.sql(f"""
+, r AS (SELECT symbol, CASE kind WHEN 'open_todo' THEN 'todos' ELSE 'issues' END AS section, CASE kind WHEN 'open_todo' THEN 4 ELSE 1 END AS o, issue_key AS key, length(summary) AS n, {_IS} AS rank FROM iss WHERE symbol IS NOT NULL AND summary IS NOT NULL UNION ALL SELECT symbol, CASE WHEN promoted THEN 'decisions' ELSE 'notes' END, CASE WHEN promoted THEN 2 ELSE 3 END, note_key, length(lesson), {_NS} FROM note WHERE symbol IS NOT NULL AND lesson IS NOT NULL),
+q AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY symbol, section ORDER BY rank DESC, key) <= 401)
+SELECT * FROM (SELECT symbol, section, key, (sum(n) OVER (PARTITION BY symbol ORDER BY o, rank DESC, key ROWS UNBOUNDED PRECEDING))::BIGINT AS size FROM q) WHERE size <= 400"""),
     "w10_sequence": W.sql("SELECT seq, source, row_number() OVER (PARTITION BY source ORDER BY ingested_at NULLS FIRST, seq) AS number FROM runs"),
     "w11_per_file_cap": "SELECT file, entry_key FROM stale_entries WHERE file IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file ORDER BY age_days DESC NULLS LAST, entry_key) <= 2",
     "w12_order_preserving": W.sql(f"SELECT issue_key, row_number() OVER (PARTITION BY symbol ORDER BY {_IS} DESC, k, issue_key) AS position FROM (SELECT *, min(issue_key) OVER (PARTITION BY symbol, kind) AS k FROM iss WHERE symbol IS NOT NULL)"),
@@ -261,13 +276,15 @@ SELECT * FROM (SELECT CASE kind WHEN 'promotion_candidate' THEN 1 ELSE 3 END AS
     "u2_memory_union": W.sql("SELECT kind, count(*) AS items, count(anchor) AS anchored, count(DISTINCT text) AS texts FROM (SELECT 'note' AS kind, lesson AS text, symbol AS anchor FROM note UNION ALL SELECT kind, text, area FROM inb UNION ALL SELECT kind, summary, symbol FROM iss UNION ALL SELECT 'stale_' || kind, text, symbol FROM stale_entries) GROUP BY kind"),
     "u3_file_union": "SELECT file FROM symbols WHERE file IS NOT NULL UNION SELECT file FROM edges WHERE file IS NOT NULL UNION SELECT file FROM stale_entries WHERE file IS NOT NULL",
     "u4_todo_union": W.sql("SELECT origin, key FROM (SELECT symbol, lower(trim(summary)) AS text, 1 AS origin, issue_key AS key FROM iss WHERE kind = 'open_todo' UNION ALL SELECT symbol, lower(trim(lesson)), 2, note_key FROM note WHERE source = 'todo') QUALIFY row_number() OVER (PARTITION BY symbol, text ORDER BY origin, key) = 1"),
-    "u5_out_of_scope": "SELECT DISTINCT file FROM stale_entries WHERE file IS NOT NULL AND file NOT IN (SELECT file FROM symbols WHERE file IS NOT NULL)",
+    "u5_out_of_scope": "SELECT DISTINCT file FROM edges WHERE file IS NOT NULL AND built_at >= TIMESTAMP '2026-06-01' AND file NOT IN (SELECT file FROM stale_entries WHERE file IS NOT NULL)",
     "u6_prepared_not_edited": W.sql("SELECT DISTINCT s AS symbol FROM (SELECT unnest(symbols) AS s, exit FROM runs) WHERE exit = 0 AND s NOT IN (SELECT unnest(symbols) FROM runs WHERE exit <> 0)"),
     "u7_replica_merge": "SELECT id, min(note_key) AS note_key, max(ingested_at) AS ingested_at, count(*) AS deliveries FROM notes GROUP BY id",
     "u9_vanished_todos": W.sql("SELECT note_key FROM note WHERE source = 'todo' AND symbol IS NOT NULL AND symbol NOT IN (SELECT symbol FROM iss WHERE kind = 'open_todo' AND symbol IS NOT NULL)"),
     "s6_keyed_read": "SELECT note_key, nullif(trim(symbol), '') AS symbol FROM notes WHERE scope = 'symbol' AND severity = 'high'",
     "p_expiry_filter": "SELECT note_key FROM notes WHERE coalesce(try_cast(expires_at AS TIMESTAMP) >= TIMESTAMP '2026-07-01', true)",
     "p_since_filter": "SELECT note_key FROM notes WHERE recorded_at >= TIMESTAMP '2026-05-01'",
-    "p_alias_match": W.sql("SELECT item_key, label FROM (SELECT item_key, unnest(list_distinct(string_split_regex(lower(text), '[^a-z0-9-]+'))) AS label FROM inb) WHERE label IN (SELECT lower(feature) FROM runs WHERE feature IS NOT NULL)"),
-    "p_test_files": r"SELECT DISTINCT file, regexp_matches(file, '(?i)(?:^|/)(?:tests?|__tests__|spec)/|\.(?:test|spec)\.[cm]?[jt]sx?$') AS is_test FROM symbols WHERE file IS NOT NULL",
+    "p_alias_match": W.sql("""
+, l AS (SELECT DISTINCT lower(feature) AS label FROM runs WHERE feature IS NOT NULL UNION SELECT replace(lower(area), '/', ' ') FROM inb WHERE area IS NOT NULL), t AS (SELECT item_key, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9-]+'), lambda w: w <> ''), ' ') || ' ' AS t FROM inb WHERE text IS NOT NULL)
+SELECT item_key, label FROM t JOIN l ON contains(t, ' ' || label || ' ')"""),
+    "p_test_files": r"SELECT DISTINCT file, regexp_matches(file, '(?i)(?:^|/)(?:tests?|__tests__|spec)/|\.(?:test|spec)\.[cm]?[jt]sx?$') AS is_test, regexp_matches(file, '\.(?:test|spec)\.[jt]sx?$|(?:^|/)test_[^/]+\.py$|_test\.py$') AS is_discovered FROM symbols WHERE file IS NOT NULL",
 }

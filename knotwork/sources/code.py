@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Folders that a scan passes over.
@@ -40,6 +40,58 @@ def line_symbols(lines: DataFrame) -> DataFrame:
     return d.select(*(c for c in lines.columns if c != "content"), F.regexp_extract("content", _DEF, 2).alias("kind"), F.regexp_extract("content", _DEF, 3).alias("name"), F.length(F.regexp_extract("content", _DEF, 1)).alias("indent"))
 
 
+# Definitions by language, each with the kind of symbol that it makes; the first group is the name.
+_MODS = r"(?:public\s+|private\s+|protected\s+|static\s+|final\s+|synchronized\s+|abstract\s+)"
+_CS = r"(?:public\s+|private\s+|internal\s+|protected\s+|static\s+|virtual\s+|override\s+|abstract\s+|async\s+|sealed\s+)"
+PATTERNS = {
+    "ts": [
+        ("function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)"), ("function", r"^\s*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\("), ("class", r"^\s*(?:export\s+(?:default\s+)?)?class\s+([A-Za-z_$][\w$]*)"),
+        ("type", r"^\s*(?:export\s+)?(?:type|interface)\s+([A-Za-z_$][\w$]*)"), ("method", r"^\s*(?:public\s+|private\s+|protected\s+|static\s+)*(?:async\s+)?([A-Za-z_$][\w$]*)\s*\([^)]*\)\s*[:{]"),
+    ],
+    "py": [("function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)"), ("class", r"^\s*class\s+([A-Za-z_]\w*)")],
+    "go": [("function", r"^\s*func\s+(?:\([^)]*\)\s+)?([A-Za-z_]\w*)\s*\("), ("type", r"^\s*type\s+([A-Za-z_]\w*)\s+(?:struct|interface|=)")],
+    "rs": [("function", r"^(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)"), ("type", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|type)\s+([A-Za-z_]\w*)"), ("method", r"^\s+(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)")],
+    "java": [
+        ("class", r"^\s*(?:public\s+|private\s+|protected\s+|abstract\s+|final\s+|static\s+)*class\s+([A-Za-z_]\w*)"), ("type", r"^\s*(?:public\s+|private\s+|protected\s+)*(?:interface|enum|@interface)\s+([A-Za-z_]\w*)"),
+        ("method", r"^\s+" + _MODS + r"+(?:[A-Za-z_<>,\s\[\]?]+\s+)?([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:throws[^{]+)?\{"),
+    ],
+    "rb": [("function", r"^\s*def\s+(?:self\.)?([A-Za-z_][\w!?=]*)"), ("class", r"^\s*class\s+([A-Z]\w*)"), ("module", r"^\s*module\s+([A-Z]\w*)")],
+    "cs": [
+        ("class", r"^\s*(?:public\s+|private\s+|internal\s+|protected\s+|abstract\s+|sealed\s+|static\s+|partial\s+)*class\s+([A-Za-z_]\w*)"), ("type", r"^\s*(?:public\s+|private\s+|internal\s+|protected\s+)*(?:interface|struct|enum|record)\s+([A-Za-z_]\w*)"),
+        ("method", r"^\s+" + _CS + r"+(?:[A-Za-z_<>,\s\[\]?]+\s+)?([A-Za-z_]\w*)\s*\([^)]*\)\s*(?:where[^{]+)?\{"),
+    ],
+}
+PATTERNS |= {"tsx": PATTERNS["ts"], "js": PATTERNS["ts"], "jsx": PATTERNS["ts"]}
+# Words that are no names of symbols.
+NO_NAMES = (
+    "if for while switch case return throw catch typeof new await yield import export function class def do else try finally with in is not and or print len str int float list dict set tuple range "
+    "True False None console require Error Promise Array Object Map Set JSON Math Date Number Boolean String Symbol RegExp"
+).split()
+
+
+def pattern_symbols(lines: DataFrame, unit: list[str]) -> DataFrame:
+    """Definitions by the patterns of each line's `lang`: kind, name, container and qualified name, with the other columns of `lines` (lang, line, content).
+
+    The container of a method is the nearest class above it in its `unit` (the columns of a file or block) that is indented less. Lines of other
+    languages, and names that are key words, give nothing; a line may define more than one thing.
+    """
+    other = [c for c in lines.columns if c != "content"]
+    made = []
+    for lang, patterns in PATTERNS.items():
+        for kind, rx in patterns:
+            name = F.regexp_extract("content", rx, 1)
+            fits = (F.col("lang") == lang) & (name != "") & ~name.isin(NO_NAMES)
+            if kind == "method":
+                fits = fits & ~F.col("content").rlike(r"^\s*(?:export\s+)?(?:async\s+)?function(?:\s|$)") & ~F.col("content").rlike(r"^\s*(?:export\s+)?const\s")
+            made.append(F.when(fits, F.struct(F.lit(kind).alias("kind"), name.alias("name"))))
+    indent = F.length(F.regexp_extract("content", r"^(\s*)", 1))
+    s = lines.select(*other, indent.alias("indent"), F.explode(F.array_distinct(F.array_compact(F.array(*made)))).alias("d")).select(*other, "indent", "d.kind", "d.name")
+    above = F.collect_list(F.when(F.col("kind") == "class", F.struct("line", "indent", "name"))).over(Window.partitionBy(*unit).orderBy("line").rangeBetween(Window.unboundedPreceding, -1))
+    held = F.try_element_at(F.filter(above, lambda c: c["indent"] < F.col("indent")), F.lit(-1))["name"]
+    s = s.withColumn("container", F.when(F.col("kind") == "method", held))
+    return s.select(*other, "kind", "name", "container", F.concat_ws(".", "container", "name").alias("qualified_name"))
+
+
 def line_calls(lines: DataFrame) -> DataFrame:
     """Calls by pattern, without definitions."""
     calls = F.regexp_extract_all("content", F.lit(_CALL), F.lit(1))

@@ -17,18 +17,29 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where(F.col("_bad").isNull()).drop("_bad")
 
 
+def json_records(lines: DataFrame, line: str, schema: str) -> DataFrame:
+    """Records of the JSON text in `line`; lines that cannot be read, and nulls, are left out."""
+    read = F.from_json(F.col(line), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.select(read.alias("r")).where("r IS NOT NULL AND r._bad IS NULL").select("r.*").drop("_bad")
+
+
 def tail(df: DataFrame, n: int, order: str = "seq") -> DataFrame:
     """The last `n` records by their own sequence, as files have no order."""
     return df.orderBy(F.desc(order)).limit(n)
 
 
+def events_of(df: DataFrame, text: str, schema: str) -> DataFrame:
+    """Events of documents that are an array, or an object with an array in `events`, with the other columns."""
+    value = F.trim(text)
+    bare = F.from_json(F.when(value.startswith("["), value), f"array<struct<{schema}>>")
+    wrapped = F.from_json(F.when(value.startswith("{"), value), f"events array<struct<{schema}>>")["events"]
+    return df.select(*(c for c in df.columns if c != text), F.inline(F.coalesce(bare, wrapped)))
+
+
 def events_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Events of documents that are an array, or an object with an array in `events`."""
     text = spark.read.text(path, wholetext=True)
-    value = F.trim("value")
-    bare = F.from_json(F.when(value.startswith("["), value), f"array<struct<{schema}>>")
-    wrapped = F.from_json(F.when(value.startswith("{"), value), f"events array<struct<{schema}>>")["events"]
-    return text.select(F.inline(F.coalesce(bare, wrapped)))
+    return events_of(text, "value", schema)
 
 
 _BLOCK = r"(?s)<!-- lessons:begin -->\n(.*?)<!-- lessons:end -->"

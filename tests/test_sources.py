@@ -93,3 +93,27 @@ def test_long_diff_lines_are_whole(spark):
     name, line = "d/" * 2500 + "x.ts", "y" * 9000
     df = spark.createDataFrame([("d", f"--- a/{name}\n+++ b/{name}\n@@ -1,0 +1,1 @@\n+{line}")], "key string, diff string")
     assert [(r.file, r.content) for r in diffs.diff_lines(df, "key").collect()] == [(name, line)]
+
+
+def test_pattern_symbols_and_containers(spark, rows):
+    from knotwork.sources.code import numbered_lines, pattern_symbols
+
+    ts = "export class Ledger {\n  async settle(row: Row): void {\n  }\n  if (x) {\n}\nexport const fold = async (a) => a\nfunction trim(a) {}\nexport interface Row {}\nclass Other {\n  get() {\n"
+    go, rs, java = "func (l *Ledger) Settle(x int) {\ntype Row struct {\n", "pub fn fold() {}\nimpl X {\n    pub async fn settle() {}\n}\npub(crate) struct Row;\n", "public final class Ledger {\n    public static int fold(int a) throws IOException {\n    enum Kind {\n"
+    rb, cs, py = "module Money\n  class Ledger\n    def self.settle!(x)\n", "internal sealed class Ledger\n{\n    public async Task<int> Fold(int a) {\n    record Row\n", "class A:\n    def b(self):\n"
+    df = spark.createDataFrame(list(enumerate([("ts", ts), ("go", go), ("rs", rs), ("java", java), ("rb", rb), ("cs", cs), ("py", py), ("txt", ts)])), "doc_id int, x struct<lang: string, code: string>").select("doc_id", "x.*")
+    got = rows(pattern_symbols(numbered_lines(df), ["doc_id"]), "doc_id", "line", "kind", "qualified_name")
+    assert got == [
+        (0, 1, "class", "Ledger"), (0, 2, "method", "Ledger.settle"), (0, 6, "function", "fold"), (0, 7, "function", "trim"), (0, 8, "type", "Row"), (0, 9, "class", "Other"), (0, 10, "method", "Other.get"),
+        (1, 1, "function", "Settle"), (1, 2, "type", "Row"), (2, 1, "function", "fold"), (2, 3, "method", "settle"), (2, 5, "type", "Row"), (3, 1, "class", "Ledger"), (3, 2, "method", "Ledger.fold"), (3, 3, "type", "Kind"),
+        (4, 1, "module", "Money"), (4, 2, "class", "Ledger"), (4, 3, "function", "settle!"), (5, 1, "class", "Ledger"), (5, 3, "method", "Ledger.Fold"), (5, 4, "type", "Row"), (6, 1, "class", "A"), (6, 2, "function", "b"),
+    ]
+
+
+def test_settings(spark, rows):
+    from knotwork.sources.config import DEFAULTS, settings
+
+    df = spark.createDataFrame([(1, "depth: 4 # deep\nstrands: ['tests', a]\nodd: x\nlanguages:\n- go\n- rust\n", "c"), (2, "", "c")], "k int, text string, option string")
+    got = {(k, o): v for k, o, v in rows(settings(df, "k", "text"))}
+    assert got[1, "depth"] == "4" and got[1, "strands"] == "tests,a" and got[1, "languages"] == "go,rust" and got[1, "capture"] == "auto"
+    assert {o: v for (k, o), v in got.items() if k == 2} == DEFAULTS and len(got) == 2 * len(DEFAULTS)
