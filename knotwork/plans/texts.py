@@ -314,17 +314,17 @@ WHERE NOT ({" OR ".join(f"intent = '{k}' AND section IN ({', '.join(map(repr, v)
     "x18_corrections": W.sql(f"SELECT coalesce(k[1], 'general') AS kind, len(k)::INT AS signals, CASE WHEN list_has_any(k, {X.sql_list(list(C.SEVERE))}) THEN 'high' ELSE 'medium' END AS severity, count(*) AS notes FROM (SELECT {C.sql_corrections("coalesce(lesson, '')")} AS k FROM note) GROUP BY 1, 2, 3"),
     "x19_preferences": _TURNS + f"""
 , c AS (SELECT doc_id, trim(unnest({_CLAUSES.format(t='turn')})) AS clause FROM turns),
-k AS (SELECT doc_id, trim(regexp_replace(trim(regexp_replace({C.sql_cue('clause')}, '^[,:\s]+', '')), '[.!?]+$', '')) AS rule FROM c WHERE length(clause) BETWEEN 1 AND 239 AND NOT {C.sql_has('clause', *C.TRANSIENT)} AND NOT suffix(clause, '?'))
-SELECT rule, count(DISTINCT doc_id) AS documents FROM k WHERE len(list_filter(string_split_regex(rule, '\s+'), lambda w: length(w) > 2)) >= 3 AND length(rule) <= 200 GROUP BY rule""",
+k AS (SELECT doc_id, trim(regexp_replace(trim(regexp_replace({C.sql_cue('clause')}, '^[,:\\s]+', '')), '[.!?]+$', '')) AS rule FROM c WHERE length(clause) BETWEEN 1 AND 239 AND NOT {C.sql_has('clause', *C.TRANSIENT)} AND NOT suffix(clause, '?'))
+SELECT rule, count(DISTINCT doc_id) AS documents FROM k WHERE len(list_filter(string_split_regex(rule, '\\s+'), lambda w: length(w) > 2)) >= 3 AND length(rule) <= 200 GROUP BY rule""",
     "x20_directives": W.sql(_TURNS.replace("WITH turns", ", turns") + f"""
 , c AS (SELECT origin, trim(unnest({_CLAUSES.format(t='text')})) AS clause FROM (SELECT 'turn' AS origin, turn AS text FROM turns UNION ALL SELECT 'lesson', lesson FROM note WHERE lesson IS NOT NULL)),
 d AS (SELECT origin, NULL::VARCHAR AS stored, clause AS t FROM c WHERE length(clause) BETWEEN 1 AND 280 AND NOT {C.sql_has('clause', *C.DIRECTIVE_TRANSIENT)} AND {C.sql_has('clause', C.POSITIONAL)} AND {C.sql_has('clause', C.POLICY)} UNION ALL SELECT 'inbox', polarity, text FROM inb WHERE kind = 'directive' AND text IS NOT NULL)
 SELECT origin, stored, CASE WHEN {C.sql_has('t', C.NEGATIVE)} THEN 'dont' ELSE 'do' END AS read, count(*) AS items FROM d GROUP BY 1, 2, 3"""),
-    "x21_test_corrections": _TURNS + f" SELECT DISTINCT doc_id, substr(regexp_replace(trim(turn), '\s+', ' ', 'g'), 1, 180) AS evidence FROM turns WHERE {C.sql_has('turn', C.TEST_CORRECTION)}",
+    "x21_test_corrections": _TURNS + f" SELECT DISTINCT doc_id, substr(regexp_replace(trim(turn), '\\s+', ' ', 'g'), 1, 180) AS evidence FROM turns WHERE {C.sql_has('turn', C.TEST_CORRECTION)}",
     "x27_target_kind": W.sql("""
 , r AS (SELECT 'symbol' AS field, symbol AS ref FROM note UNION ALL SELECT 'source_commit', source_commit FROM note UNION ALL SELECT 'evidence', evidence FROM note UNION ALL SELECT 'file', file FROM stale_entries),
 v AS (SELECT field, trim(regexp_replace(coalesce(ref, ''), '^(?:PR #|commit )', '')) AS v FROM r)
-SELECT field, CASE WHEN v = '' THEN 'diff' WHEN regexp_matches(v, '^\d+$') THEN 'pr' WHEN regexp_matches(v, '^HEAD\b') OR regexp_matches(v, '[~^]') OR contains(v, '..') OR regexp_matches(v, '(?i)^[0-9a-f]{7,40}$') THEN 'commit' WHEN contains(v, '/') OR regexp_matches(v, '(?i)\.[a-z0-9]+$') THEN 'file' ELSE 'symbol' END AS kind, count(*) AS refs FROM v GROUP BY 1, 2"""),
+SELECT field, CASE WHEN v = '' THEN 'diff' WHEN regexp_matches(v, '^\\d+$') THEN 'pr' WHEN regexp_matches(v, '^HEAD\\b') OR regexp_matches(v, '[~^]') OR contains(v, '..') OR regexp_matches(v, '(?i)^[0-9a-f]{7,40}$') THEN 'commit' WHEN contains(v, '/') OR regexp_matches(v, '(?i)\\.[a-z0-9]+$') THEN 'file' ELSE 'symbol' END AS kind, count(*) AS refs FROM v GROUP BY 1, 2"""),
     "x22_risk_topics": W.sql(f"SELECT topic, count(*) AS items FROM (SELECT unnest({C.sql_topics('text')}) AS topic FROM inb) GROUP BY topic"),
     "x23_redaction": C.sql_redacted("redact_results", "result_key", "text"),
     "x24_commit_mining": W.sql(f"""
