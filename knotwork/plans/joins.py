@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.keys import fingerprint
 from ..operators.intervals import folders_above, overlaps
 from ..operators.patterns import pattern_matches
 from ..operators.sequences import carried
 from ..operators.ranking import first_by, top_by
+from ..operators.similar import similar_sets
 from ..session import cut
 from ..sources.tables import table
 from . import warehouse as W
@@ -189,46 +191,31 @@ def j22_inbox_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return first_by(met, ["item_key"], [F.col("exact").desc(), F.col("score").desc(), "other"]).select("item_key", "other", "score", F.when(F.col("exact") == 1, "exact").otherwise("near").alias("match"))
 
 
-def _met(left: DataFrame, right: DataFrame, least: float, block: int = 500) -> DataFrame:
-    """Pairs (a, b, score) of rows (id, keys, t) of both sides with equal keys and a Jaccard of `least` or more.
-
-    Every pair is compared: the rows of a key are dealt to blocks by their id, and each block of one side meets each of the other
-    under a key of its own, so that a hot key is spread over as many tasks as it has pairs of blocks.
-    """
-
-    def dealt(rows: DataFrame, other: DataFrame, own: str, far: str) -> DataFrame:
-        sizes = [d.groupBy("keys").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n)) for d, n in ((rows, own), (other, far))]
-        return rows.join(sizes[0].join(sizes[1], "keys"), "keys").withColumns({own: F.pmod(F.xxhash64("id"), F.col(own)).cast("int"), far: F.explode(F.sequence(F.lit(0), F.col(far) - 1))})
-
-    a = dealt(left, right, "i", "j").select("keys", "i", "j", F.col("id").alias("a"), F.col("t").alias("u"))
-    b = dealt(right, left, "j", "i").select("keys", "i", "j", F.col("id").alias("b"), F.col("t").alias("v"))
-    sizes = F.least(F.size("u"), F.size("v")) >= (least - 1e-9) * F.greatest(F.size("u"), F.size("v"))
-    return a.join(b, ["keys", "i", "j"]).where(sizes).withColumn("score", X.jaccard(F.col("u"), F.col("v"))).select("a", "b", "score").where(F.col("score") >= least)
-
-
 def j21_all_similar_notes(spark: SparkSession, sf: str) -> DataFrame:
     """For every note of a symbol: how many other notes of it have a lesson of Jaccard 0.4 or more; 0 where none has. Equal lessons are compared once."""
-    n = W.note(spark, sf).where("symbol IS NOT NULL").select("note_key", "symbol", F.array_sort(X.lexical_tokens(F.col("lesson"))).alias("t"))
+    n = W.note(spark, sf).where("symbol IS NOT NULL").select("note_key", "symbol", F.array_join(F.array_sort(X.lexical_tokens(F.col("lesson"))), " ").alias("t"))
     groups = cut(n.groupBy("symbol", "t").agg(F.count(F.lit(1)).alias("n"), F.min("note_key").alias("id")))
-    sets = groups.where(F.size("t") > 0).select(F.col("symbol").alias("keys"), "t", "id", "n")
-    met = _met(sets, sets, 0.4).where("a <> b").join(sets.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
-    counts = groups.join(met, "id", "left").select(F.col("symbol").alias("s"), F.col("t").alias("u"), (F.coalesce("others", F.lit(0)) + F.when(F.size("t") > 0, F.col("n") - 1).otherwise(0)).alias("similar"))
-    return n.join(counts, (F.col("symbol") == F.col("s")) & (F.col("t") == F.col("u"))).select("note_key", "similar")
+    sets = groups.where("t <> ''").select(F.col("symbol").alias("keys"), "t", "id", "n")
+    met = similar_sets(sets, sets, 0.4).select(F.col("a").alias("id"), "others")
+    one, two = (c.alias(name) for c, name in zip(fingerprint("t"), ("t1", "t2")))
+    counts = groups.select("id", "symbol", one, two).join(met.hint("merge"), "id", "left").select("symbol", "t1", "t2", (F.coalesce("others", F.lit(1)) - 1).alias("similar"))
+    return n.select("note_key", "symbol", one, two).join(counts.hint("merge"), ["symbol", "t1", "t2"]).select("note_key", "similar")
 
 
 def j22_all_inbox_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """For every pending item the approved item of its kind and area it repeats: the same text, else the first of highest Jaccard of 0.7 or more. Equal texts are compared once."""
-    i = W.inb(spark, sf).where("status IN ('pending', 'approved') AND kind IS NOT NULL").select("item_key", F.to_json(F.struct("kind", "area")).alias("keys"), "status", F.lower(F.trim("text")).alias("plain"), F.array_sort(X.lexical_tokens(F.col("text"))).alias("t"))
-    i = cut(i)
+    one, two = (F.when(F.col("text").isNotNull(), c).alias(name) for c, name in zip(fingerprint(F.lower(F.trim("text"))), ("p1", "p2")))
+    i = W.inb(spark, sf).where("status IN ('pending', 'approved') AND kind IS NOT NULL")
+    i = cut(i.select("item_key", F.to_json(F.struct("kind", "area")).alias("keys"), "status", one, two, F.array_join(F.array_sort(X.lexical_tokens(F.col("text"))), " ").alias("t")))
     had = i.where("status = 'approved'")
-    first = had.groupBy("keys", "plain").agg(F.min("item_key").alias("other"))
-    asked = i.where("status = 'pending'").join(first, ["keys", "plain"], "left")
+    first = had.groupBy("keys", "p1", "p2").agg(F.min("item_key").alias("other"))
+    asked = i.where("status = 'pending'").join(first.hint("merge"), ["keys", "p1", "p2"], "left").select("item_key", "keys", "t", "other")
     exact = asked.where("other IS NOT NULL").select("item_key", "other", F.lit(1.0).alias("score"), F.lit("exact").alias("match"))
     rest = asked.where("other IS NULL").drop("other")
-    sets = lambda d: d.where(F.size("t") > 0).groupBy("keys", "t").agg(F.min("item_key").alias("id"))
-    met = _met(sets(rest), sets(had), 0.7).select(F.col("a").alias("id"), F.col("b").alias("other"), F.round("score", 6).alias("score"))
-    best = first_by(met, ["id"], [F.col("score").desc(), "other"]).select("id", "other", "score")
-    near = sets(rest).join(best, "id").join(rest.select("item_key", "keys", "t"), ["keys", "t"]).select("item_key", "other", "score", F.lit("near").alias("match"))
+    sets = lambda d: cut(d.where("t <> ''").groupBy("keys", "t").agg(F.min("item_key").alias("id"), F.count(F.lit(1)).alias("n")))
+    own = sets(rest)
+    best = similar_sets(own, sets(had), 0.7, best=True).select(F.col("a").alias("id"), "other", F.round(F.col("common") / F.col("every"), 6).alias("score"))
+    near = own.select("id", "keys", "t").join(best.hint("merge"), "id").hint("merge").join(rest, ["keys", "t"]).select("item_key", "other", "score", F.lit("near").alias("match"))
     return exact.unionByName(near)
 
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from knotwork.functions import classify, stats
 from knotwork.functions import text as X
 from knotwork.functions.keys import staged, trimmed
+from knotwork.operators import similar
 from knotwork.operators.budget import pack, pack_groups, tokens
 from knotwork.operators.graph import closure, degrees
 from knotwork.operators.greedy import fold_repeats, star_clusters
@@ -218,3 +220,39 @@ def test_folded_weights_out_of_order(spark, tmp_path):
     for *_, signal in rows:
         weight = 0.3 * signal + 0.7 * weight
     assert got.touches == 300 and abs(got.weight - weight) < 1e-12
+
+
+@pytest.mark.parametrize("block", [64, 16_384])
+def test_similar_sets_by_blocks_equals_brute_force(spark, monkeypatch, block):
+    """A hot key of several blocks, small keys, words common and rare, and a score at the threshold; no side goes to the driver."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    r = random.Random(7)
+    common, rare = [f"w{k}" for k in range(12)], [f"r{k}" for k in range(900)]
+
+    def sets(n, at):
+        return [(at + k, "hot" if k % 5 else f"k{k % 50}", " ".join(sorted({*r.sample(common, r.randint(1, 5)), *r.sample(rare, r.randint(0, 2))})), 1 + k % 3) for k in range(n)]
+
+    left, right = sets(300, 0), [*sets(260, 1000), (5000, "hot", "w1 w2 w3 w4 w5 w6 w7", 1)]
+    left.append((999, "hot", " ".join(f"w{k}" for k in range(1, 11)), 1))
+    schema = "id bigint, keys string, t string, n bigint"
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+
+    def pairs(x, y, least):
+        for i, k, t, _ in x:
+            u = set(t.split())
+            for o, l, s, n in y:
+                v = set(s.split())
+                if k == l and len(u & v) / len(u | v) >= least:
+                    yield i, o, n, len(u & v), len(u | v)
+
+    best: dict = {}
+    for i, o, _, c, every in pairs(left, right, 0.7):
+        best[i] = min(best.get(i, (0, 0, 0, 0)), (-round(c / every, 6), o, c, every))
+    found = similar.similar_sets(a, b, 0.7, best=True)
+    assert {x.a: (x.other, x.common, x.every) for x in found.collect()} == {i: x[1:] for i, x in best.items()}
+    assert best[999][1:] == (5000, 7, 10)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    total = Counter()
+    for i, _, n, *_ in pairs(left, left, 0.4):
+        total[i] += n
+    assert {x.a: x.others for x in similar.similar_sets(a, a, 0.4).collect()} == total
