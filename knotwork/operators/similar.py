@@ -152,3 +152,127 @@ def similar_sets(left: DataFrame, right: DataFrame, least: float, best: bool = F
     few = few.select("a", F.expr("-((2000000 * common + every) div (2 * every))").alias("low"), "other", "common", F.col("every").cast("bigint").alias("every"))
     top = few.unionByName(many).groupBy("a").agg(F.min(F.struct("low", "other", "common", "every")).alias("top"))
     return top.select("a", "top.other", "top.common", "top.every")
+
+
+# Names and asked words of a block; longer names have no bits enough and are joined by their length. Pairs whose distance is worked out at once.
+NAMES, ASKED, LONGEST, AT_ONCE = 8192, 4096, 64, 200_000
+# Columns of the product at most: more pairs of characters share columns, which only lets more candidates through.
+COLUMNS = 1021
+# Two distances by length that are no further apart may round to one similarity.
+TIE = 1.1e-6
+
+
+def _characters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of the words, a row a word, and their numbers."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    return np.array(words, f"<U{max(1, n.max())}").view(np.uint32).reshape(len(words), -1).astype(np.int64), n
+
+
+def _distances(masks: np.ndarray, at: np.ndarray, m: int, text: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Edit distances of names of `m` characters, rows `at` of `masks` (name, character), and the characters `text` of which `n` count; bit-parallel (Myers, Hyyrö)."""
+    one, last = np.uint64(1), np.uint64(1 << (m - 1))
+    pv, mv = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), np.uint64)
+    d = np.full(len(at), m, np.int64)
+    for k in range(int(n.max()) if len(n) else 0):
+        eq = masks[at, text[:, k]]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        d += np.where(k < n, ((ph & last) > 0).astype(np.int64) - ((mh & last) > 0), 0)
+        ph, mh = (ph << one) | one, mh << one
+        pv, mv = mh | ~(xv | ph), ph & xv
+    return d
+
+
+def nearest_in(asked: list[str], names: list[str], most: float) -> list[tuple[str, str, int]]:
+    """For each of `asked` those of `names` (LONGEST characters at most) with the fewest edits by length, `most` or fewer: of each number of edits and length the first.
+
+    An edit changes two pairs of neighbouring characters at most, so names at that distance have enough of them in common; only these are measured,
+    first the one with most in common, as nothing that is further away than the best so far counts.
+    """
+    a, na = _characters(asked)
+    b, nb = _characters(names)
+    kinds = np.unique(a)
+    text = np.searchsorted(kinds, a)
+    place = np.searchsorted(kinds, b).clip(max=len(kinds) - 1)
+    masks = np.zeros((len(names), len(kinds)), np.uint64)
+    row, col = np.nonzero((kinds[place] == b) & (np.arange(b.shape[1]) < nb[:, None]))
+    np.bitwise_or.at(masks, (row, place[row, col]), np.uint64(1) << col.astype(np.uint64))
+
+    def bigrams(c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, col = np.nonzero(np.arange(c.shape[1] - 1) < n[:, None] - 1)
+        return row, c[row, col] << 21 | c[row, col + 1]
+
+    (rb, gb), (ra, ga) = bigrams(b, nb), bigrams(a, na)
+    every = np.unique(gb)
+    x, y = (np.zeros((len(r), min(len(every), COLUMNS) or 1), np.float32) for r in (a, b))
+    for z, r, g in ((x, ra, ga), (y, rb, gb)):
+        at = np.searchsorted(every, g).clip(max=max(len(every) - 1, 0))
+        own = every[at] == g if len(every) else np.zeros(0, bool)
+        np.add.at(z, (r[own], at[own] % z.shape[1]), 1)
+    best = np.full(len(asked), most)
+    found: list[tuple[np.ndarray, ...]] = []
+
+    def bound(rows: np.ndarray, longest: np.ndarray) -> np.ndarray:
+        return np.floor(longest * np.minimum(most, best[rows] + TIE) + 1e-9).astype(np.int64)
+
+    def measured(rows: np.ndarray, at: np.ndarray, m: int, keep: bool) -> None:
+        for k in range(0, len(rows), AT_ONCE):
+            r, o = rows[k : k + AT_ONCE], at[k : k + AT_ONCE]
+            d, longest = _distances(masks, o, m, text[r], na[r]), np.maximum(na[r], m)
+            good = d <= bound(r, longest)
+            r, o, d, longest = r[good], o[good], d[good], longest[good]
+            np.minimum.at(best, r, d / longest)
+            if keep:
+                found.append((r, o, d, longest))
+
+    for m in np.unique(nb).tolist():
+        own = np.flatnonzero(nb == m)
+        near = np.flatnonzero(np.abs(na - m) <= np.floor(np.maximum(na, m) * most + 1e-9))
+        for k in range(0, len(near), STRIP):
+            rows = near[k : k + STRIP]
+            longest = np.maximum(na[rows], m)
+            common = x[rows] @ y[own].T
+            top = common.argmax(axis=1)
+            hopeful = common[np.arange(len(rows)), top] >= longest - 1 - 2 * bound(rows, longest)
+            measured(rows[hopeful], own[top[hopeful]], m, False)
+            i, j = np.nonzero(common >= (longest - 1 - 2 * bound(rows, longest))[:, None])
+            measured(rows[i], own[j], m, True)
+    first: dict[tuple[int, int, int], str] = {}
+    for r, o, d, longest in found:
+        good = d / longest <= best[r] + TIE
+        for i, j, edits, n in zip(r[good].tolist(), o[good].tolist(), d[good].tolist(), longest[good].tolist()):
+            key = (i, edits, n)
+            if key not in first or names[j] < first[key]:
+                first[key] = names[j]
+    return [(asked[i], name, edits) for (i, edits, _), name in first.items()]
+
+
+def nearest_names(asked: DataFrame, names: DataFrame, most: float = 0.4) -> DataFrame:
+    """(symbol, name, d): of all `names` (name) those nearest to each of `asked` (symbol) with d edits, `most` of the longer one's length at most.
+
+    Both are distinct. Each block of one side meets each of the other in a task of its own, so there are several rows for a symbol; the nearest of all is among them.
+    """
+    asked, names = cut(asked.withColumn("n", F.length("symbol"))), cut(names.withColumn("n", F.length("name")))
+    short = names.where(F.col("n") <= LONGEST)
+    near = asked.where(F.col("n") * (1 - most) <= LONGEST + 1)
+    i, j = (max(1, -(-d.count() // size)) for d, size in ((near, ASKED), (short, NAMES)))
+
+    def dealt(d: DataFrame, word: str, own: str, n: int, far: str, of: int, name: str) -> DataFrame:
+        d = d.groupBy(F.pmod(F.xxhash64(word), F.lit(n)).cast("int").alias(own)).agg(F.collect_list(word).alias(name))
+        return d.withColumn(far, F.explode(F.sequence(F.lit(0), F.lit(of - 1)))).repartition(_partitions(d), "i", "j")
+
+    pairs = dealt(near, "symbol", "i", i, "j", j, "x").join(dealt(short, "name", "j", j, "i", i, "y").hint("merge"), ["i", "j"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                out = nearest_in(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), most)
+                yield pa.RecordBatch.from_pydict({n: pa.array([r[c] for r in out], kind) for c, (n, kind) in enumerate((("symbol", pa.string()), ("name", pa.string()), ("d", pa.int64())))})
+
+    found = pairs.select("x", "y").mapInArrow(compared, "symbol string, name string, d bigint")
+    lo, hi = F.ceil(F.col("n") * (1 - most)).cast("int"), F.floor(F.col("n") / (1 - most)).cast("int")
+    probes = asked.where(hi > LONGEST).select("symbol", F.explode(F.sequence(F.greatest(lo, F.lit(LONGEST + 1)), hi)).alias("n"))
+    long = probes.join(names.where(F.col("n") > LONGEST).hint("merge"), "n")
+    allowed = F.floor(F.greatest(F.length("symbol"), F.length("name")) * most + 1e-9).cast("int")
+    return found.unionByName(long.withColumn("d", F.levenshtein("symbol", "name").cast("bigint")).where(F.col("d") <= allowed).select("symbol", "name", "d"))

@@ -11,7 +11,7 @@ from ..operators.intervals import folders_above, overlaps
 from ..operators.patterns import pattern_matches
 from ..operators.sequences import carried
 from ..operators.ranking import first_by, top_by
-from ..operators.similar import similar_sets
+from ..operators.similar import nearest_names, similar_sets
 from ..session import cut
 from ..sources.tables import table
 from . import warehouse as W
@@ -159,14 +159,12 @@ def j19_missing_anchor(spark: SparkSession, sf: str) -> DataFrame:
 def j20_nearest_anchor(spark: SparkSession, sf: str) -> DataFrame:
     """For each missing anchor the most similar symbol name by edit distance, 0.6 or more, both of four characters or more.
 
-    The anchors asked for are the query set. Names meet them by equal length over the lengths that 0.6 allows.
+    The anchors asked for are the query set. Every name is compared, by blocks (`nearest_names`).
     """
     asked = j19_missing_anchor(spark, sf).select("symbol").distinct().where(F.length("symbol") >= 4)
-    lo, hi = F.ceil(F.length("symbol") * 0.6).cast("int"), F.floor(F.length("symbol") / 0.6).cast("int")
-    probes = asked.select("symbol", F.explode(F.sequence(lo, hi)).alias("n"))
-    names = W.sym(spark, sf).select("name").where(F.length("name") >= 4).distinct().withColumn("n", F.length("name"))
+    names = W.sym(spark, sf).select("name").where(F.length("name") >= 4).distinct()
     longest = F.greatest(F.length("symbol"), F.length("name"))
-    near = probes.join(names, "n").withColumn("d", F.expr("levenshtein(symbol, name, cast(floor(greatest(length(symbol), length(name)) * 0.4 + 1e-9) AS int))")).where(F.col("d") >= 0)
+    near = nearest_names(asked, names)
     near = near.withColumn("similarity", F.round(1 - F.col("d") / longest, 6))
     return first_by(near, ["symbol"], [F.col("similarity").desc(), "name"]).select("symbol", "name", "similarity")
 

@@ -256,3 +256,37 @@ def test_similar_sets_by_blocks_equals_brute_force(spark, monkeypatch, block):
     for i, _, n, *_ in pairs(left, left, 0.4):
         total[i] += n
     assert {x.a: x.others for x in similar.similar_sets(a, a, 0.4).collect()} == total
+
+
+def test_nearest_names_equals_brute_force(spark, monkeypatch):
+    """Several blocks, ties by name, names over 64 characters, short ones and other scripts."""
+    monkeypatch.setattr(similar, "NAMES", 100)
+    monkeypatch.setattr(similar, "ASKED", 40)
+    r = random.Random(3)
+    verbs, nouns = ["load", "fetch", "prune"], ["Cache", "Hunk", "Größe", "日本語の"]
+
+    def name():
+        return r.choice(verbs) + r.choice(nouns) + "".join(r.choice("bdk") + r.choice("aio") for _ in range(r.randint(0, 4)))
+
+    names = sorted({name() for _ in range(300)} | {"abcd", "abce", "x" * 64, "x" * 65 + "y", "z" * 130})
+    asked = sorted({name()[:-1] + r.choice("xw") for _ in range(80)} | {"abcf", "x" * 64 + "w", "x" * 70, "z" * 120, "z" * 40, "qqqqqqqqq"})
+
+    def edits(s, t):
+        row = list(range(len(t) + 1))
+        for i, c in enumerate(s, 1):
+            last, row[0] = row[0], i
+            for k, e in enumerate(t, 1):
+                last, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, last + (c != e))
+        return row[-1]
+
+    want = {}
+    for s in asked:
+        near = [(edits(s, t), max(len(s), len(t)), t) for t in names]
+        near = [(-round(1 - d / m, 6), t, d) for d, m, t in near if d <= int(m * 0.4 + 1e-9)]
+        if near:
+            want[s] = min(near)
+    got: dict = {}
+    for x in similar.nearest_names(spark.createDataFrame([(s,) for s in asked], "symbol string"), spark.createDataFrame([(t,) for t in names], "name string")).collect():
+        row = (-round(1 - x.d / max(len(x.symbol), len(x.name)), 6), x.name, x.d)
+        got[x.symbol] = min(got.get(x.symbol, (1, "", 0)), row)
+    assert got == want and len(want) > 60
