@@ -85,13 +85,13 @@ def test_late_clauses_of_a_long_turn_are_read(spark, tmp_path):
 def test_notes_of_one_hot_symbol_are_compared_by_blocks(spark, tmp_path):
     """Every note is on one symbol: the counts equal the SQL, and no pair is joined row by row."""
     notes = spark.read.parquet(f"{DATA}/notes.parquet").withColumn("symbol", F.lit("hot"))
-    notes.limit(600).write.parquet(f"{tmp_path}/notes.parquet")
+    notes.write.parquet(f"{tmp_path}/notes.parquet")
     df = registry.QUERIES["j21_all_similar_notes"](spark, str(tmp_path))
     assert "MapInArrow" in df._jdf.queryExecution().toString()
     con = duckdb.connect()
     for f in glob.glob(f"{DATA}/*.parquet"):
         con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{tmp_path}/notes.parquet/*.parquet'" if f.endswith("/notes.parquet") else f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    want = dict(con.sql("SELECT note_key, similar FROM (" + registry.SQL["j21_similar_notes"].replace("q.note_key % 20 = 0", "true") + ")").fetchall())
+    want = dict(con.sql(registry.SQL["j21_similar_notes"].replace("q.note_key % 20 = 0", "true")).fetchall())
     got = {r.note_key: r.similar for r in df.collect()}
-    assert {k: v for k, v in got.items() if k in want} == want and len(want) > 400
+    assert {k: v for k, v in got.items() if k in want} == want and len(want) > 150
     assert not any(v for k, v in got.items() if k not in want)
