@@ -251,14 +251,14 @@ def near_copies(own: DataFrame) -> DataFrame:
     key = ["p1", "p2"]
     asked = own.where((F.col("n") >= SHINGLE) & F.col("open")).select(*key).distinct()
     openings = own.where(F.col("n") >= SHINGLE).select("plain").mapInArrow(offered, "p1 bigint, p2 bigint")
-    opening = cut(asked.join(openings, key, "left_semi"))
+    opening = cut(asked.join(openings.hint("merge"), key, "left_semi"))
     rows = cut(own.where(F.col("n") >= COPY_WORDS).select(*key, "open", "plain").mapInArrow(banded, "bucket bigint, p1 bigint, p2 bigint, open boolean"))
     several = (F.min("p1") != F.max("p1")) | (F.min("p2") != F.max("p2"))
     buckets = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("k"), several.alias("several"), F.max("open").alias("any")).where("several AND any").select("bucket", "k")
-    rows = rows.join(buckets, "bucket").groupBy("bucket", "k", *key).agg(F.max("open").alias("open"))
-    rows = rows.join(opening.withColumn("done", F.lit(True)), key, "left").withColumn("open", F.col("open") & F.col("done").isNull()).drop("done")
+    rows = rows.join(buckets.hint("merge"), "bucket").groupBy("bucket", "k", *key).agg(F.max("open").alias("open"))
+    rows = rows.join(opening.withColumn("done", F.lit(True)).hint("merge"), key, "left").withColumn("open", F.col("open") & F.col("done").isNull()).drop("done")
     live = rows.where("open").select("bucket").distinct()
-    rows = rows.join(live, "bucket", "left_semi").join(own.groupBy(*key).agg(F.first("plain").alias("plain")), key)
+    rows = rows.join(live.hint("merge"), "bucket", "left_semi").join(own.groupBy(*key).agg(F.first("plain").alias("plain")).hint("merge"), key)
     rows = rows.withColumn("at", F.pmod(F.xxhash64(*key), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), *key, "plain", "open", "at")
     blocks = rows.groupBy("bucket", "lo", "hi").agg(F.collect_list(F.struct(*key, "plain", "open", "at")).alias("rows"))
@@ -275,8 +275,8 @@ def near_copies_cut(texts: DataFrame, text: str = "text") -> DataFrame:
     """Those of the distinct `texts` that `near_copies` finds. Null texts are left out."""
     texts = _keyed(texts.select(F.col(text).alias("text")).where("text IS NOT NULL"))
     own = cut(profiles(texts))
-    found = own.where("open").join(near_copies(own), ["p1", "p2"], "left_semi").select("t1", "t2")
-    return texts.join(found, ["t1", "t2"], "left_semi").select(F.col("text").alias(text)).distinct()
+    found = own.where("open").join(near_copies(own).hint("merge"), ["p1", "p2"], "left_semi").select("t1", "t2")
+    return texts.join(found.hint("merge"), ["t1", "t2"], "left_semi").select(F.col("text").alias(text)).distinct()
 
 
 def contexts_of(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -335,9 +335,9 @@ def terminality(texts: DataFrame, text: str = "text") -> DataFrame:
     both = wide.unionByName(wide.groupBy(F.lit("*").alias("before"), "last", "word").agg(*sums))
     ending = both.where("finals > 0")
     prefixes = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr(F.col("word"), F.lit(1), i))
-    longer = both.where((F.length("word") > 1) & ~F.col("word").startswith("<")).join(ending.select("before", "last").distinct(), ["before", "last"], "left_semi")
+    longer = both.where((F.length("word") > 1) & ~F.col("word").startswith("<")).join(ending.select("before", "last").distinct().hint("merge"), ["before", "last"], "left_semi")
     fragments = longer.select("before", "last", F.explode(prefixes).alias("word"), "n", "finals").groupBy("before", "last", "word").agg(F.sum(F.col("n") - F.col("finals")).alias("longer"))
-    out = ending.join(fragments, ["before", "last", "word"], "left")
+    out = ending.join(fragments.hint("merge"), ["before", "last", "word"], "left")
     return out.select("before", "last", "word", (F.col("stops") + F.col("finals")).alias("ends"), (F.col("n") - F.col("stops") - F.col("finals") + F.coalesce("longer", F.lit(0))).alias("goes_on"))
 
 
@@ -376,7 +376,7 @@ def cut_off(rows: DataFrame) -> DataFrame:
     wide = t.where("before <> '*'").select("before", "last", "word", F.col("ends").alias("e3"), F.col("goes_on").alias("g3"))
     narrow = t.where("before = '*'").select("last", "word", F.col("ends").alias("e2"), F.col("goes_on").alias("g2"))
     ends = own.where("open_end").select("t1", "t2", "p1", "p2", "open", "broken", "before", "last", "word", "stopped")
-    scored = ends.join(wide, ["before", "last", "word"], "left").join(narrow, ["last", "word"], "left").join(copies, ["p1", "p2"], "left")
+    scored = ends.join(wide.hint("merge"), ["before", "last", "word"], "left").join(narrow.hint("merge"), ["last", "word"], "left").join(copies.hint("merge"), ["p1", "p2"], "left")
     # the wider context where it has been seen going on or ending often enough, else both together
     enough = F.col("e3") + F.col("g3") >= 8
     share = F.when(enough, F.col("g3") / (F.col("e3") + F.col("g3"))).otherwise((F.col("g3") + F.col("g2")) / (F.col("e3") + F.col("g3") + F.col("e2") + F.col("g2")))
@@ -384,7 +384,7 @@ def cut_off(rows: DataFrame) -> DataFrame:
     a, b = fingerprint("text")
     rows = rows.select("tbl", "row_key", "source", a.alias("t1"), b.alias("t2"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
     at_limit = _sizes(rows).join(limits(rows), ["tbl", "source", "unit", "size"], "left_semi").select("tbl", "row_key").distinct().withColumn("limited", F.lit(True))
-    out = rows.join(judged, ["t1", "t2"]).join(at_limit, ["tbl", "row_key"], "left")
+    out = rows.join(judged.hint("merge"), ["t1", "t2"]).join(at_limit.hint("merge"), ["tbl", "row_key"], "left")
     words = ~F.col("stopped") & ((F.col("goes_on") > GOES_ON) | (F.col("limited") & (F.col("goes_on") > GOES_ON_AT_LIMIT)))
     evidence = F.when(F.col("broken"), "broken").when(F.col("copy"), "copy").when(words, "words")
     return out.select("tbl", "row_key", "source", evidence.alias("evidence"), "goes_on", F.coalesce("limited", F.lit(False)).alias("limited")).where(F.col("evidence").isNotNull())

@@ -134,3 +134,17 @@ def test_evidence_of_copies(spark):
 
 def test_empty_table(spark):
     assert C.cut_off(spark.createDataFrame([], "tbl string, row_key bigint, source string, text string")).collect() == []
+
+
+def test_no_side_of_a_join_goes_to_the_driver(spark, monkeypatch):
+    """Sizes told beforehand are far too low; only the few lengths at which sources cut may be sent to all tasks."""
+    plans = []
+    cut = C.cut
+    monkeypatch.setattr(C, "cut", lambda df: (plans.append(df), cut(df))[1])
+    rows, _ = corpus(2)
+    df = spark.createDataFrame(rows[:300], "tbl string, row_key bigint, source string, text string, word string")
+    plans.append(C.cut_off(df))
+    plans.append(C.near_copies_cut(df))
+    lines = [x for p in plans for x in p._jdf.queryExecution().executedPlan().toString().splitlines()]
+    assert any("SortMergeJoin" in x for x in lines)
+    assert not [x for x in lines if "BroadcastHashJoin" in x and "size#" not in x or "BroadcastNestedLoop" in x]
