@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import fingerprint
-from ..session import cut
+from ..session import cut, kept
 from ..sources.tables import table
 
 # Near-copies: five words a shingle, similarity of 0.8 or more. 6 bands of 2 find a pair of that similarity in all but 1 of 450 cases;
@@ -26,6 +26,8 @@ GOES_ON, GOES_ON_AT_LIMIT = 0.5, 0.05
 LIMIT_SHARE, LIMIT_TIMES, LIMIT_SHORT = 0.01, 6.0, 60
 # Words held at once by a task that counts contexts; bounds memory only.
 TOKENS = 1_000_000
+# Numbers of words at which openings are first looked up: any numbers will do, nearer ones give more keys and fewer texts to look into.
+RUNGS = np.unique((4 * 1.12 ** np.arange(160)).astype(np.int64))
 
 _U = np.uint64
 _COEFF = np.random.default_rng(20_260_101).integers(1, 2**61 - 1, size=(2, BANDS * BAND_ROWS), dtype=np.uint64) | _U(1)
@@ -77,15 +79,39 @@ class _Texts:
         at = np.maximum(self.last - 1, 0)
         return [np.where(some, h[at], _U(0)).view(np.int64) if len(h) else np.zeros(len(some), np.int64) for h in self.hashes]
 
+    def _spaces(self) -> tuple[np.ndarray, ...]:
+        """Where spaces are, how many stand before each place, the words of each text and the least words of an opening of it."""
+        space = self.chars == 32
+        before = np.concatenate(([0], np.cumsum(space)))
+        words = before[self.last] - before[self.first] + 1
+        return space, before, words, np.maximum(SHINGLE, np.ceil(SIMILARITY * (words - SHINGLE + 1) - 1e-9).astype(np.int64) + SHINGLE - 1)
+
+    def stems(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A hash of as many first words of each text as are whole in all its openings, down to a rung; of the rungs of all texts that it may itself
+        be an opening of, the hashes, one text after the other, and their number for each. Texts with fewer words than a shingle have none."""
+        space, before, words, least = self._spaces()
+        some = words >= SHINGLE
+        at = np.flatnonzero(space)
+
+        def stem(doc: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return self.hashes[0][at[before[self.first[doc]] + n - 1] - 1].view(np.int64)
+
+        low = np.where(some, np.searchsorted(RUNGS, least - 1, "right") - 1, 0)
+        high = np.where(some, np.searchsorted(RUNGS, words - 1, "right") - 1, -1)
+        n_each = high - low + 1
+        doc = np.repeat(np.arange(len(words)), n_each)
+        rung = np.arange(len(doc)) - (np.cumsum(n_each) - n_each)[doc] + low[doc]
+        own = np.zeros(len(words), np.int64)
+        if some.any():
+            own[some] = stem(np.flatnonzero(some), RUNGS[low[some]])
+        return own, stem(doc, RUNGS[rung]) if len(doc) else np.zeros(0, np.int64), n_each
+
     def openings(self) -> list[np.ndarray]:
         """Two hashes of each opening, in whole or cut words, that has at least SIMILARITY of the shingles of its text. No opening ends within a figure."""
         if not len(self.chars):
             return [np.zeros(0, np.int64)] * 2
-        space = self.chars == 32
-        before = np.concatenate(([0], np.cumsum(space)))
+        space, before, _, least = self._spaces()
         word = before[1:] - before[self.first][self.doc] - space
-        words = before[self.last] - before[self.first] + 1
-        least = np.maximum(SHINGLE, np.ceil(SIMILARITY * (words - SHINGLE + 1) - 1e-9).astype(np.int64) + SHINGLE - 1)
         digit = (self.chars >= 48) & (self.chars <= 57)
         other = [c for c in np.unique(self.chars[self.chars > 127]).tolist() if chr(c).isdigit()]
         if other:
@@ -183,21 +209,30 @@ def closing(text: str) -> str:
     return _AT_END.sub("", _BLANK_END.sub("", text)).rstrip(" ")
 
 
-_PROFILE = "t1 bigint, t2 bigint, p1 bigint, p2 bigint, n int, open boolean, open_end boolean, broken boolean, before string, last string, word string, stopped boolean, plain string"
+def plainly(text: str) -> list[str]:
+    """The words of `text` in lower case."""
+    return _WORDS.findall(text.lower())
+
+
+_PROFILE = "t1 bigint, t2 bigint, p1 bigint, p2 bigint, n int, open boolean, open_end boolean, broken boolean, before string, last string, word string, stopped boolean, stem bigint, stems array<bigint>, bands array<bigint>, text string"
 
 
 def profiles(texts: DataFrame) -> DataFrame:
-    """For each of the distinct `texts` (t1, t2, text): its words in lower case (plain) with their hash and number, whether it ends within a sentence
-    (open, and open_end, which passes over emphasis), whether it breaks off in half a character, and its last word with the two before it in its sentence ('^' where the sentence starts)."""
+    """For each of the distinct `texts` (t1, t2, text), with the text: the hash and number of its words in lower case (`plainly`), whether it ends within a sentence
+    (open, and open_end, which passes over emphasis), whether it breaks off in half a character, its last word with the two before it in its sentence ('^' where the sentence starts),
+    and the keys by which near-copies meet: `_Texts.stems`, those of other texts only where it is open, and min-hash bands, from COPY_WORDS words on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _Tokens()
+        tokens, known = _Tokens(), _Hashes()
         for batch in batches:
             if len(tokens) > TOKENS:
                 tokens = _Tokens()
-            cols: list[list] = [[] for _ in range(9)]
+            if len(known) > TOKENS:
+                known = _Hashes()
+            texts: list[list[str]] = []
+            cols: list[list] = [[] for _ in range(8)]
             for x in batch.column(2).to_pylist():
-                plain = _WORDS.findall(x.lower())
+                texts.append(plainly(x))
                 bare = _BLANK_END.sub("", x)
                 marked = bool(_AT_END.search(bare))
                 end = closing(x)
@@ -205,10 +240,17 @@ def profiles(texts: DataFrame) -> DataFrame:
                 own = [tokens[r] for r in few] or [("", False)]
                 last = "^" if len(own) < 2 or own[-2][1] else own[-2][0]
                 before = "^" if last == "^" or len(own) < 3 or own[-3][1] else own[-3][0]
-                for c, v in zip(cols, (" ".join(plain), len(plain), not _CLOSED.search(x) or bool(_AT_END.search(x)), marked or not _STOP.search(end), x.rstrip().endswith("\ufffd"), before, last, *own[-1])):
+                for c, v in zip(cols, (len(texts[-1]), not _CLOSED.search(x) or bool(_AT_END.search(x)), marked or not _STOP.search(end), x.rstrip().endswith("\ufffd"), before, last, *own[-1])):
                     c.append(v)
-            p1, p2 = _Texts(cols[0]).whole()
-            arrays = [batch.column(0), batch.column(1), pa.array(p1), pa.array(p2), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.bool_()) for c in cols[2:5]), *(pa.array(c, pa.string()) for c in cols[5:8]), pa.array(cols[8], pa.bool_()), pa.array(cols[0], pa.string())]
+            plain = _Texts([" ".join(t) for t in texts])
+            p1, p2 = plain.whole()
+            stem, stems, n_each = plain.stems()
+            opened = np.array(cols[1], bool)
+            stems, n_each = stems[np.repeat(opened, n_each)], n_each * opened
+            banded = np.array(cols[0], np.int64) >= COPY_WORDS
+            bands = bands_of([t for t, b in zip(texts, banded) if b], known).ravel() if banded.any() else np.zeros(0, np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(v)) for v, n in ((stems, n_each), (bands, banded * BANDS))]
+            arrays = [batch.column(0), batch.column(1), pa.array(p1), pa.array(p2), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.bool_()) for c in cols[1:4]), *(pa.array(c, pa.string()) for c in cols[4:7]), pa.array(cols[7], pa.bool_()), pa.array(stem), *lists, batch.column(2)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in _PROFILE.split(", ")])
 
     return texts.select("t1", "t2", "text").mapInArrow(run, _PROFILE)
@@ -217,53 +259,50 @@ def profiles(texts: DataFrame) -> DataFrame:
 def near_copies(own: DataFrame) -> DataFrame:
     """(p1, p2) of those of the texts with profiles `own` that are a near-copy of a longer one and end before it, within a sentence.
 
-    An opening of another text, whose last word may be cut, is found exactly: every text offers its openings of sufficient length
-    as keys (`_Texts.openings`). Copies that differ elsewhere too are found by min-hash bands over five-word shingles: all texts of a bucket
-    are compared, large buckets in blocks, the similarity is verified and the words are aligned (`goes_on_in`). A copy has at least
+    An opening of another text, whose last word may be cut, is found exactly: every text whose first words are also those of another, open one
+    (`_Texts.stems`) offers its openings of sufficient length as keys (`_Texts.openings`). Copies that differ elsewhere too are found by min-hash bands over five-word shingles: all texts of a bucket
+    are compared, buckets of the same texts once, large ones in blocks, the similarity is verified and the words are aligned (`goes_on_in`). A copy has at least
     SIMILARITY of the longer one's shingles. A figure with more digits is another figure, not a longer copy. Only hashes are shuffled
     until a bucket has an open text that is no opening, and another text.
     """
 
     def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2 = _Texts(batch.column(0).to_pylist()).openings()
+            k1, k2 = _Texts([" ".join(plainly(x)) for x in batch.column(0).to_pylist()]).openings()
             yield pa.RecordBatch.from_pydict({"p1": pa.array(k1), "p2": pa.array(k2)})
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
-        for batch in batches:
-            if len(known) > TOKENS:
-                known = _Hashes()
-            texts = [x.split(" ") for x in batch.column(3).to_pylist()]
-            if texts:
-                at = pa.array(np.repeat(np.arange(len(texts)), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(bands_of(texts, known).ravel()), *(batch.column(i).take(at) for i in range(3))], names=["bucket", "p1", "p2", "open"])
-
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: set[tuple[int, int]] = set()
             for across, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = rows.as_py()
-                found |= {(own[i]["p1"], own[i]["p2"]) for i in cut_in_bucket([(r["plain"], r["open"], r["at"]) for r in own], across)}
+                found |= {(own[i]["p1"], own[i]["p2"]) for i in cut_in_bucket([(" ".join(plainly(r["text"])), r["open"], r["at"]) for r in own], across)}
             one, two = zip(*sorted(found)) if found else ((), ())
             yield pa.RecordBatch.from_pydict({"p1": pa.array(one, pa.int64()), "p2": pa.array(two, pa.int64())})
 
     key = ["p1", "p2"]
-    asked = own.where((F.col("n") >= SHINGLE) & F.col("open")).select(*key).distinct()
-    openings = own.where(F.col("n") >= SHINGLE).select("plain").mapInArrow(offered, "p1 bigint, p2 bigint")
+    asked = own.where((F.col("n") >= SHINGLE) & F.col("open"))
+    ends = [f(c).alias(f"{name}_{c}") for c in key for name, f in (("low", F.min), ("high", F.max))]
+    stems = asked.select(F.explode("stems").alias("stem"), *key).groupBy("stem").agg(*ends)
+    another = F.greatest(*(F.greatest(F.col(f"low_{c}") != F.col(c), F.col(f"high_{c}") != F.col(c)) for c in key))
+    longer = own.where(F.col("n") >= SHINGLE).select("stem", *key, "text").join(stems.hint("merge"), "stem").where(another)
+    openings = longer.select("text").mapInArrow(offered, "p1 bigint, p2 bigint")
+    asked = asked.select(*key).distinct()
     opening = cut(asked.join(openings.hint("merge"), key, "left_semi"))
-    rows = cut(own.where(F.col("n") >= COPY_WORDS).select(*key, "open", "plain").mapInArrow(banded, "bucket bigint, p1 bigint, p2 bigint, open boolean"))
+    done = opening.withColumn("done", F.lit(True))
+    each = own.where(F.col("n") >= COPY_WORDS).dropna(subset=key).groupBy(*key).agg(F.max("open").alias("open"), F.first("bands").alias("bands")).join(done.hint("merge"), key, "left")
+    rows = each.select(F.explode("bands").alias("bucket"), *key, (F.col("open") & F.col("done").isNull()).alias("open")).where("bucket IS NOT NULL").repartition("bucket")
     several = (F.min("p1") != F.max("p1")) | (F.min("p2") != F.max("p2"))
-    buckets = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("k"), several.alias("several"), F.max("open").alias("any")).where("several AND any").select("bucket", "k")
-    rows = rows.join(buckets.hint("merge"), "bucket").groupBy("bucket", "k", *key).agg(F.max("open").alias("open"))
-    rows = rows.join(opening.withColumn("done", F.lit(True)).hint("merge"), key, "left").withColumn("open", F.col("open") & F.col("done").isNull()).drop("done")
-    live = rows.where("open").select("bucket").distinct()
-    rows = rows.join(live.hint("merge"), "bucket", "left_semi").join(own.groupBy(*key).agg(F.first("plain").alias("plain")).hint("merge"), key)
+    same = [F.bit_xor(F.xxhash64(*k)).alias(name) for k, name in ((key, "s1"), (key[::-1], "s2"))]
+    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), several.alias("several"), F.max("open").alias("any"), *same).where("several AND any")
+    buckets = buckets.groupBy("size", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("size") / BUCKET).cast("int").alias("k"))
+    rows = kept(rows.join(buckets.hint("merge"), "bucket"))
+    rows = rows.join(own.groupBy(*key).agg(F.first("text").alias("text")).hint("merge"), key)
     rows = rows.withColumn("at", F.pmod(F.xxhash64(*key), F.col("k")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), *key, "plain", "open", "at")
-    blocks = rows.groupBy("bucket", "lo", "hi").agg(F.collect_list(F.struct(*key, "plain", "open", "at")).alias("rows"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), *key, "text", "open", "at")
+    blocks = rows.groupBy("bucket", "lo", "hi").agg(F.collect_list(F.struct(*key, "text", "open", "at")).alias("rows"))
     near = blocks.select((F.col("lo") != F.col("hi")).alias("across"), "rows").mapInArrow(compared, "p1 bigint, p2 bigint")
-    return opening.unionByName(near).distinct()
+    return opening.unionByName(cut(near)).distinct()
 
 
 def _keyed(texts: DataFrame) -> DataFrame:
@@ -274,7 +313,7 @@ def _keyed(texts: DataFrame) -> DataFrame:
 def near_copies_cut(texts: DataFrame, text: str = "text") -> DataFrame:
     """Those of the distinct `texts` that `near_copies` finds. Null texts are left out."""
     texts = _keyed(texts.select(F.col(text).alias("text")).where("text IS NOT NULL"))
-    own = cut(profiles(texts))
+    own = kept(profiles(texts))
     found = own.where("open").join(near_copies(own).hint("merge"), ["p1", "p2"], "left_semi").select("t1", "t2")
     return texts.join(found.hint("merge"), ["t1", "t2"], "left_semi").select(F.col("text").alias(text)).distinct()
 
@@ -331,7 +370,7 @@ def terminality(texts: DataFrame, text: str = "text") -> DataFrame:
     of a word has no uses of its own, but those of the words that it begins.
     """
     sums = [F.sum(c).alias(c) for c in ("stops", "finals", "n")]
-    wide = cut(contexts_of(texts, text).groupBy("before", "last", "word").agg(*sums))
+    wide = kept(contexts_of(texts, text).groupBy("before", "last", "word").agg(*sums))
     both = wide.unionByName(wide.groupBy(F.lit("*").alias("before"), "last", "word").agg(*sums))
     ending = both.where("finals > 0")
     prefixes = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr(F.col("word"), F.lit(1), i))
@@ -369,10 +408,9 @@ def cut_off(rows: DataFrame) -> DataFrame:
     Everything is worked out once for each distinct text; statistics are over all of them. Rows and texts meet by 128-bit fingerprints.
     """
     rows = rows.select("tbl", "row_key", "source", "text").where(F.col("text").isNotNull() & F.col("text").rlike(r"[^\s\x{A0}\x{200B}]"))
-    texts = cut(_keyed(rows.select("text").distinct()))
-    own = cut(profiles(texts))
+    own = kept(profiles(_keyed(rows.select("text").distinct())))
     copies = near_copies(own).withColumn("copy", F.lit(True))
-    t = cut(terminality(texts))
+    t = kept(terminality(own))
     wide = t.where("before <> '*'").select("before", "last", "word", F.col("ends").alias("e3"), F.col("goes_on").alias("g3"))
     narrow = t.where("before = '*'").select("last", "word", F.col("ends").alias("e2"), F.col("goes_on").alias("g2"))
     ends = own.where("open_end").select("t1", "t2", "p1", "p2", "open", "broken", "before", "last", "word", "stopped")

@@ -148,3 +148,20 @@ def test_no_side_of_a_join_goes_to_the_driver(spark, monkeypatch):
     lines = [x for p in plans for x in p._jdf.queryExecution().executedPlan().toString().splitlines()]
     assert any("SortMergeJoin" in x for x in lines)
     assert not [x for x in lines if "BroadcastHashJoin" in x and "size#" not in x or "BroadcastNestedLoop" in x]
+
+
+def test_stems_meet_every_opening():
+    """Each opening has the stem of its text among its own keys; texts with fewer words than a shingle have none."""
+    r = random.Random(5)
+    texts = ["", "a", "a b c d", "a b c d e"] + [" ".join(r.choice(["tree", "a1", "42", "ok", "über"]) for _ in range(r.randrange(1, 60))) for _ in range(200)]
+    pairs = []
+    for t in texts:
+        words = t.split(" ")
+        least = max(C.SHINGLE, math.ceil(C.SIMILARITY * (len(words) - C.SHINGLE + 1) - 1e-9) + C.SHINGLE - 1)
+        pairs += [(" ".join([*words[:i], words[i][:n]]), t) for i in range(least - 1, len(words)) for n in range(1, len(words[i]) + (i < len(words) - 1))]
+    every = sorted({x for p in pairs for x in p} | set(texts))
+    own, keys, n_each = C._Texts(every).stems()
+    ends = n_each.cumsum()
+    met = {t: (own[i], set(keys[ends[i] - n_each[i] : ends[i]].tolist())) for i, t in enumerate(every)}
+    assert len(pairs) > 1000 and all(met[t][0] in met[opening][1] for opening, t in pairs)
+    assert not any(met[t][1] for t in texts[:3])
