@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, kept
 
 # Rows of a block; rows compared with a block at once. Pairs of a key that are joined as rows; keys with more are compared by blocks.
 BLOCK, STRIP, ALONE = 16_384, 512, 1000
@@ -109,7 +109,7 @@ def similar_sets(left: DataFrame, right: DataFrame, least: float, best: bool = F
 
     Every pair is compared. Keys of few pairs are joined row by row. Of the others, the rows are dealt to blocks by id, and the common words of
     two blocks are counted by one product of matrices, each pair of blocks in a task of its own; with the same rows on both sides a pair of blocks counts both ways.
-    No join sends a side to the driver: what is told of the sizes beforehand comes from compressed files and is far too low.
+    The rows meet the sizes of their keys once, and each further step reads only those it needs. No join sends a side to the driver: what is told of the sizes beforehand comes from compressed files and is far too low.
     """
     p, q = Fraction(str(least)).as_integer_ratio()
     same = left is right
@@ -117,18 +117,20 @@ def similar_sets(left: DataFrame, right: DataFrame, least: float, best: bool = F
     n_each = cut(n_each[0].join(n_each[1].hint("merge"), "keys"))
     big = F.col("l") * F.col("r") > ALONE
 
-    def rows(d: DataFrame, which: F.Column) -> DataFrame:
-        return d.select("keys", "id", "t", "n").join(n_each.where(which).hint("merge"), "keys")
+    def told(d: DataFrame) -> DataFrame:
+        return kept(d.select("keys", "id", "t", "n").join(n_each.hint("merge"), "keys"))
 
-    a = rows(left, ~big).select("keys", F.col("id").alias("a"), F.split("t", " ").alias("u"))
-    b = rows(right, ~big).select("keys", F.col("id").alias("other"), F.split("t", " ").alias("v"), "n")
+    left = told(left)
+    right = left if same else told(right)
+    a = left.where(~big).select("keys", F.col("id").alias("a"), F.split("t", " ").alias("u"))
+    b = right.where(~big).select("keys", F.col("id").alias("other"), F.split("t", " ").alias("v"), "n")
     size = F.size("u") + F.size("v")
     few = a.join(b.hint("merge"), "keys").where((p + q) * F.least(F.size("u"), F.size("v")) >= p * size)
     few = few.withColumn("common", F.size(F.array_intersect("u", "v")).cast("bigint")).where((p + q) * F.col("common") >= p * size).withColumn("every", size - F.col("common"))
 
     def dealt(d: DataFrame, own: str, far: str, i: str, j: str, name: str) -> DataFrame:
         blocks = {n: F.ceil(F.col(n) / BLOCK).cast("int") for n in (own, far)}
-        d = rows(d, big).withColumns({i: F.pmod(F.xxhash64("id"), blocks[own]).cast("int"), "far": blocks[far]})
+        d = d.where(big).withColumns({i: F.pmod(F.xxhash64("id"), blocks[own]).cast("int"), "far": blocks[far]})
         d = d.groupBy("keys", i, "far").agg(F.collect_list(F.struct("id", "n", "t")).alias(name))
         first, last = F.lit(0), F.col("far") - 1
         if same:  # each pair of blocks once

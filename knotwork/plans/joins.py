@@ -12,7 +12,7 @@ from ..operators.patterns import pattern_matches
 from ..operators.sequences import carried
 from ..operators.ranking import first_by, top_by
 from ..operators.similar import nearest_names, similar_sets
-from ..session import cut
+from ..session import cut, kept
 from ..sources.tables import table
 from . import warehouse as W
 
@@ -191,8 +191,8 @@ def j22_inbox_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 def j21_all_similar_notes(spark: SparkSession, sf: str) -> DataFrame:
     """For every note of a symbol: how many other notes of it have a lesson of Jaccard 0.4 or more; 0 where none has. Equal lessons are compared once."""
-    n = W.note(spark, sf).where("symbol IS NOT NULL").select("note_key", "symbol", F.array_join(F.array_sort(X.lexical_tokens(F.col("lesson"))), " ").alias("t"))
-    groups = cut(n.groupBy("symbol", "t").agg(F.count(F.lit(1)).alias("n"), F.min("note_key").alias("id")))
+    n = kept(W.note(spark, sf).where("symbol IS NOT NULL").select("note_key", "symbol", F.array_join(F.array_sort(X.lexical_tokens(F.col("lesson"))), " ").alias("t")))
+    groups = kept(n.groupBy("symbol", "t").agg(F.count(F.lit(1)).alias("n"), F.min("note_key").alias("id")))
     sets = groups.where("t <> ''").select(F.col("symbol").alias("keys"), "t", "id", "n")
     met = similar_sets(sets, sets, 0.4).select(F.col("a").alias("id"), "others")
     one, two = (c.alias(name) for c, name in zip(fingerprint("t"), ("t1", "t2")))

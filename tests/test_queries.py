@@ -95,3 +95,9 @@ def test_notes_of_one_hot_symbol_are_compared_by_blocks(spark, tmp_path):
     got = {r.note_key: r.similar for r in df.collect()}
     assert {k: v for k, v in got.items() if k in want} == want and len(want) > 150
     assert not any(v for k, v in got.items() if k not in want)
+
+
+def test_notes_are_cleaned_once_for_all_similarities(spark):
+    """The cleaned notes are kept: what is read at the end has no window over their ids, and no text is shuffled again for it."""
+    plan = registry.QUERIES["j21_all_similar_notes"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "lesson" not in plan
